@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import oracle_urls, urls_q
+from webloom.plans import content_q, oracle_content, oracle_urls, urls_q
 
-_MODULES = [urls_q]
-_ORACLES = [oracle_urls]
+_MODULES = [urls_q, content_q]
+_ORACLES = [oracle_urls, oracle_content]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
