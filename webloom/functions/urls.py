@@ -12,7 +12,7 @@ and IPv6 brackets; paths are compared in their escaped form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # RFC 3986 appendix B, with the scheme restricted to Go's grammar.  The
@@ -28,10 +28,19 @@ def _g(col: Column, i: int) -> Column:
     return F.regexp_extract(col, URL_PATTERN, i)
 
 
-def split_url(url: Column) -> Column:
-    """B1: struct(scheme, has_authority, userinfo, host, hostname, port, path,
-    has_query, query, fragment, valid)."""
-    auth_raw = _g(url, 2)
+def url_groups(url: Column) -> Column:
+    """Stage 1 of B1: the raw regex groups (materialise this column once)."""
+    return F.struct(
+        _g(url, 1).alias("g_scheme"), _g(url, 2).alias("g_auth"), _g(url, 3).alias("g_path"),
+        _g(url, 4).alias("g_query"), _g(url, 5).alias("g_frag"),
+        url.rlike(r"[\x00-\x1f\x7f]").alias("g_ctl"))
+
+
+def url_parts(g: Column) -> Column:
+    """Stage 2 of B1 over a materialised ``url_groups`` column: struct(scheme,
+    has_authority, userinfo, host, hostname, port, path, has_query, query,
+    fragment, valid)."""
+    auth_raw = g["g_auth"]
     has_auth = auth_raw != F.lit("")
     authority = F.substring(auth_raw, 3, 1 << 30)
     at = F.locate("@", F.reverse(authority))  # 1-based from the right, 0 = none
@@ -41,19 +50,19 @@ def split_url(url: Column) -> Column:
     port = F.regexp_extract(host, r"^.*?:([0-9]*)$", 1)
     hostname = F.when(host_noport.startswith("[") & host_noport.endswith("]"),
                       host_noport.substr(F.lit(2), F.length(host_noport) - 2)).otherwise(host_noport)
-    q_raw = _g(url, 4)
-    f_raw = _g(url, 5)
-    # Go rejects control bytes anywhere and a bad port.
+    q_raw = g["g_query"]
+    f_raw = g["g_frag"]
+    # Go rejects control bytes anywhere, a bad port and bad escapes.
     bad_port = host.rlike(r"^[^\[\]]*:.*[^0-9].*$|^\[.*\]:.*[^0-9]")
-    valid = ~url.rlike(r"[\x00-\x1f\x7f]") & ~bad_port & ~_bad_escape(_g(url, 3)) & ~_bad_escape(F.substring(q_raw, 2, 1 << 30))
+    valid = ~g["g_ctl"] & ~bad_port & ~_bad_escape(g["g_path"]) & ~_bad_escape(F.substring(q_raw, 2, 1 << 30))
     return F.struct(
-        F.lower(_g(url, 1)).alias("scheme"),
+        F.lower(g["g_scheme"]).alias("scheme"),
         has_auth.alias("has_authority"),
         userinfo.alias("userinfo"),
         host.alias("host"),
         hostname.alias("hostname"),
         port.alias("port"),
-        _g(url, 3).alias("path"),
+        g["g_path"].alias("path"),
         (q_raw != F.lit("")).alias("has_query"),
         F.substring(q_raw, 2, 1 << 30).alias("query"),
         F.substring(f_raw, 2, 1 << 30).alias("fragment"),
@@ -61,6 +70,18 @@ def split_url(url: Column) -> Column:
     )
 
 
+def with_url_parts(df: DataFrame, url_col: str, out: str) -> DataFrame:
+    """B1 as a stage: adds struct column ``out`` (see ``url_parts``).  The
+    two materialised steps keep the expression tree linear in size."""
+    tmp = out + "__g"
+    return df.withColumn(tmp, url_groups(F.col(url_col))).withColumn(out, url_parts(F.col(tmp))).drop(tmp)
+
+
+def split_url(url: Column) -> Column:
+    """B1 as a single Column (for small inputs such as rule sample URLs)."""
+    return url_parts(url_groups(url))
+
+
 def _bad_escape(s: Column) -> Column:
     return s.rlike(r"%([^0-9A-Fa-f]|.[^0-9A-Fa-f]|.?$)")
 
@@ -98,9 +119,12 @@ def query_pairs(raw_query: Column) -> Column:
 # Reference resolution (RFC 3986 section 5.2, Go ``URL.Parse``)
 # --------------------------------------------------------------------------
 
-def remove_dot_segments(full: Column) -> Column:
+def with_dots_removed(df: DataFrame, full_col: str, out: str) -> DataFrame:
     """Go ``resolvePath`` dot-segment removal over an escaped path, as an
-    ``aggregate`` fold over the '/'-separated elements."""
+    ``aggregate`` fold over the '/'-separated elements (staged so the fold
+    is evaluated once per row)."""
+    f = out + "__f"
+    full = F.col(full_col)
     elems = F.split(full, "/")
     init = F.struct(F.lit("/").alias("acc"), F.lit(True).alias("first"))
 
@@ -115,11 +139,11 @@ def remove_dot_segments(full: Column) -> Column:
         drop = F.struct(s["acc"].alias("acc"), F.lit(False).alias("first"))
         return F.when(e == ".", drop).when(e == "..", dd).otherwise(keep)
 
-    folded = F.aggregate(elems, init, step)["acc"]
-    last = F.element_at(elems, -1)
-    r = F.concat(folded, F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+    d = df.withColumn(f, F.concat(F.aggregate(elems, init, step)["acc"],
+                                  F.when(F.element_at(elems, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))))
+    r = F.col(f)
     r = F.when((F.length(r) > 1) & (r.substr(2, 1) == "/"), r.substr(F.lit(2), F.lit(1 << 30))).otherwise(r)
-    return F.when(full == "", F.lit("")).otherwise(r)
+    return d.withColumn(out, F.when(full == "", F.lit("")).otherwise(r)).drop(f)
 
 
 def url_string(scheme: Column, has_auth: Column, userinfo: Column, host: Column, path: Column,
@@ -137,37 +161,53 @@ def url_string(scheme: Column, has_auth: Column, userinfo: Column, host: Column,
     )
 
 
-def resolve_reference(base: Column, ref: Column) -> Column:
-    """``base.Parse(ref).String()``; an unparsable ``ref`` is returned
-    unchanged (the reference keeps the raw value when parsing fails)."""
-    b = split_url(base)
-    r = split_url(ref)
-    r_path = path_escape(r["path"])
-    b_path = path_escape(b["path"])
+def with_resolved(df: DataFrame, base_col: str, ref_col: str, out: str) -> DataFrame:
+    """B11 as a stage: ``out`` = ``base.Parse(ref).String()``; an unparsable
+    ``ref`` is kept unchanged (the reference keeps the raw value when
+    parsing fails).  Intermediate structs are materialised columns so the
+    plan stays small."""
+    b, r, x = out + "__b", out + "__r", out + "__x"
+    d = with_url_parts(df, base_col, b)
+    d = with_url_parts(d, ref_col, r)
+    B, R = F.col(b), F.col(r)
+    d = d.withColumn(x, F.struct(path_escape(R["path"]).alias("r_path"), path_escape(B["path"]).alias("b_path")))
+    X = F.col(x)
+    r_path, b_path = X["r_path"], X["b_path"]
+    ref = F.col(ref_col)
     # Go: without a scheme, a colon in the first path segment is an error.
-    colon_err = (r["scheme"] == "") & ~r["has_authority"] & F.substring_index(r["path"], "/", 1).contains(":")
-    ok = r["valid"] & b["valid"] & ~colon_err & ref.isNotNull()
-    r_force = r["has_query"] & (r["query"] == "")
-    absolute = r["scheme"] != ""
-    net = r["has_authority"] | r["userinfo"].isNotNull()
-    inherit_q = (r["path"] == "") & ~r["has_query"]
-    rel_query = F.when(inherit_q, b["query"]).otherwise(r["query"])
-    rel_force = F.when(inherit_q, b["has_query"] & (b["query"] == "")).otherwise(r_force)
-    rel_frag = F.when(inherit_q & (r["fragment"] == ""), b["fragment"]).otherwise(r["fragment"])
-    b_dir = F.when(F.locate("/", F.reverse(b_path)) > 0,
-                   b_path.substr(F.lit(1), F.length(b_path) - F.locate("/", F.reverse(b_path)) + 1)).otherwise(F.lit(""))
-    rel_full = F.when(r_path == "", b_path).when(~r_path.startswith("/"), F.concat(b_dir, r_path)).otherwise(r_path)
-    resolved_abs = url_string(
-        F.when(absolute, r["scheme"]).otherwise(b["scheme"]), r["has_authority"], r["userinfo"], r["host"],
-        remove_dot_segments(r_path), r["query"], r_force, r["fragment"])
-    resolved_rel = url_string(b["scheme"], b["has_authority"], b["userinfo"], b["host"],
-                              remove_dot_segments(rel_full), rel_query, rel_force, rel_frag)
-    return F.when(~ok, ref).when(absolute | net, resolved_abs).otherwise(resolved_rel)
-
-
-def url_to_string(url: Column) -> Column:
+    colon_err = (R["scheme"] == "") & ~R["has_authority"] & F.substring_index(R["path"], "/", 1).contains(":")
+    ok = R["valid"] & B["valid"] & ~colon_err & ref.isNotNull()
+    r_force = R["has_query"] & (R["query"] == "")
+    absolute = R["scheme"] != ""
+    net = R["has_authority"] | R["userinfo"].isNotNull()
+    inherit_q = (R["path"] == "") & ~R["has_query"]
+    rel_query = F.when(inherit_q, B["query"]).otherwise(R["query"])
+    rel_force = F.when(inherit_q, B["has_query"] & (B["query"] == "")).otherwise(r_force)
+    rel_frag = F.when(inherit_q & (R["fragment"] == ""), B["fragment"]).otherwise(R["fragment"])
+    slash = F.locate("/", F.reverse(b_path))
+    b_dir = F.when(slash > 0, b_path.substr(F.lit(1), F.length(b_path) - slash + 1)).otherwise(F.lit(""))
+    full = F.when(absolute | net, r_path).when(r_path == "", b_path).when(
+        ~r_path.startswith("/"), F.concat(b_dir, r_path)).otherwise(r_path)
+    d = d.withColumn(x + "full", full)
+    d = with_dots_removed(d, x + "full", x + "path").drop(x + "full")
+    d = d.withColumn(x, F.struct(F.col(x + "path").alias("path"), ok.alias("ok"),
+                                 (absolute | net).alias("abs"), absolute.alias("has_scheme"),
+                                 rel_query.alias("rq"), rel_force.alias("rf"), rel_frag.alias("rfr"),
+                                 r_force.alias("force")))
+    X = F.col(x)
+    resolved_abs = url_string(F.when(X["has_scheme"], R["scheme"]).otherwise(B["scheme"]), R["has_authority"],
+                              R["userinfo"], R["host"], X["path"], R["query"], X["force"], R["fragment"])
+    resolved_rel = url_string(B["scheme"], B["has_authority"], B["userinfo"], B["host"], X["path"],
+                              X["rq"], X["rf"], X["rfr"])
+    res = F.when(~X["ok"], ref).when(X["abs"], resolved_abs).otherwise(resolved_rel)
+    return d.withColumn(out, res).drop(b, r, x, x + "path")
+
+
+def with_url_string(df: DataFrame, url_col: str, out: str) -> DataFrame:
     """Round trip ``url.Parse(u).String()`` (path re-escaped); invalid -> as is."""
-    u = split_url(url)
-    return F.when(u["valid"], url_string(u["scheme"], u["has_authority"], u["userinfo"], u["host"],
-                                         path_escape(u["path"]), u["query"],
-                                         u["has_query"] & (u["query"] == ""), u["fragment"])).otherwise(url)
+    p = out + "__p"
+    d = with_url_parts(df, url_col, p)
+    u = F.col(p)
+    return d.withColumn(out, F.when(u["valid"], url_string(
+        u["scheme"], u["has_authority"], u["userinfo"], u["host"], path_escape(u["path"]), u["query"],
+        u["has_query"] & (u["query"] == ""), u["fragment"])).otherwise(F.col(url_col))).drop(p)

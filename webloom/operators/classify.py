@@ -49,9 +49,15 @@ def _pair_text(kq):
     return lambda v: F.concat(kq, F.lit("="), U.query_escape(v))
 
 
-def apply_class(uc: URLClass, u: Column) -> Column:
+def apply_class(uc: URLClass, u: Column, segs: Column | None = None, pairs: Column | None = None) -> dict:
     """B3-B7 ``ApplyClassifier`` on a split URL struct ``u`` (see
-    ``urls.split_url``).  Returns struct(matched, normalized_url, reason)."""
+    ``urls.url_parts``); ``segs``/``pairs`` are the escaped path segments and
+    parsed query (pass materialised columns, see ``with_url_fields``).
+    Returns Columns {matched, normalized_url, reason}."""
+    if segs is None:
+        segs = _segments(u)
+    if pairs is None:
+        pairs = U.query_pairs(u["query"])
     # B3 scheme upgrade
     scheme = u["scheme"] if uc.allow_http else F.lit("https")
     # B4 domain predicate + host rewrite
@@ -65,8 +71,6 @@ def apply_class(uc: URLClass, u: Column) -> Column:
                      .when(F.lit(not uc.match_subdomain), F.lit("domain mismatch"))
                      .when(~sub, F.lit("subdomain mismatch")).otherwise(_null_str()))
     # B5 path predicate + rewrite
-    esc = U.path_escape(u["path"])
-    segs = F.split(F.when(esc.startswith("/"), esc.substr(F.lit(2), F.lit(1 << 30))).otherwise(esc), "/")
     path_ok = F.lit(True)
     path_reason = _null_str()
     out_segs = []
@@ -86,7 +90,6 @@ def apply_class(uc: URLClass, u: Column) -> Column:
         path_ok = path_ok & ok
     new_path = F.concat(F.lit("/"), F.concat_ws("/", *out_segs)) if out_segs else F.lit("/")
     # B6 query predicate + rewrite (keys in sorted order, as Values.Encode)
-    pairs = U.query_pairs(u["query"])
     q_ok = F.lit(True)
     q_reason = _null_str()
     encoded_parts = []
@@ -114,9 +117,20 @@ def apply_class(uc: URLClass, u: Column) -> Column:
     reason = F.coalesce(domain_reason, path_reason, q_reason)
     matched = u["valid"] & (same | sub) & path_ok & q_ok
     reason = F.when(~u["valid"], F.lit("unparsable url")).otherwise(reason)
-    return F.struct(matched.alias("matched"),
-                    F.when(matched, normalized).otherwise(_null_str()).alias("normalized_url"),
-                    F.when(matched, _null_str()).otherwise(reason).alias("reason"))
+    return {"matched": matched, "normalized_url": normalized, "reason": reason}
+
+
+def _segments(u: Column) -> Column:
+    esc = U.path_escape(u["path"])
+    return F.split(F.when(esc.startswith("/"), esc.substr(F.lit(2), F.lit(1 << 30))).otherwise(esc), "/")
+
+
+def with_url_fields(df: DataFrame, url_col: str, prefix: str = "__") -> DataFrame:
+    """Materialise the split URL, escaped path segments and query pairs once
+    (columns ``{prefix}u``, ``{prefix}segs``, ``{prefix}pairs``)."""
+    d = U.with_url_parts(df, url_col, prefix + "u")
+    u = F.col(prefix + "u")
+    return d.withColumn(prefix + "segs", _segments(u)).withColumn(prefix + "pairs", U.query_pairs(u["query"]))
 
 
 def priority_order(classes: list[URLClass]) -> list[URLClass]:
@@ -129,31 +143,35 @@ def classify(df: DataFrame, classes: list[URLClass], url_col: str = "url") -> Da
     if not classes:
         return (df.withColumn("uclass", _null_str()).withColumn("class_type", _null_str())
                 .withColumn("priority", F.lit(None).cast("bigint")).withColumn("normalized_url", _null_str()))
-    tmp = "__url_parts"
-    d = df.withColumn(tmp, U.split_url(F.col(url_col)))
-    u = F.col(tmp)
+    d = with_url_fields(df, url_col, "__")
+    u, segs, pairs = F.col("__u"), F.col("__segs"), F.col("__pairs")
+    ordered = priority_order(classes)
+    # one boolean column per class first, so the normalised URL is only built
+    # for the class that wins
+    for i, c in enumerate(ordered):
+        d = d.withColumn(f"__ok{i}", apply_class(c, u, segs, pairs)["matched"])
     picks = []
-    for c in priority_order(classes):
-        r = apply_class(c, u)
-        picks.append(F.when(r["matched"], F.struct(
+    for i, c in enumerate(ordered):
+        r = apply_class(c, u, segs, pairs)
+        picks.append(F.when(F.col(f"__ok{i}"), F.struct(
             F.lit(c.name).alias("uclass"), F.lit(c.cls).alias("class_type"),
             F.lit(c.priority).cast("bigint").alias("priority"), r["normalized_url"].alias("normalized_url"))))
-    best = "__best"
-    return (d.withColumn(best, F.coalesce(*picks))
-            .withColumn("uclass", F.col(best)["uclass"])
-            .withColumn("class_type", F.col(best)["class_type"])
-            .withColumn("priority", F.col(best)["priority"])
-            .withColumn("normalized_url", F.col(best)["normalized_url"])
-            .drop(tmp, best))
+    none = F.struct(_null_str().alias("uclass"), _null_str().alias("class_type"),
+                    F.lit(None).cast("bigint").alias("priority"), _null_str().alias("normalized_url"))
+    # ``inline`` of a one-element array: one row in, one row out, and a filter
+    # on the class columns cannot be pushed below it (pushing would inline the
+    # whole classifier into the filter and evaluate it twice per row).
+    return d.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.coalesce(*picks, none))))
 
 
 def class_matches(df: DataFrame, uc: URLClass, url_col: str = "url") -> DataFrame:
     """B7 for one class: add ``matched``, ``normalized_url``, ``reason``."""
-    r = "__r"
-    return (df.withColumn(r, apply_class(uc, U.split_url(F.col(url_col))))
-            .withColumn("matched", F.col(r)["matched"])
-            .withColumn("normalized_url", F.col(r)["normalized_url"])
-            .withColumn("reason", F.col(r)["reason"]).drop(r))
+    d = with_url_fields(df, url_col, "__")
+    r = apply_class(uc, F.col("__u"), F.col("__segs"), F.col("__pairs"))
+    d = d.withColumn("matched", r["matched"])
+    return (d.withColumn("normalized_url", F.when(F.col("matched"), r["normalized_url"]))
+            .withColumn("reason", F.when(~F.col("matched"), r["reason"]))
+            .drop("__u", "__segs", "__pairs"))
 
 
 def unclassified(classified: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import content_q, oracle_content, oracle_urls, urls_q
+from webloom.plans import content_q, extract_q, oracle_content, oracle_extract, oracle_urls, urls_q
 
-_MODULES = [urls_q, content_q]
-_ORACLES = [oracle_urls, oracle_content]
+_MODULES = [urls_q, content_q, extract_q]
+_ORACLES = [oracle_urls, oracle_content, oracle_extract]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
