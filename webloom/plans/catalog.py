@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.plans import content_q, extract_q, oracle_content, oracle_extract, oracle_urls, urls_q
+from webloom.plans import (content_q, extract_q, oracle_content, oracle_extract, oracle_similar, oracle_urls,
+                           similar_q, urls_q)
 
-_MODULES = [urls_q, content_q, extract_q]
-_ORACLES = [oracle_urls, oracle_content, oracle_extract]
+_MODULES = [urls_q, content_q, extract_q, similar_q]
+_ORACLES = [oracle_urls, oracle_content, oracle_extract, oracle_similar]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
