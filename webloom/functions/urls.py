@@ -199,7 +199,12 @@ def with_resolved(df: DataFrame, base_col: str, ref_col: str, out: str) -> DataF
                               R["userinfo"], R["host"], X["path"], R["query"], X["force"], R["fragment"])
     resolved_rel = url_string(B["scheme"], B["has_authority"], B["userinfo"], B["host"], X["path"],
                               X["rq"], X["rf"], X["rfr"])
-    res = F.when(~X["ok"], ref).when(X["abs"], resolved_abs).otherwise(resolved_rel)
+    # "scheme:opaque" (no '//' and no leading '/') is kept opaque by Go
+    opaque = (R["scheme"] != "") & ~R["has_authority"] & (R["path"] != "") & ~R["path"].startswith("/")
+    resolved_opaque = F.concat(R["scheme"], F.lit(":"), R["path"],
+                               F.when(R["has_query"], F.concat(F.lit("?"), R["query"])).otherwise(F.lit("")),
+                               F.when(R["fragment"] != "", F.concat(F.lit("#"), R["fragment"])).otherwise(F.lit("")))
+    res = F.when(~X["ok"], ref).when(opaque, resolved_opaque).when(X["abs"], resolved_abs).otherwise(resolved_rel)
     return d.withColumn(out, res).drop(b, r, x, x + "path")
 
 

@@ -182,7 +182,8 @@ def node_table(docs: DataFrame, keep_names=None, value_names=None, want_text=Fal
                     out["ancestors"].append(r[7])
                     out["value"].append(r[10])
                     out["cls"].append(cls)
-            yield pd.DataFrame(out, columns=_OUT_COLS)
+            if out["pre"]:  # an empty frame has no list dtypes for Arrow
+                yield pd.DataFrame(out, columns=_OUT_COLS)
 
     schema = T.StructType(list(schemas.HTML_NODE.fields) + [T.StructField("cls", T.IntegerType())])
     return docs.select(key_col, pos_col, html_col, cls_col).mapInPandas(run, schema)
