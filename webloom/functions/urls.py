@@ -216,3 +216,10 @@ def with_url_string(df: DataFrame, url_col: str, out: str) -> DataFrame:
     return d.withColumn(out, F.when(u["valid"], url_string(
         u["scheme"], u["has_authority"], u["userinfo"], u["host"], path_escape(u["path"]), u["query"],
         u["has_query"] & (u["query"] == ""), u["fragment"])).otherwise(F.col(url_col))).drop(p)
+
+
+def materialize(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add ``cols`` through a one-row ``inline`` generator: filters on them
+    are not pushed below (which would copy the expressions into the filter
+    and evaluate them twice per row)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
