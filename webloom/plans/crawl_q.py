@@ -74,7 +74,10 @@ def prefix_values(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    p = tables.pages(spark, sf_dir, "page_id", "url", "html")
+    return _versions_of(tables.pages(spark, sf_dir, "page_id", "url", "html"))
+
+
+def _versions_of(p):
     k = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("version")
     return (p.select("page_id", "url", "html", k)
             .select("url", "version",

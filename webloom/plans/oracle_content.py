@@ -38,3 +38,5 @@ ORACLE = {
     "find_tagged_quality": f"WITH {_TAGSTORE} SELECT id_hash FROM tstore "
                            "WHERE list_contains(tags, 'quality:1') AND NOT list_contains(tags, 'toxic:1')",
 }
+
+ORACLE["stream_content_dedup"] = "SELECT DISTINCT sha256(text) AS id_hash, length(text) AS body_chars FROM documents"

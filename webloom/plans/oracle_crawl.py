@@ -45,3 +45,5 @@ ORACLE = {
     "cache_hits": "SELECT page_id, url FROM pages WHERE starts_with(url, 'https:')",
     "cache_misses": "SELECT page_id, url FROM pages WHERE NOT starts_with(url, 'https:')",
 }
+
+ORACLE["stream_page_cache"] = ORACLE["page_cache_latest"]
