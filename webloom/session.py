@@ -2,14 +2,15 @@
 
 The library never hard-codes cluster settings.  ``get_session`` is what tests
 and ``bench.py`` use locally; on a cluster the caller's session is used as is.
-``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session and only
-sets one (under a fresh temp folder) when none is configured, as in tests.
+``ensure_checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session and
+sets one itself only for a local master without that setting, as in tests.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,32 @@ def get_session(master: str | None = None, app: str = "webloom",
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application, so that
+    jobs work wherever the driver was started from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_webloom_shipped", False):
+        return spark
+    root = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="webloom-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._webloom_shipped = True
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset.
+    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared (HDFS/S3/...) folder
-    and is used unchanged.  Tests and local runs get a fresh temp folder.
+    A fresh local folder is used only where the setting is absent and the
+    master is local, as in tests; on a cluster that is an error, since executors
+    would write to disks that the others cannot read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -50,7 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="webloom-ckpt-", dir="/tmp")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="webloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return conf_dir
