@@ -6,16 +6,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm.common import read
+from webloom.llm.common import read, tokenizer_path
 from webloom.llm.jaccard import jaccard_components
+from webloom.llm.langid import identify
+from webloom.llm.packing import pack
+from webloom.llm.quality import quality_scores
+from webloom.llm.tokens import token_counts
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(TOKENIZER), length=2048, end_id=1)
+
+
+def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), folds=4, held_fold=2)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(TOKENIZER), limit=2048)
+
+
+def op10_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"),
+                          folds=5, threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join,)}
+    return {f.__name__: f for f in (op3_jaccard_join, op4_hilbert_packing, op5_language_profiles, op9_token_counts,
+                                    op10_quality_fourier)}
 
 
 def oracle_sql() -> dict[str, str]:

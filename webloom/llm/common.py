@@ -37,3 +37,9 @@ def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     from webloom.session import ensure_checkpoint_dir
     return os.path.join(ensure_checkpoint_dir(spark), "webloom")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary file lies, on every machine alike."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
