@@ -7,15 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm.common import read, tokenizer_path
+from webloom.llm.decontam import benchmark_leaks
 from webloom.llm.jaccard import jaccard_components
 from webloom.llm.langid import identify
+from webloom.llm.licenses import license_paragraphs
 from webloom.llm.packing import pack
+from webloom.llm.pivots import near_duplicates
 from webloom.llm.quality import quality_scores
+from webloom.llm.secrets import secret_scan
 from webloom.llm.tokens import token_counts
+from webloom.llm.toxicity import toxicity_scores
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
+def op2_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_paragraphs(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
 
@@ -28,6 +41,19 @@ def op5_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), folds=4, held_fold=2)
 
 
+def op6_toxicity_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"),
+                           folds=5, threshold=0.5)
+
+
+def op7_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_leaks(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+def op8_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(TOKENIZER), limit=2048)
 
@@ -38,8 +64,9 @@ def op10_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join, op4_hilbert_packing, op5_language_profiles, op9_token_counts,
-                                    op10_quality_fourier)}
+    return {f.__name__: f for f in (
+        op1_secret_ownership, op2_license_paragraphs, op3_jaccard_join, op4_hilbert_packing, op5_language_profiles,
+        op6_toxicity_subwords, op7_benchmark_simhash, op8_pivot_permutation, op9_token_counts, op10_quality_fourier)}
 
 
 def oracle_sql() -> dict[str, str]:

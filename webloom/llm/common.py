@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.session import cut_lineage
+from webloom.session import cut_lineage, ensure_checkpoint_dir
 
 
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
@@ -35,8 +33,7 @@ def bounded_rows(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    from webloom.session import ensure_checkpoint_dir
-    return os.path.join(ensure_checkpoint_dir(spark), "webloom")
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/webloom"
 
 
 def tokenizer_path(name: str) -> str:
