@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontam, jaccard, packing, quality, secrets
-from webloom.llm.common import read, scratch_dir, tokenizer_path
+from webloom.llm.common import fresh, read, scratch_dir, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
@@ -36,9 +36,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    first = group.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = (docs.where("doc_id is not null").join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
-            .withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    first = group.where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")
+    text = fresh(docs, "text_hash")
+    some = docs.where("doc_id is not null")
+    kept = (some.join(first, some["doc_id"].cast("long") == first["doc_id"], "left_semi")
+            .withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text))
     return kept.unionByName(docs.where("doc_id is null"))
 
 

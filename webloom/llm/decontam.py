@@ -143,9 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without a leaked item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(bad.hint("shuffle_hash"), same, "left_anti")
+    bad = leaks(docs, benchmark).select("doc_id", "text_hash").distinct().hint("shuffle_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")
 
 
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

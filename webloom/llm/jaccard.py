@@ -233,13 +233,15 @@ def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _search(num: int, den: int):
     """One cluster, or two blocks of one: links as a forest, with counts."""
-    def run(table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
         weight = table.column("size").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
-        two = bool((side == 1).any())
+        two = key[1].as_py() != key[2].as_py()
         inner = np.flatnonzero(side == (1 if two else 0))
         outer = np.flatnonzero(side == 0)
+        if not len(inner) or not len(outer):  # a block without documents
+            return pa.table({"rep": rep, "root": rep, "links": np.zeros(len(rep), np.int64)})
         uniq, start, lists = index_of([sets[i] for i in inner])
         sizes = np.array([len(sets[i]) for i in inner], np.int64)
         parent, links = list(range(len(rep))), np.zeros(len(rep), np.int64)

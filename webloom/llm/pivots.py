@@ -87,7 +87,7 @@ def _search(least: float, shared: int):
         for i, n in enumerate(near):
             has[i, n] = 1
         a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1) if (side == 1).any() else a
+        b = a if key[3].as_py() == key[4].as_py() else np.flatnonzero(side == 1)
         ok = (has[a] @ has[b].T >= min(shared, has.sum(1).min())) & (has[a][:, :pivot] @ has[b][:, :pivot].T == 0)
         ok &= unit[a] @ unit[b].T >= least
         linked = np.zeros((len(rep), len(rep)), bool)

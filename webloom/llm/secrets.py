@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import cut
+from webloom.llm.common import cut, fresh
 from webloom.session import ship_package
 
 WIDE = 5
@@ -130,21 +130,22 @@ def secret_scan(docs: DataFrame, wide: int = WIDE) -> DataFrame:
         F.size(F.filter(spans, lambda s: s["n_owners"] >= wide)).cast("long").alias("n_wide")))
 
 
-def _blank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("text")
-        live = b.schema.get_field_index("live")
-        out = []
-        for text, spans in zip(b.column(at).to_pylist(), b.column(live).to_pylist(), strict=True):
-            if spans:
-                done = len(text)
-                for s in sorted(spans, key=lambda s: (-s["end"], s["start"])):
-                    end = min(s["end"], done)
-                    if s["start"] < end:
-                        text, done = f"{text[:s['start']]}[secret]{text[end:]}", s["start"]
-            out.append(text)
-        cols = [pa.array(out, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns) if i != live]
-        yield pa.record_batch(cols, [n for n in b.schema.names if n != "live"])
+def _blank(at: int):
+    """The last column holds the live spans; it is applied to column ``at``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if spans:
+                    done = len(text)
+                    for s in sorted(spans, key=lambda s: (-s["end"], s["start"])):
+                        end = min(s["end"], done)
+                        if s["start"] < end:
+                            text, done = f"{text[:s['start']]}[secret]{text[end:]}", s["start"]
+                out.append(text)
+            cols = [pa.array(out, b.column(i).type) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.record_batch(cols, b.schema.names[:-1])
+    return run
 
 
 def redact(docs: DataFrame, wide: int = WIDE) -> DataFrame:
@@ -154,10 +155,10 @@ def redact(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     span = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     live = (_judged(scanned, wide).select("row", F.filter("spans", lambda s: s["live"]).alias("s"))
             .where(F.size("s") > 0).join(scanned.select("row", "doc_id", "text_hash"), "row")
-            .groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first(span).alias("live")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    out = (docs.join(live.hint("shuffle_hash"), same, "left").select(*(docs[n] for n in names), "live")
-           .mapInArrow(_blank, docs.schema))
+            .groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first(span).alias("live")).hint("shuffle_hash"))
+    same = docs["doc_id"].cast("long").eqNullSafe(live["id"]) & (F.xxhash64(docs["text"]) == live["text_hash"])
+    out = (docs.join(live, same, "left").select(*(docs[n] for n in names), live["live"].alias(fresh(docs, "live")))
+           .mapInArrow(_blank(names.index("text")), docs.schema))
     if "n_chars" not in names:
         return out
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
