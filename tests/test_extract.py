@@ -1,4 +1,6 @@
-"""Node table, XPath subset and operation chains (hand-written HTML)."""
+"""Node arrays, the XPath subset, operation chains, rule validation."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,56 +10,119 @@ from webloom.operators import html_nodes as H
 from webloom.operators import xpath as XP
 from webloom.sources import rules as R
 
-HTML = """<html><body><div id="yw2"><ul><li class="prev"><a href="/p">prev</a></li>
-<li class="next x"><a href="/n">next</a><li class="next"><a href="/n2" rel="tag">Two <b>Bold</b></a></ul></div>
-<div id="picBox"><p>one<p>two<img src="/i.png" onclick="go('//pictures.example/x.jpg')"><br></div>
-<a rel="tag" href="/t">Tag &amp; More</a><script>var s = "<a href='/no'>";</script>"""
+SHOP = """<section data-k="list"><dl><dt>Pear<dd lang=en>green <i>fruit</i><dt>Oak<dd lang=de>Baum</dl>
+<table><tr><td>1<td>2<tr><td>3</table></section><aside title="Note &lt;1&gt;">see <em>there</em>
+<img alt="x" data-go="load('//cdn.test/a.png')"></aside><script>"<td>no</td>"</script>"""
 
 
-def run(spark, ops, ptype="FOLLOW"):
+def run(spark, ops, ptype="FOLLOW", html=SHOP):
     p = R.parser({"name": "t", "type": ptype, "operations": ops}, 0)
-    df = spark.createDataFrame([(1, HTML)], "page_id long, html string")
-    res = X.apply_parser(df, p)
-    return [] if res is None else [r.value for r in X.with_seq(res).orderBy("seq").collect()]
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [r.value for r in X.apply_parser(df, p).orderBy("seq").collect()]
+
 
+def names(html):
+    rows = H.parse_nodes(html)
+    by = {r[0]: r[4] for r in rows}
+    return [(by.get(r[1], "#"), r[4], r[5]) for r in rows]
 
-def test_tree_rules():
-    rows = H.parse_nodes("<p>a<p>b<ul><li>x<li>y</ul>", None, None)
-    names = [(r[4], r[1], r[5]) for r in rows]
-    ul = next(r[0] for r in rows if r[4] == "ul")
-    # second p closes the first; li closes li; ul closes the open p
-    assert names == [("p", 0, 1), ("p", 0, 2), ("ul", 0, 1), ("li", ul, 1), ("li", ul, 2)]
+
+def test_implied_elements():
+    assert names("<p>a<p>b<ul><li>x<li>y</ul>") == [
+        ("#", "html", 1), ("html", "head", 1), ("html", "body", 1), ("body", "p", 1), ("body", "p", 2), ("body", "ul", 1),
+        ("ul", "li", 1), ("ul", "li", 2)]
+    assert names("<title>t</title>text") == [("#", "html", 1), ("html", "head", 1), ("head", "title", 1), ("html", "body", 1)]
+    assert names("<table><tr><td>1<tr><td>2</table>")[3:] == [
+        ("body", "table", 1), ("table", "tbody", 1), ("tbody", "tr", 1), ("tr", "td", 1), ("tbody", "tr", 2), ("tr", "td", 1)]
+    assert names("<html><head></head><body><div/><b>in</b></div></body></html>")[3:] == [("body", "div", 1), ("div", "b", 1)]
+    assert names("</p>")[3:] == [("body", "p", 1)]
+    assert names("") == [] and names("  \n") == []
+    assert [n for _, n, _ in names("<![x[ y ]]><u>z</u>")][3:] == ["u"]
 
 
 @pytest.mark.parametrize("path,want", [
-    ("//*[@id='yw2']/ul/li[contains(@class,'next')]/a/@href", ["/n", "/n2"]),
-    ("//div[@id=\"yw2\"]//a[contains(@class, 'x') or @rel='tag']/@href", ["/n2"]),
-    ("//a[@rel=\"tag\"]", ["Two Bold", "Tag & More"]),
-    ("//*[@id=\"picBox\"]//img/@src|@onclick", ["/i.png"]),
-    ("//ul/li[2]/a/@href", ["/n"]),
-    ("//li[starts-with(@class,'prev')]//text()", ["prev"]),
-    ("/html/body/a/@href", ["/t"]),
-    ("//div[not(@id='yw2')]/p", ["one", "two"]),
+    ("//dl/dt", ["Pear", "Oak"]),
+    ("//dl/dd[@lang='de']", ["Baum"]),
+    ("//section[@data-k='list']//i", ["fruit"]),
+    ("//dd[not(@lang='de') and starts-with(@lang, 'e')]", ["green fruit"]),
+    ("//table/tbody/tr/td", ["1", "2", "3"]),
+    ("//tr[2]/td[1]", ["3"]),
+    ("/html/body/aside/@title", ["Note <1>"]),
+    ("//img/@alt|@title", ["x"]),
+    ("//aside//@alt", ["x"]),
+    ("//@lang", ["en", "de"]),
+    ("//dd/i | //em", ["fruit", "there"]),
+    ("//aside/em/text()", ["there"]),
+    ("//dd[contains(@lang, 'z') or @lang!='de']/*", ["fruit"]),
+    ("//nothing//b", []),
 ])
 def test_xpath(spark, path, want):
     assert run(spark, [{"type": "XPATH", "value": path}]) == want
 
 
-def test_chain_regex_prefix_suffix_value(spark):
-    got = run(spark, [{"type": "XPATH", "value": "//*[@id='picBox']//img/@onclick"},
-                      {"type": "REGEX", "value": "//pictures.example[^\"']+"},
-                      {"type": "PREFIX", "value": "https:"}], "CONTENT")
-    assert got == ["https://pictures.example/x.jpg"]
-    assert run(spark, [{"type": "XPATH", "value": "//a[@rel='tag']"}], "TAG") == ["two bold", "tag & more"]
-    assert run(spark, [{"type": "XPATH", "value": "//nothing"}, {"type": "VALUE", "value": "x"}]) == []
-    assert run(spark, [{"type": "XPATH", "value": "//a/@href"}, {"type": "VALUE", "value": "x"},
-                       {"type": "SUFFIX", "value": "!"}]) == ["x!"]
+def test_chains(spark):
+    ops = [{"type": "XPATH", "value": "//img/@data-go"}, {"type": "REGEX", "value": "//[a-z.]+/[a-z.]+"},
+           {"type": "PREFIX", "value": "https:"}, {"type": "SUFFIX", "value": "?s=1"}]
+    assert run(spark, ops, "CONTENT") == ["https://cdn.test/a.png?s=1"]
+    assert run(spark, [{"type": "XPATH", "value": "//dt"}], "TAG") == ["pear", "oak"]
+    assert run(spark, [{"type": "XPATH", "value": "//dt"}, {"type": "VALUE", "value": "Any"}]) == ["Any"]
+    assert run(spark, [{"type": "XPATH", "value": "//video"}, {"type": "VALUE", "value": "Any"}]) == []
+    assert run(spark, [{"type": "REGEX", "value": "l[a-z]ng="}]) == ["lang=", "lang="]
+
+
+def test_later_xpath_parses_values_as_documents(spark):
+    page = "<ul><li title='<b>one</b><b>two</b>'><li title='<b>three</b>'></ul>"
+    ops = [{"type": "XPATH", "value": "//li/@title"}, {"type": "XPATH", "value": "//b"}, {"type": "SUFFIX", "value": "!"}]
+    assert run(spark, ops, html=page) == ["one!", "two!", "three!"]
+    assert run(spark, [*ops, {"type": "VALUE", "value": "v"}], html=page) == ["v"]
+
+
+def test_one_pass_without_shuffle(spark):
+    pages = spark.createDataFrame([(1, "c", "https://a.test/x", SHOP)], "page_id long, uclass string, url string, html string")
+    bind = {"c": [R.parser({"name": n, "type": "TAG", "operations": [{"type": "XPATH", "value": v}]}, i)
+                  for i, (n, v) in enumerate([("a", "//dl//i"), ("b", "//td"), ("d", "//aside//em")])]}
+    df = X.page_results(pages, bind)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Exchange" not in plan and "Join" not in plan
+    got = {(r.parser, r.seq): r.value for r in df.collect()}
+    assert got == {(None, 0): "https://a.test/x", ("a", 0): "fruit", ("b", 0): "1", ("b", 1): "2", ("b", 2): "3", ("d", 0): "there"}
+
 
+def rule(op, value):
+    return R.parser({"name": "n", "type": "TAG", "operations": [{"type": op, "value": value}]}, 0)
 
-def test_refused_rules():
-    with pytest.raises(XP.XPathError):
-        XP.compile_xpath("//a[position() > 2]")
-    assert X.regex_for_op("a*") is None          # matches empty
-    assert X.regex_for_op("(?=x)y") is None       # lookahead: not RE2
+
+@pytest.mark.parametrize("op,value", [("XPATH", "//a[position() > 2]"), ("XPATH", "//*[2]"), ("XPATH", "//a["), ("REGEX", "a*"),
+                                      ("REGEX", r"\b"), ("REGEX", "(?=x)y"), ("REGEX", "("), ("REGEX", "(?U)a+")])
+def test_bad_rules_raise_at_load(op, value):
+    with pytest.raises(R.RuleError):
+        rule(op, value)
     with pytest.raises(R.RuleError):
         R.parser({"name": "n", "type": "TAG", "operations": []}, 0)
+
+
+def test_rules_load_alike_from_every_source(spark, tmp_path):
+    dicts = [{"name": "a", "class": "POST", "priority": 1, "domain": "a.test", "query": {"p": {"value": "1"}}, "ordinal": 0},
+             {"name": "b", "class": "LIST", "priority": 0, "domain": "b.test", "query": {"q": {"value": "digits", "type": "REGEX"}},
+              "ordinal": 1}]
+    file = tmp_path / "rules.json"
+    file.write_text(json.dumps(dicts))
+    want = R.load_classes(dicts)
+    assert R.load_classes(str(file), spark) == want == R.load_classes(str(file))
+    assert R.load_classes(R.classes_dataframe(spark, want), spark) == want
+    assert R.load_classes(str(tmp_path / "none.json"), spark) == R.load_classes()
+    many = R.load_classes([{"name": f"c{i}", "domain": f"d{i}.test"} for i in range(10_500)])
+    assert len(many) == 10_500
+
+
+@pytest.mark.parametrize("pattern,text,want", [("x.+y", "x\ry", True), ("[[:digit:]]z", "7z", True), (r"\pLz", "éz", True), (r"q\z", "pq", True),
+                                               ("[+?]k", "+k", True), ("q$", "q\n", False), (r"\s", "\x0b", False), ("[[q]", "[", True)])
+def test_re2_dialect(spark, pattern, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.col("t").rlike(R.to_java_regex(pattern))).first()[0] is want
+
+
+def test_unsupported_paths():
+    for bad in ("//a[last()]", "a b", "//a/..", "//@x/y"):
+        with pytest.raises(XP.XPathError):
+            XP.compile_xpath(bad)

@@ -1,183 +1,152 @@
 """Extraction programs over pages.
 
-A parser is a chain of operations over a list of strings.  Here the list is a
-*long* DataFrame - one row per value, ``pos`` (ARRAY<INT>, compared
-lexicographically) keeping document order - so every operation is a
-projection or generator on rows:
-
-* VALUE  -> one constant row per page that still has values (D1)
-* XPATH  -> node table + joins (D2, ``html_nodes`` / ``xpath``)
-* REGEX  -> ``posexplode(regexp_extract_all(value, p, 0))`` (D3)
+A parser is a chain of operations over a list of strings; here the list is an
+ARRAY column of the page's row and every operation a Column expression on it:
+
+* VALUE  -> one constant if there is any value (D1)
+* XPATH  -> filters on the node array (D2, ``html_nodes`` / ``xpath``)
+* REGEX  -> all matches of each value, flattened (D3)
 * PREFIX / SUFFIX -> ``concat`` (D4, D5)
 
-An empty list ends the chain with no result (D6) simply because no rows are
-left; TAG results are lower-cased at the end (D7).  All parsers bound to a
-page's class run (D8) and ``page_results`` adds the SOURCE row and resolves
+An empty list ends the chain with no result (D6) because every operation
+maps an empty list to itself; TAG results are lower-cased at the end (D7).  All
+parsers bound to a page's class are columns of the same projection (D8), so a
+page is tokenized once, nothing is joined or shuffled, and one generator turns
+the lists into rows.  ``page_results`` adds the SOURCE row and resolves
 CONTENT/NEXT/FOLLOW values against the page URL (D9, B11).
 
-The HTML is tokenized once per page for all XPATH parsers together (one
-Python pass, only over pages whose class binds one), and only for the element
-names the compiled paths mention.
+An XPATH operation that is not the first one parses its input values as
+documents of their own: the values become rows, are tokenized, and are put
+together again per page (``_reparse``).  Rules are validated when they are loaded
+(``sources.rules``); an unsupported one raises there.
 """
 
 from __future__ import annotations
 
-import logging
-import re
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators import html_nodes, xpath
-from webloom.sources.rules import Parser, to_java_regex
-
-log = logging.getLogger(__name__)
+from webloom.sources.rules import Parser, regex_for_op
 
 LINK_TYPES = ("CONTENT", "NEXT", "FOLLOW")
 
 
-def regex_for_op(pattern: str) -> str | None:
-    """REGEX op pattern in Java syntax, or None when the parser must abort:
-    RE2 refuses it, or it can match the empty string (Go skips an empty match
-    next to the previous one, Java returns it)."""
-    p = to_java_regex(pattern)
-    if p is None:
-        return None
-    try:
-        if re.search(p, "") is not None:
-            return None
-    except re.error:
-        return None
-    return p
+def _apply(op, vals: Column, nodes: Column | None) -> Column:
+    """One operation on an array<string>."""
+    if op.type == "VALUE":
+        return F.when(F.size(vals) > 0, F.array(F.lit(op.value))).otherwise(F.array().cast("array<string>"))
+    if op.type == "PREFIX":
+        return F.transform(vals, lambda v: F.concat(F.lit(op.value), v))
+    if op.type == "SUFFIX":
+        return F.transform(vals, lambda v: F.concat(v, F.lit(op.value)))
+    if op.type == "REGEX":
+        p = F.lit(regex_for_op(op.value))
+        return F.flatten(F.transform(vals, lambda v: F.regexp_extract_all(v, p, F.lit(0))))
+    if op.type == "XPATH" and nodes is not None:
+        return xpath.values(nodes, xpath.compile_xpath(op.value))
+    raise ValueError(op.type)
 
 
-def _class_index(classes_with_parsers: list[str]) -> dict[str, int]:
-    return {c: i for i, c in enumerate(sorted(classes_with_parsers))}
+def _chain(ops, vals: Column, nodes: Column | None) -> Column:
+    for op in ops:
+        vals = _apply(op, vals, nodes)
+    return vals
 
 
-def _cls_expr(idx: dict[str, int], col: str = "uclass") -> Column:
-    e = F.lit(None).cast("int")
-    for name, i in idx.items():
-        e = F.when(F.col(col) == name, F.lit(i)).otherwise(e)
-    return e
+def _finish(p: Parser, vals: Column) -> Column:
+    return F.transform(vals, F.lower) if p.type == "TAG" else vals
 
 
-def _uclass_expr(idx: dict[str, int]) -> Column:
-    e = F.lit(None).cast("string")
-    for name, i in idx.items():
-        e = F.when(F.col("cls") == i, F.lit(name)).otherwise(e)
-    return e
+def _xpaths(parsers) -> list:
+    return [xpath.compile_xpath(p.operations[0].value) for p in parsers if p.operations[0].type == "XPATH"]
 
 
-def _apply_op(cur: DataFrame, op, first: bool) -> DataFrame | None:
-    """cur(page_key, cls, pos, value) -> next list."""
-    if op.type == "VALUE":
-        base = cur if first else cur.select("page_key", "cls").distinct()
-        return base.select("page_key", "cls", F.array(F.lit(0)).alias("pos"), F.lit(op.value).alias("value"))
-    if op.type == "PREFIX":
-        return cur.withColumn("value", F.concat(F.lit(op.value), F.col("value")))
-    if op.type == "SUFFIX":
-        return cur.withColumn("value", F.concat(F.col("value"), F.lit(op.value)))
-    if op.type == "REGEX":
-        p = regex_for_op(op.value)
-        if p is None:
-            return None
-        return (cur.select("page_key", "cls", "pos",
-                           F.posexplode(F.regexp_extract_all(F.col("value"), F.lit(p), 0)).alias("_i", "value"))
-                .select("page_key", "cls", F.concat(F.col("pos"), F.array(F.col("_i").cast("int"))).alias("pos"),
-                        "value"))
-    if op.type == "XPATH":
-        paths = xpath.compile_xpath(op.value)
-        keep, vals, text = xpath.names_used(paths)
-        nodes = html_nodes.node_table(cur.select("page_key", F.col("pos").alias("doc_pos"),
-                                                 F.col("value").alias("html"), "cls"),
-                                      keep, vals, text)
-        res = xpath.evaluate(nodes, paths)
-        if res is None:
-            return None
-        return res.select("page_key", "cls", F.concat("doc_pos", F.array("pre", "sub")).alias("pos"), "value")
-    raise ValueError(op.type)
+def _nested(p: Parser) -> bool:
+    return any(o.type == "XPATH" for o in p.operations[1:])
+
+
+def _reparse(rows: DataFrame, ops) -> DataFrame:
+    """rows (page_key, vals, ...) with ``vals`` after the chain ``ops``, whose
+    first operation is an XPATH: each value is a document."""
+    stop = next((i for i, o in enumerate(ops[1:], 1) if o.type == "XPATH" or o.type == "VALUE"), len(ops))
+    paths = xpath.compile_xpath(ops[0].value)
+    one = rows.select("page_key", F.posexplode("vals").alias("at", "html"))
+    done = html_nodes.with_nodes(one, *xpath.names_used(paths), drop_html=True).select(
+        "page_key", "at", _chain(ops[1:stop], xpath.values(F.col("nodes"), paths), None).alias("v"))
+    back = done.groupBy("page_key").agg(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"])).alias("vals"))
+    rest = ops[stop:]
+    while rest and rest[0].type != "XPATH":
+        back, rest = back.select("page_key", _apply(rest[0], F.col("vals"), None).alias("vals")), rest[1:]
+    return _reparse(back, rest) if rest else back
+
 
+def _nested_values(docs: DataFrame, p: Parser) -> DataFrame:
+    """docs (page_key, html) -> page_key, vals for a parser with a later XPATH."""
+    cut = next(i for i, o in enumerate(p.operations) if o.type == "XPATH" and i)
+    if p.operations[0].type == "XPATH":
+        rows = html_nodes.with_nodes(docs, *xpath.merge_names([xpath.names_used(x) for x in _xpaths([p])]), drop_html=True)
+        start = _chain(p.operations[:cut], F.lit(None), F.col("nodes"))
+    else:
+        rows, start = docs, _chain(p.operations[:cut], F.array("html"), None)
+    out = _reparse(rows.select("page_key", start.alias("vals")), p.operations[cut:])
+    return out.select("page_key", _finish(p, F.col("vals")).alias("vals"))
 
-def run_parsers(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str = "page_id",
-                strict: bool = False) -> DataFrame | None:
+
+def _lists(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str, extra: list[str], source: Column | None) -> DataFrame:
+    """One row per page: page_key, uclass, extra columns and ``lists``, an
+    array<struct<parser, type, vals>> of the page's results."""
+    parsers, classes = {}, {}
+    for c, ps in sorted(bind.items()):
+        for p in ps:
+            parsers[p.name] = p
+            classes.setdefault(p.name, []).append(c)
+    flat = [p for p in sorted(parsers.values(), key=lambda p: p.ordinal) if not _nested(p)]
+    rows = pages.select(F.col(key_col).alias("page_key"), "uclass", *extra, "html")
+    raw = any(p.operations[0].type != "XPATH" for p in flat)
+    found = _xpaths(flat)
+    if found:
+        wanted = sorted({c for p in flat if p.operations[0].type == "XPATH" for c in classes[p.name]})
+        rows = html_nodes.with_nodes(rows.withColumn("_wanted", F.coalesce(F.col("uclass").isin(*wanted), F.lit(False))),
+                                     *xpath.merge_names([xpath.names_used(x) for x in found]), wanted_col="_wanted",
+                                     drop_html=not raw)
+    kind = "array<struct<parser: string, type: string, vals: array<string>>>"
+    parts = [F.array(F.struct(F.lit(None).cast("string").alias("parser"), F.lit("SOURCE").alias("type"),
+                              F.array(source).alias("vals"))).cast(kind)] if source is not None else []
+    for p in flat:
+        first = F.array("html") if p.operations[0].type != "XPATH" else F.lit(None)
+        vals = _finish(p, _chain(p.operations, first, F.col("nodes") if found else None))
+        bound = F.col("uclass").isin(*classes[p.name])
+        parts.append(F.when(bound, F.array(F.struct(F.lit(p.name).alias("parser"), F.lit(p.type).alias("type"), vals.alias("vals")))
+                            ).otherwise(F.array().cast(kind)).cast(kind))
+    lists = F.concat(*parts) if parts else F.array().cast(kind)
+    return rows.select("page_key", "uclass", *extra, lists.alias("lists"))
+
+
+def _rows(pages: DataFrame, bind, key_col: str, extra: list[str], source: Column | None = None) -> DataFrame:
+    """Long rows page_key, uclass, extra, parser, type, seq, value."""
+    out = (_lists(pages, bind, key_col, extra, source).select("page_key", "uclass", *extra, F.explode("lists").alias("l"))
+           .select("page_key", "uclass", *extra, "l.parser", "l.type", F.posexplode("l.vals").alias("seq", "value")))
+    later = {p.name: p for ps in bind.values() for p in ps if _nested(p)}
+    for name, p in sorted(later.items()):
+        own = pages.where(F.col("uclass").isin(*[c for c, ps in bind.items() if any(q.name == name for q in ps)]))
+        docs = own.select(F.col(key_col).alias("page_key"), "uclass", *extra, "html")
+        vals = _nested_values(docs.select("page_key", "html"), p).where(F.size("vals") > 0)
+        out = out.unionByName(docs.drop("html").join(vals, "page_key").select(
+            "page_key", "uclass", *extra, F.lit(p.name).alias("parser"), F.lit(p.type).alias("type"),
+            F.posexplode("vals").alias("seq", "value")))
+    return out
+
+
+def run_parsers(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str = "page_id") -> DataFrame:
     """Results of every bound parser on every page of its classes.
 
     ``pages`` needs (key_col, uclass, html); returns long rows
-    (page_key, uclass, parser, type, pos, value) with TAG values lower-cased.
+    (page_key, uclass, parser, type, seq, value) with TAG values lower-cased.
     """
-    idx = _class_index([c for c, ps in bind.items() if ps])
-    if not idx:
-        return None
-    base = (pages.where(F.col("uclass").isin(*idx.keys()))
-            .select(F.col(key_col).alias("page_key"), _cls_expr(idx).alias("cls"), "html"))
-    parsers = {}
-    for c, ps in bind.items():
-        for p in ps:
-            parsers.setdefault(p.name, (p, []))[1].append(idx[c])
-
-    # Shared node table for all parsers whose first operation is XPATH.
-    first_x = {}
-    for name, (p, ids) in parsers.items():
-        if p.operations[0].type == "XPATH":
-            try:
-                first_x[name] = xpath.compile_xpath(p.operations[0].value)
-            except xpath.XPathError:
-                if strict:
-                    raise
-                log.warning("parser %s: XPath refused; parser skipped", name)
-    nodes = None
-    if first_x:
-        keep, vals, text = xpath.merge_names([xpath.names_used(v) for v in first_x.values()])
-        x_cls = sorted({i for n in first_x for i in parsers[n][1]})
-        docs = base.where(F.col("cls").isin(*x_cls)).select("page_key", F.array().cast("array<int>").alias("doc_pos"),
-                                                             "html", "cls")
-        nodes = html_nodes.node_table(docs, keep, vals, text).persist(StorageLevel.MEMORY_AND_DISK)
-
-    outs = []
-    for name, (p, ids) in sorted(parsers.items(), key=lambda kv: kv[1][0].ordinal):
-        ops = list(p.operations)
-        try:
-            if ops[0].type == "XPATH":
-                if name not in first_x:
-                    continue
-                res = xpath.evaluate(nodes.where(F.col("cls").isin(*ids)), first_x[name])
-                if res is None:
-                    continue
-                cur = res.select("page_key", "cls", F.concat("doc_pos", F.array("pre", "sub")).alias("pos"), "value")
-            else:
-                start = base.where(F.col("cls").isin(*ids)).select(
-                    "page_key", "cls", F.array().cast("array<int>").alias("pos"), F.col("html").alias("value"))
-                cur = _apply_op(start, ops[0], first=True)
-            for op in ops[1:]:
-                if cur is None:
-                    break
-                cur = _apply_op(cur, op, first=False)
-        except xpath.XPathError:
-            if strict:
-                raise
-            log.warning("parser %s: XPath refused; parser skipped", name)
-            cur = None
-        if cur is None:
-            continue
-        value = F.lower(F.col("value")) if p.type == "TAG" else F.col("value")
-        outs.append(cur.select("page_key", _uclass_expr(idx).alias("uclass"), F.lit(p.name).alias("parser"),
-                               F.lit(p.type).alias("type"), "pos", value.alias("value")))
-    if not outs:
-        return None
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def with_seq(results: DataFrame) -> DataFrame:
-    """Number each (page, parser)'s values 0.. in document order."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("page_key", "parser").orderBy("pos")
-    return results.withColumn("seq", (F.row_number().over(w) - 1).cast("int"))
+    return _rows(pages, bind, key_col, [])
 
 
 def page_results(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str = "page_id",
@@ -186,19 +155,12 @@ def page_results(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str =
     results of each bound parser; CONTENT/NEXT/FOLLOW values resolved
     against the page URL (unparsable values kept as they are).  A page whose
     class binds no parser still gets its SOURCE row."""
-    src = U.with_url_string(pages, url_col, "_src").select(F.col(key_col).alias("page_key"), "uclass", F.lit(None).cast("string").alias("parser"),
-                       F.lit("SOURCE").alias("type"), F.array(F.lit(0)).alias("pos"),
-                       F.col("_src").alias("value"))
-    ext = run_parsers(pages, bind, key_col)
-    if ext is None:
-        return src
-    urls = pages.select(F.col(key_col).alias("page_key"), F.col(url_col).alias("_base"))
-    # Only link-typed rows need the page URL; the join is keyed by page.
-    links = (ext.where(F.col("type").isin(*LINK_TYPES)).join(urls, "page_key")
-             .transform(lambda d: U.with_resolved(d, "_base", "value", "_resolved"))
-             .withColumn("value", F.col("_resolved")).drop("_base", "_resolved"))
-    other = ext.where(~F.col("type").isin(*LINK_TYPES))
-    return src.unionByName(other).unionByName(links)
+    base = U.with_url_string(pages, url_col, "_src").withColumnRenamed(url_col, "_base")
+    rows = _rows(base, bind, key_col, ["_base", "_src"], F.col("_src"))
+    link = F.when(F.col("type").isin(*LINK_TYPES), F.col("value"))
+    rows = U.with_resolved(rows.withColumn("_ref", link), "_base", "_ref", "_resolved")
+    return rows.select("page_key", "uclass", "parser", "type", "seq",
+                       F.when(F.col("type").isin(*LINK_TYPES), F.col("_resolved")).otherwise(F.col("value")).alias("value"))
 
 
 def page_tags(results: DataFrame) -> DataFrame:
@@ -208,18 +170,12 @@ def page_tags(results: DataFrame) -> DataFrame:
     return t.groupBy("page_key").agg(F.array_sort(F.collect_list("value")).alias("tags"))
 
 
-def apply_parser(docs: DataFrame, p: Parser, key_col: str = "page_id", html_col: str = "html") -> DataFrame | None:
-    """One parser over every document of ``docs`` (no class binding): long
-    rows (page_key, parser, type, pos, value); TAG values lower-cased."""
-    start = docs.select(F.col(key_col).alias("page_key"), F.lit(0).alias("cls"),
-                        F.array().cast("array<int>").alias("pos"), F.col(html_col).alias("value"))
-    cur = _apply_op(start, p.operations[0], first=True)
-    for op in p.operations[1:]:
-        if cur is None:
-            return None
-        cur = _apply_op(cur, op, first=False)
-    if cur is None:
-        return None
-    value = F.lower(F.col("value")) if p.type == "TAG" else F.col("value")
-    return cur.select("page_key", F.lit(p.name).alias("parser"), F.lit(p.type).alias("type"), "pos",
-                      value.alias("value"))
+def apply_parsers(docs: DataFrame, parsers: list[Parser], key_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Some parsers over every document of ``docs`` (no class binding): long
+    rows (page_key, parser, type, seq, value); TAG values lower-cased."""
+    all_pages = docs.select(key_col, F.lit("").alias("uclass"), F.col(html_col).alias("html"))
+    return run_parsers(all_pages, {"": parsers}, key_col).drop("uclass")
+
+
+def apply_parser(docs: DataFrame, p: Parser, key_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    return apply_parsers(docs, [p], key_col, html_col)

@@ -1,23 +1,26 @@
-"""HTML as a relation, stage 1: the node table.
+"""HTML as nested rows, stage 1: the node array.
 
 One ``mapInPandas`` pass tokenizes each body with the standard-library
-``html.parser`` and emits one row per element (and per text node when a path
-needs ``text()``):
-
-    (page_key, doc_pos, cls, pre, parent, depth, kind, name, sib_pos, attrs,
-     ancestors, value)
-
-``pre`` numbers nodes in document order (the document itself is 0), so
-``parent`` and ``ancestors`` turn the XPath axes into equi-joins (stage 2,
-``webloom.operators.xpath``).  To keep the table small only elements whose
-names occur in some compiled path are emitted (``keep_names``; ``None`` = all),
-and the string-value (concatenated descendant text) is filled only for names
-a path returns as elements (``value_names``).  Tree building follows the usual
-HTML rules that matter for extraction: void elements close themselves, a new
-``p`` or block element closes an open ``p``, ``li``/``dt``/``dd``/``option``
-close their open sibling, an end tag closes up to its open element (stray end
-tags are ignored), ``script``/``style`` content is raw text, everything open at
-EOF closes there.
+``html.parser`` and adds one column ``nodes`` to its row: an array with a struct
+per element (and per text node when a path needs ``text()``),
+
+    (pre, parent, kind, name, sib_pos, attrs, ancestors, value)
+
+``pre`` numbers nodes in document order (the document itself is 0).  Stage 2
+(``webloom.operators.xpath``) filters that array with Column expressions, so no
+step of a path shuffles.  Only elements whose names occur in some compiled path
+are emitted (``keep_names``; ``None`` = all), and the string-value (concatenated
+descendant text) is filled only for names a path returns as elements
+(``value_names``).
+
+Tree building follows the HTML rules that matter for extraction: ``html``,
+``head`` and ``body`` exist even where the source omits them, rows get an implied
+``tbody`` (and cells an implied row), void elements close themselves and ``/>``
+closes nothing else, a new ``p`` or block element closes an open ``p``,
+``li``/``dt``/``dd``/``option`` close their open sibling, an end tag closes up to
+its open element (stray ones are ignored, a stray ``</p>`` is an empty paragraph),
+``script``/``style`` content is raw text, everything open at EOF closes there.
+A body that the tokenizer cannot read fails the job; nothing is dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from webloom import schemas
+from webloom.session import ship_package
 
 # ---- fixed values: HTML element categories (WHATWG HTML) -------------------
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
@@ -41,6 +45,8 @@ SIBLING_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option"
 SCOPE_STOP = {"li": frozenset("ul ol".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
               "option": frozenset(["select"]), "tr": frozenset(["table"]), "td": frozenset(["tr", "table"]),
               "th": frozenset(["tr", "table"])}
+HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
+SECTIONS = frozenset("tbody thead tfoot".split())
 # ---------------------------------------------------------------------------
 
 
@@ -56,6 +62,7 @@ class _TreeBuilder(HTMLParser):
         self.root_counts = {}
         self.chunks = []
         self.rows = []
+        self.head_done = False
 
     # -- helpers --------------------------------------------------------------
     def _close_top(self):
@@ -81,9 +88,53 @@ class _TreeBuilder(HTMLParser):
     def _counts(self):
         return self.stack[-1][4] if self.stack else self.root_counts
 
+    # -- implied elements ------------------------------------------------------
+    def _has(self, name):
+        return any(e[1] == name for e in self.stack)
+
+    def _imply(self, name):
+        """Open what HTML supplies before a start tag ``name``."""
+        if name != "html" and not self._has("html"):
+            self._open("html", [])
+        if name in ("html", "head") or self._has("body"):
+            return
+        if name in HEAD_ONLY and not self.head_done:
+            if not self._has("head"):
+                self._open("head", [])
+            return
+        self._leave_head()
+        if name != "body":
+            self._open("body", [])
+
+    def _leave_head(self):
+        if self._has("head"):
+            self._close_through("head")
+        elif not self.head_done:
+            self._open("head", [])
+            self._close_through("head")
+        self.head_done = True
+
+    def _imply_table(self, name):
+        if name in SECTIONS:
+            while self.stack[-1][1] in SECTIONS | {"tr", "td", "th"} and self._open_in("table"):
+                self._close_top()
+        elif name == "tr" and self.stack[-1][1] == "table":
+            self._open("tbody", [])
+        elif name in ("td", "th"):
+            if self.stack[-1][1] == "table":
+                self._open("tbody", [])
+            if self.stack[-1][1] in SECTIONS:
+                self._open("tr", [])
+
     # -- parser callbacks ------------------------------------------------------
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i)  # HTML has no marked sections
+
     def handle_starttag(self, tag, attrs):
         name = tag.lower()
+        if name in ("html", "head", "body") and (self._has(name) or name == "head" and self.head_done):
+            return
+        self._imply(name)
         if name in CLOSES_P and self._open_in("p", frozenset(["button"])):
             self._close_through("p")
         if name in SIBLING_CLOSE:
@@ -91,6 +142,11 @@ class _TreeBuilder(HTMLParser):
                 if self._open_in(sib, SCOPE_STOP[name]):
                     self._close_through(sib)
                     break
+        if name in SECTIONS or name in ("tr", "td", "th"):
+            self._imply_table(name)
+        self._open(name, attrs)
+
+    def _open(self, name, attrs):
         counts = self._counts()
         counts[name] = counts.get(name, 0) + 1
         pre = self.next_pre
@@ -113,18 +169,27 @@ class _TreeBuilder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        name = tag.lower()
-        if name not in VOID and self.stack and self.stack[-1][1] == name:
-            self._close_top()
 
     def handle_endtag(self, tag):
         name = tag.lower()
-        if any(e[1] == name for e in self.stack):
+        if name in ("html", "body"):
+            return  # what follows still belongs to the body
+        if name == "head":
+            self._imply("head")
+            self._leave_head()
+        elif self._has(name):
             self._close_through(name)
+        elif name == "p":
+            self.handle_starttag("p", [])
+            self._close_through("p")
 
     def handle_data(self, data):
         if not data:
             return
+        if not self._has("body") and (not self.stack or self.stack[-1][1] in ("html", "head")):
+            if not data.strip():
+                return
+            self._imply("#text")
         self.chunks.append(data)
         pre = self.next_pre
         self.next_pre += 1
@@ -145,45 +210,30 @@ def parse_nodes(html: str, keep_names=None, value_names=None, want_text=False) -
     """Rows ``[pre, parent, depth, kind, name, sib_pos, attrs, ancestors, -, -, value]``
     of one document (plain Python, used by the Spark stage and by tests)."""
     b = _TreeBuilder(keep_names, value_names, want_text)
-    try:
-        b.feed(html or "")
-        return b.finish()
-    except Exception:
-        # A tokenizer failure on one body yields no nodes for it, not a failed job.
-        return []
+    b.feed(html or "")
+    return b.finish()
 
 
-_OUT_COLS = [f.name for f in schemas.HTML_NODE.fields] + ["cls"]
+def with_nodes(docs: DataFrame, keep_names=None, value_names=None, want_text=False, html_col: str = "html",
+               wanted_col: str | None = None, drop_html: bool = False) -> DataFrame:
+    """Stage 1 as a Spark job: ``docs`` with a column ``nodes``.
 
-
-def node_table(docs: DataFrame, keep_names=None, value_names=None, want_text=False,
-               key_col="page_key", pos_col="doc_pos", html_col="html", cls_col="cls") -> DataFrame:
-    """Stage 1 as a Spark job: ``docs(page_key, doc_pos, html, cls)`` ->
-    node rows.  Runs partition-parallel on the executors; only the needed
-    columns enter the Python worker."""
+    Rows where ``wanted_col`` is false are not tokenized (their array is
+    empty); ``drop_html`` leaves the body behind in the Python worker.
+    """
+    ship_package(docs.sparkSession)
     keep = None if keep_names is None else frozenset(keep_names)
     vals = None if value_names is None else frozenset(value_names)
+    out = [f for f in docs.schema.fields if not (drop_html and f.name == html_col)]
+
+    def rows(html, wanted):
+        return [{"pre": r[0], "parent": r[1], "kind": r[3], "name": r[4], "sib_pos": r[5], "attrs": r[6],
+                 "ancestors": r[7], "value": r[10]} for r in parse_nodes(html, keep, vals, want_text)] if wanted else []
 
     def run(batches):
         for pdf in batches:
-            out = {c: [] for c in _OUT_COLS}
-            for key, pos, html, cls in zip(pdf[key_col], pdf[pos_col], pdf[html_col], pdf[cls_col]):
-                pos_list = list(pos) if pos is not None else []
-                for r in parse_nodes(html, keep, vals, want_text):
-                    out["page_key"].append(key)
-                    out["doc_pos"].append(pos_list)
-                    out["pre"].append(r[0])
-                    out["parent"].append(r[1])
-                    out["depth"].append(r[2])
-                    out["kind"].append(r[3])
-                    out["name"].append(r[4])
-                    out["sib_pos"].append(r[5])
-                    out["attrs"].append(r[6])
-                    out["ancestors"].append(r[7])
-                    out["value"].append(r[10])
-                    out["cls"].append(cls)
-            if out["pre"]:  # an empty frame has no list dtypes for Arrow
-                yield pd.DataFrame(out, columns=_OUT_COLS)
-
-    schema = T.StructType(list(schemas.HTML_NODE.fields) + [T.StructField("cls", T.IntegerType())])
-    return docs.select(key_col, pos_col, html_col, cls_col).mapInPandas(run, schema)
+            wanted = pdf[wanted_col] if wanted_col else [True] * len(pdf)
+            nodes = [rows(h, w) for h, w in zip(pdf[html_col], wanted, strict=True)]
+            yield pdf[[f.name for f in out]].assign(nodes=pd.Series(nodes, index=pdf.index, dtype=object))
+
+    return docs.mapInPandas(run, T.StructType([*out, T.StructField("nodes", T.ArrayType(schemas.HTML_NODE))]))

@@ -1,4 +1,4 @@
-"""XPath location paths compiled to DataFrame joins.
+"""XPath location paths compiled to Column expressions.
 
 Supported subset (what the rule sets use, plus the usual small extras):
 
@@ -15,15 +15,10 @@ Anything else is refused when the rule is loaded (``XPathError``), where the
 reference would fail at run time.  A relative path in a union (``a|@b``) is
 evaluated from the document node, as the reference does.
 
-Evaluation over the node table (``html_nodes.node_table``): a step's
-candidates are node rows filtered by name and predicates (Column filters on
-``attrs``), then
-
-* child axis: ``left_semi`` join on (page_key, doc_pos, parent = context.pre);
-* descendant axis: candidates' ``ancestors`` exploded, ``left_semi`` join on
-  (page_key, doc_pos, ancestor = context.pre), then one row per node again.
-
-Both are equi-joins keyed inside a page - no range join, no pairs.
+Evaluation is Column-only, over the ``nodes`` array of a row
+(``html_nodes.with_nodes``): a step filters the array by name, predicates and
+axis (``parent`` or ``ancestors`` against the numbers of the context nodes).  No
+join, no shuffle; each step's context is computed once per row.
 """
 
 from __future__ import annotations
@@ -31,7 +26,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -191,6 +186,14 @@ def compile_xpath(text: str) -> list[Path]:
     return _P(text).expr()
 
 
+def validate(text: str) -> None:
+    """Raise XPathError for a path that is outside the subset."""
+    for path in compile_xpath(text):
+        for s in path.steps:
+            if s.position is not None and s.name == "*":
+                raise XPathError(f"unsupported XPath {text!r}: position on '*'")
+
+
 def _pred_column(p, attrs: Column) -> Column:
     op = p[0]
     if op == "or":
@@ -227,7 +230,7 @@ def names_used(paths: list[Path]) -> tuple[set | None, set | None, bool]:
         for i, s in enumerate(p.steps):
             if s.kind == "elem":
                 if s.name == "*":
-                    keep = None if keep is not None else None
+                    keep = None
                 elif keep is not None:
                     keep.add(s.name)
                 if i == len(p.steps) - 1:
@@ -237,6 +240,8 @@ def names_used(paths: list[Path]) -> tuple[set | None, set | None, bool]:
                         values.add(s.name)
             elif s.kind == "text":
                 text = True
+            elif s.axis == "descendant":
+                keep = None  # any element may hold the attribute
     return keep, values, text
 
 
@@ -249,74 +254,70 @@ def merge_names(parts):
     return keep, values, text
 
 
-_KEYS = ["page_key", "doc_pos"]
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row (a lambda variable)."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _candidates(nodes: DataFrame, s: Step) -> DataFrame:
-    c = nodes.where(F.col("kind") == "elem")
+def _is_step(n: Column, s: Step) -> Column:
+    c = n["kind"] == "elem"
     if s.name != "*":
-        c = c.where(F.col("name") == s.name)
+        c = c & (n["name"] == s.name)
     for p in s.preds:
-        c = c.where(_pred_column(p, F.col("attrs")))
+        c = c & _pred_column(p, n["attrs"])
     if s.position is not None:
-        if s.name == "*":
-            raise XPathError("position on '*' is not supported")
-        c = c.where(F.col("sib_pos") == s.position)
+        c = c & (n["sib_pos"] == s.position)
     return c
 
 
-def _restrict(cand: DataFrame, ctx: DataFrame | None, axis: str) -> DataFrame:
-    """Nodes of ``cand`` on ``axis`` of some node of ``ctx`` (None = document)."""
+def _on_axis(n: Column, ctx: Column | None, axis: str) -> Column:
+    """Whether ``n`` lies on the axis of some context node (None: the document)."""
     if ctx is None:
-        return cand if axis == "descendant" else cand.where(F.col("parent") == 0)
-    c = ctx.select(*_KEYS, F.col("pre").alias("_ctx"))
-    if axis == "child":
-        return cand.join(c, [cand.page_key == c.page_key, cand.doc_pos == c.doc_pos, cand.parent == c._ctx],
-                         "left_semi")
-    ex = cand.withColumn("_anc", F.explode("ancestors"))
-    hit = ex.join(c, [ex.page_key == c.page_key, ex.doc_pos == c.doc_pos, ex._anc == c._ctx], "left_semi")
-    return hit.drop("_anc").dropDuplicates(_KEYS + ["pre"])
-
-
-def evaluate(nodes: DataFrame, paths: list[Path]) -> DataFrame:
-    """Values selected by the union of ``paths``: rows (page_key, doc_pos, cls,
-    pre, sub, value), one per selected node, empty strings skipped."""
+        return F.lit(True) if axis == "descendant" else n["parent"] == 0
+    return F.array_contains(ctx, n["parent"]) if axis == "child" else F.arrays_overlap(ctx, n["ancestors"])
+
+
+def _found(nodes: Column, sub: int, value) -> Column:
+    return F.transform(nodes, lambda n: F.struct(n["pre"].alias("pre"), F.lit(sub).alias("sub"), value(n).alias("value")))
+
+
+def _walk(nodes: Column, steps: list[Step], ctx: Column | None) -> Column | None:
+    """array<struct<pre, sub, value>> of the last step's nodes."""
+    s, rest = steps[0], steps[1:]
+    if s.kind == "attr":
+        if ctx is None and s.axis == "child":
+            return None  # the document node has no attributes
+
+        def holds(n):
+            own = F.lit(True) if ctx is None else F.array_contains(ctx, n["pre"])
+            if ctx is not None and s.axis == "descendant":
+                own = own | F.arrays_overlap(ctx, n["ancestors"])
+            return (n["kind"] == "elem") & n["attrs"][s.name].isNotNull() & own
+
+        return _found(F.filter(nodes, holds), 1, lambda n: n["attrs"][s.name])
+    if s.kind == "text":
+        return _found(F.filter(nodes, lambda n: (n["kind"] == "text") & _on_axis(n, ctx, s.axis)), 0, lambda n: n["value"])
+    if s.position is not None and s.name == "*":
+        raise XPathError("position on '*' is not supported")
+    hits = F.filter(nodes, lambda n: _is_step(n, s) & _on_axis(n, ctx, s.axis))
+    if not rest:
+        return _found(hits, 0, lambda n: n["value"])
+    if _walk(nodes, rest, F.array(F.lit(0))) is None:
+        return None
+    return _bind(F.transform(hits, lambda n: n["pre"]), lambda c: _walk(nodes, rest, c))
+
+
+def values(nodes: Column, paths: list[Path]) -> Column:
+    """array<string>: the non-empty values of the union of ``paths`` over a
+    ``nodes`` column, in document order."""
     outs = []
     for p in paths:
-        ctx = None
-        if not p.absolute:
-            # relative path from the document node: only attribute/text of the
-            # document itself could match, and the document has none.
-            if p.steps[0].kind != "elem":
-                continue
-        for s in p.steps:
-            if s.kind == "elem":
-                ctx = _restrict(_candidates(nodes, s), ctx, s.axis)
-                last = "elem"
-            elif s.kind == "attr":
-                if ctx is None:
-                    ctx = None
-                    last = "none"
-                    break
-                src = ctx if s.axis == "child" else _restrict(
-                    nodes.where(F.col("kind") == "elem"), ctx, "descendant").unionByName(ctx).dropDuplicates(_KEYS + ["pre"])
-                ctx = (src.where(F.col("attrs")[s.name].isNotNull())
-                       .withColumn("value", F.col("attrs")[s.name]).withColumn("sub", F.lit(1)))
-                last = "attr"
-            else:  # text()
-                texts = nodes.where(F.col("kind") == "text")
-                ctx = _restrict(texts, ctx, s.axis)
-                last = "text"
-        if ctx is None or last == "none":
-            continue
-        if last != "attr":
-            ctx = ctx.withColumn("sub", F.lit(0))
-        outs.append(ctx.select("page_key", "doc_pos", "cls", "pre", "sub", "value"))
+        if not p.absolute and p.steps[0].kind != "elem":
+            continue  # attributes or text of the document itself: none
+        v = _walk(nodes, p.steps, None)
+        if v is not None:
+            outs.append(v)
     if not outs:
-        return None
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    if len(outs) > 1:
-        res = res.dropDuplicates(["page_key", "doc_pos", "pre", "sub", "value"])
-    return res.where(F.col("value").isNotNull() & (F.length("value") > 0))
+        return F.array().cast("array<string>")
+    found = outs[0] if len(outs) == 1 else F.array_sort(F.array_distinct(F.concat(*outs)))
+    return F.filter(F.transform(found, lambda x: x["value"]), lambda x: x.isNotNull() & (F.length(x) > 0))

@@ -20,7 +20,7 @@ DEPTH = 3
 
 
 def link_edges(spark, sf_dir):
-    res = X.with_seq(extract_q._results(spark, sf_dir))
+    res = extract_q._results(spark, sf_dir)
     return CR.link_edges(res).select(F.col("src").alias("page_id"), "type", "seq", "dst")
 
 

@@ -26,7 +26,7 @@ def class_parser_binding_untyped(spark, sf_dir):
 
 def _run_all(spark, sf_dir, parser):
     pages = tables.pages(spark, sf_dir, "page_id", "html")
-    res = X.with_seq(X.apply_parser(pages, parser))
+    res = X.apply_parser(pages, parser)
     return res.select(F.col("page_key").alias("page_id"), "seq", "value")
 
 
@@ -66,7 +66,7 @@ def _results(spark, sf_dir):
 
 
 def page_results(spark, sf_dir):
-    return (X.with_seq(_results(spark, sf_dir))
+    return (_results(spark, sf_dir)
             .select(F.col("page_key").alias("page_id"), "uclass", "parser", "type", "seq", "value"))
 
 

@@ -46,11 +46,8 @@ RESULT_LONG = T.StructType([
 
 # Node table of the HTML-as-a-relation stage.
 HTML_NODE = T.StructType([
-    T.StructField("page_key", T.LongType()),
-    T.StructField("doc_pos", T.ArrayType(T.IntegerType())),
     T.StructField("pre", T.IntegerType()),
     T.StructField("parent", T.IntegerType()),
-    T.StructField("depth", T.IntegerType()),
     T.StructField("kind", T.StringType()),  # elem | text
     T.StructField("name", T.StringType()),
     T.StructField("sib_pos", T.IntegerType()),  # 1-based among same-name siblings

@@ -45,7 +45,7 @@ def classify_parse_stream(spark: SparkSession, pages: DataFrame, classes, parser
 
     def run(batch: DataFrame, batch_id: int):
         cl = C.processable(C.classify(batch.select("page_id", "url", "html"), classes))
-        res = X.with_seq(X.page_results(cl, bind))
+        res = X.page_results(cl, bind)
         (res.select(F.col("page_key").alias("page_id"), "uclass", "parser", "type", "seq", "value")
          .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}")))
 
