@@ -10,10 +10,26 @@ from pyspark.sql import functions as F
 END_OF_TIME = "9999-12-31 23:59:59"  # expiry of session cookies (UTC)
 _V4 = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_V4}\.{_V4}\.{_V4}\.{_V4}$"
-IPV6 = r"^(?=.*:)(?!.*:::)(?!(.*::){2})[0-9A-Fa-f:]*(:{_v4})?$".replace("{_v4}", rf"{_V4}\.{_V4}\.{_V4}\.{_V4}")
 # ---------------------------------------------------------------------------
 
 
+def _ipv6() -> str:
+    """Eight groups of 1-4 hex digits, the last two maybe dotted IPv4; one
+    ``::`` stands for at least one group."""
+    g = "[0-9A-Fa-f]{1,4}"
+    v4 = IPV4[1:-1]
+    forms = [f"(?:{g}:){{7}}{g}", f"(?:{g}:){{6}}{v4}"]
+    for k in range(8):
+        head = f"{g}(?::{g}){{{k - 1}}}" if k else ""
+        forms.append(f"{head}::" + (f"(?:{g}(?::{g}){{0,{6 - k}}})?" if k < 7 else ""))
+        if k < 6:
+            forms.append(f"{head}::(?:{g}:){{0,{5 - k}}}{v4}")
+    return "^(?:" + "|".join(forms) + ")$"
+
+
+IPV6 = _ipv6()
+
+
 def _last_index(s: Column, ch: str) -> Column:
     """0-based index of the last ``ch`` in ``s``; -1 when absent."""
     r = F.locate(ch, F.reverse(s))

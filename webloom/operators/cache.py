@@ -1,9 +1,9 @@
 """Page cache and result store as tables.
 
 The reference keys both by ``md5(url)``; here that key is a column.  "Last
-write wins" is a ``max_by`` aggregate (partial on the map side, so a URL
-fetched millions of times costs one row per task before the shuffle), and
-lookups are semi/anti joins on the key.
+write wins" is a narrow ``max`` aggregate (partial on the map side, so a URL
+fetched millions of times costs one row per task before the shuffle) and a
+semi-join; lookups are semi/anti joins on the key.
 """
 
 from __future__ import annotations
@@ -18,11 +18,14 @@ def url_key(url_col: str = "url"):
 
 def latest(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last version per key by ``order`` (ties broken by the
-    later columns of ``order``)."""
-    others = [c for c in versions.columns if c != key]
-    return (versions.groupBy(key)
-            .agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_v"))
-            .select(key, "_v.*"))
+    later columns of ``order``).
+
+    Only key and order columns are aggregated (partially on the map side); the
+    rows of the winners come back by a semi-join, so bodies are neither
+    sorted nor carried where they are not read.  (key, order) identifies a version.
+    """
+    best = versions.groupBy(key).agg(F.max(F.struct(*order)).alias("_o")).select(key, "_o.*")
+    return versions.join(best, [key, *order], "left_semi")
 
 
 def cache_upsert(versions: DataFrame, url_col: str = "url", ts_col: str = "fetched_at",

@@ -22,17 +22,20 @@ def with_id_hash(df: DataFrame, body_col: str = "body", out: str = "id_hash") ->
 
 def ingest(df: DataFrame, body_col: str = "body", seq_col: str = "seq") -> DataFrame:
     """F3 ``Put`` over a batch: one row per distinct body, keyed by its hash,
-    with the first ingest (lowest ``seq``) and the copy count.
+    with the first ingest (lowest ``seq``, unique) and the copy count.
 
-    Aggregation is partial on the map side, so a hash that holds a third of
-    all rows is reduced to one row per map task before the shuffle; the body
-    itself is carried by ``min_by`` only once per group.
+    Only hash and sequence are aggregated (partially on the map side, so a hash
+    that holds a third of all rows is one row per task in the shuffle); the body of
+    the winner comes back by :func:`bodies` where it is wanted.
     """
     h = with_id_hash(df, body_col)
-    return (h.groupBy("id_hash")
-            .agg(F.min(seq_col).alias("first_seq"),
-                 F.count(F.lit(1)).alias("n_copies"),
-                 F.min_by(F.col(body_col), F.col(seq_col)).alias("body")))
+    return h.groupBy("id_hash").agg(F.min(seq_col).alias("first_seq"), F.count(F.lit(1)).alias("n_copies"))
+
+
+def bodies(first: DataFrame, df: DataFrame, body_col: str = "body", seq_col: str = "seq") -> DataFrame:
+    """F5 ``Get``: the stored body of each item of :func:`ingest`."""
+    own = df.select(F.col(seq_col).alias("first_seq"), F.col(body_col).alias("body"))
+    return first.join(own, "first_seq")
 
 
 def source_tags(ingests: DataFrame, tag_col: str = "tag", seq_col: str = "seq",

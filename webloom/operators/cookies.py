@@ -28,22 +28,57 @@ from webloom.functions import urls as U
 JAR = ["jar_id", "jar_key"]
 
 
-def _url_fields(df: DataFrame, url_col: str) -> DataFrame:
+SMALL_SUFFIXES = 100_000
+
+
+def public_suffix(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(name, suffix) for distinct host names: the longest listed suffix at a
+    label boundary, by default the last label.  suffixes: column ``suffix``."""
+    labels = F.split("name", "[.]")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    named = names.where("name is not null and name != ''").select("name").distinct()
+    listed = suffixes.select(F.col("suffix").alias("tail")).distinct()
+    listed = F.broadcast(listed) if listed.count() <= SMALL_SUFFIXES else listed
+    best = (named.select("name", F.explode(tails).alias("tail")).join(listed, "tail").groupBy("name")
+            .agg(F.max_by("tail", F.length("tail")).alias("found")))
+    return named.join(best, "name", "left").select("name", F.coalesce("found", F.element_at(labels, -1)).alias("suffix"))
+
+
+def _with_suffix(df: DataFrame, col: str, out: str, suffixes: DataFrame) -> DataFrame:
+    found = public_suffix(df.select(F.col(col).alias("name")), suffixes)
+    return df.join(found.select(F.col("name").alias(col), F.col("suffix").alias(out)), col, "left")
+
+
+def _url_fields(df: DataFrame, url_col: str, suffixes: DataFrame | None = None) -> DataFrame:
     d = U.with_url_parts(df, url_col, "_u")
     u = F.col("_u")
-    d = U.materialize(d, scheme=u["scheme"], _raw_host=F.lower(u["host"]), req_path=u["path"]).drop("_u")
+    # Paths are compared decoded; '+' is an ordinary character of a path.
+    plain = F.coalesce(F.try_url_decode(F.regexp_replace(u["path"], "[+]", "%2B")), u["path"])
+    d = U.materialize(d, scheme=u["scheme"], _raw_host=F.lower(u["host"]), req_path=plain).drop("_u")
     d = U.materialize(d, host=HS.canonical_host(F.col("_raw_host"))).drop("_raw_host")
-    d = U.materialize(d, jar_key=HS.jar_key(F.col("host")))
-    return d.where(F.col("scheme").isin("http", "https") & F.col("host").isNotNull() & (F.col("host") != ""))
+    d = d.where(F.col("scheme").isin("http", "https") & F.col("host").isNotNull())
+    if suffixes is None:
+        return U.materialize(d, jar_key=HS.jar_key(F.col("host")))
+    d = _with_suffix(d, "host", "_suffix", suffixes)
+    return U.materialize(d, jar_key=HS.jar_key_with_suffix(F.col("host"), F.coalesce("_suffix", "host"))).drop("_suffix")
 
 
-def entries(sets: DataFrame, url_col: str = "url") -> DataFrame:
+def entries(sets: DataFrame, url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """H5-H7 for rows (jar_id, event_id, ordinal, ts, url, name, value,
-    domain_attr, path_attr, max_age, expires, secure, httponly).  Rejected
-    cookies and non-http(s) URLs are dropped; ``remove`` marks deletions."""
-    d = _url_fields(sets, url_col)
-    d = U.materialize(d, _dt=HS.domain_and_type(F.col("host"), F.col("domain_attr")))
+    domain_attr, path_attr, max_age, expires, secure, httponly[, same_site]).
+    Rejected cookies and non-http(s) URLs are dropped; ``remove`` marks
+    deletions.  With a suffix table, cookies for a whole public suffix are refused."""
+    d = _url_fields(sets, url_col, suffixes)
+    if suffixes is None:
+        kind = HS.domain_and_type(F.col("host"), F.col("domain_attr"))
+    else:
+        d = _with_suffix(d.withColumn("_attr", F.lower(F.regexp_replace("domain_attr", "^[.]", ""))), "_attr", "_ps", suffixes)
+        kind = HS.domain_and_type(F.col("host"), F.col("domain_attr"), F.col("_ps"))
+    d = U.materialize(d, _dt=kind)
     d = d.where(F.col("_dt")["error"].isNull())
+    mode = F.lower("same_site") if "same_site" in sets.columns else F.lit(None).cast("string")
+    same_site = (F.when(mode == "default", "SameSite").when(mode == "strict", "SameSite=Strict")
+                 .when(mode == "lax", "SameSite=Lax").otherwise(""))
     path = F.when(F.col("path_attr").startswith("/"), F.col("path_attr")).otherwise(HS.default_path(F.col("req_path")))
     ma = F.coalesce(F.col("max_age"), F.lit(0))
     remove = (ma < 0) | ((ma == 0) & F.col("expires").isNotNull() & (F.col("expires") <= F.col("ts")))
@@ -57,13 +92,13 @@ def entries(sets: DataFrame, url_col: str = "url") -> DataFrame:
         "name", "value", F.col("_dt")["domain"].alias("domain"), path.alias("path"),
         F.col("_dt")["host_only"].alias("host_only"), F.coalesce("secure", F.lit(False)).alias("secure"),
         F.coalesce("httponly", F.lit(False)).alias("httponly"), persistent.alias("persistent"),
-        expires.alias("expires"), remove.alias("remove"))
+        expires.alias("expires"), same_site.alias("same_site"), remove.alias("remove"))
 
 
-def requests_prepared(requests: DataFrame, url_col: str = "url") -> DataFrame:
+def requests_prepared(requests: DataFrame, url_col: str = "url", suffixes: DataFrame | None = None) -> DataFrame:
     """Request rows (jar_id, event_id, ts, url) with host, jar key, https flag
     and request path ('' -> '/')."""
-    d = _url_fields(requests, url_col)
+    d = _url_fields(requests, url_col, suffixes)
     return (d.withColumn("https", F.col("scheme") == "https")
             .withColumn("req_path", F.when(F.col("req_path") == "", F.lit("/")).otherwise(F.col("req_path"))))
 
@@ -100,7 +135,7 @@ def versions(ents: DataFrame, reqs: DataFrame | None = None) -> DataFrame:
     return (e.where(F.col("_kind") == "set")
             .withColumn("_first", first)
             .select(*JAR, "cookie_id", "name", "value", "domain", "path", "host_only", "secure", "httponly",
-                    "persistent", "expires", F.col("_first")["ts"].alias("creation"),
+                    "same_site", "persistent", "expires", F.col("_first")["ts"].alias("creation"),
                     F.col("_first")["event_id"].alias("seq_eid"), F.col("_first")["ordinal"].alias("seq_ord"),
                     F.col("ts").alias("valid_from"), F.col("event_id").alias("from_eid"),
                     F.col("_nts").alias("valid_to"), F.col("_neid").alias("to_eid")))
@@ -147,14 +182,18 @@ def cookies_for_requests(vers: DataFrame, reqs: DataFrame) -> DataFrame:
 
 
 def last_access(vers: DataFrame, reqs: DataFrame) -> DataFrame:
-    """Per cookie, the later of its last set and the last request it was
-    sent with."""
-    sets = vers.groupBy(*JAR, "cookie_id").agg(F.max("valid_from").alias("last_set"))
+    """Per cookie that is still in the jar, the later of its last set and
+    the last request it was sent with.  A cookie is gone if its last event
+    deleted it or a later read of the jar found it expired."""
+    reads = reqs.groupBy(*JAR).agg(F.max("ts").alias("_read"))
+    purged = F.col("persistent") & (F.col("_read") > F.col("valid_from")) & (F.col("_read") >= F.col("expires"))
+    here = (vers.where("valid_to is null").join(reads, JAR, "left").where(~F.coalesce(purged, F.lit(False)))
+            .select(*JAR, "cookie_id", F.col("valid_from").alias("last_set")))
     s = sent_cookies(vers, reqs)
     if s is None:
-        return sets.withColumnRenamed("last_set", "last_access")
+        return here.withColumnRenamed("last_set", "last_access")
     sent = s.groupBy(*JAR, "cookie_id").agg(F.max("req_ts").alias("last_sent"))
-    return (sets.join(sent, JAR + ["cookie_id"], "left")
+    return (here.join(sent, JAR + ["cookie_id"], "left")
             .select(*JAR, "cookie_id", F.greatest("last_set", F.coalesce("last_sent", "last_set")).alias("last_access")))
 
 

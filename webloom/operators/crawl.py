@@ -3,8 +3,8 @@
 Links are an edge DataFrame; a crawl is an iterative equi-join of the current
 level with the edges, minus everything already seen (``left_anti``) - a
 breadth-first expansion in which each node is reached once, at its smallest
-depth.  Lineage is cut with a reliable ``checkpoint`` (shared
-``spark.checkpoint.dir``) every few levels so deep crawls keep a short plan and
+depth.  Each level is cut off with a reliable ``checkpoint`` (shared
+``spark.checkpoint.dir``), so plans stay as short at depth 50 as at depth 1 and
 survive executor loss.
 """
 
@@ -31,45 +31,53 @@ def frontier(edges: DataFrame, seen: DataFrame, dst: str = "dst", seen_col: str
     return new.join(seen.select(F.col(seen_col).alias("url")), "url", "left_anti")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, max_depth: int, checkpoint_every: int = 4) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """Nodes reachable from ``seeds`` (column ``node``) within
     ``max_depth`` hops over ``edges(src, dst)``; each node once with its
-    smallest depth and the (lexicographically smallest) path that reached it
-    (``path`` = ancestors then itself)."""
-    level = seeds.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")).distinct()
-    seen = level.select("node")
+    smallest depth and the smallest ``parent`` of the level before (null for
+    seeds).  Every level is checkpointed, so a level's plan reads files: it does not
+    contain the levels before it."""
+    hops = edges.select(F.col("src").alias("node"), "dst")
+    level = cut_lineage(seeds.select("node").distinct().select(
+        "node", F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("parent")))
     out = level
     for d in range(1, max_depth + 1):
-        nxt = (level.join(edges.select(F.col("src").alias("node"), "dst"), "node")
-               .select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-               .join(seen, "node", "left_anti")
-               .groupBy("node").agg(F.min("path").alias("path"))
-               .select("node", F.lit(d).alias("depth"), "path"))
-        if checkpoint_every and d % checkpoint_every == 0:
-            nxt = cut_lineage(nxt)
-        out = out.unionByName(nxt)
-        seen = seen.unionByName(nxt.select("node"))
-        level = nxt
+        found = (level.select("node").join(hops, "node").groupBy(F.col("dst").alias("new")).agg(F.min("node").alias("parent"))
+                 .join(out.select(F.col("node").alias("new")), "new", "left_anti"))
+        level = cut_lineage(found.select(F.col("new").alias("node"), F.lit(d).alias("depth"), "parent"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
     return out
 
 
-def inherited_tags(reached: DataFrame, page_tags: DataFrame, urls: DataFrame) -> DataFrame:
+def ancestors(reached: DataFrame, max_depth: int) -> DataFrame:
+    """(node, anc): the breadcrumb of each reached node, itself not included,
+    by following ``parent`` one level at a time."""
+    up = reached.where("parent is not null").select("node", F.col("parent").alias("anc"))
+    step = reached.where("parent is not null").select(F.col("node").alias("anc"), F.col("parent").alias("next"))
+    out = up
+    for _ in range(1, max_depth):
+        up = cut_lineage(up.join(step, "anc").select("node", F.col("next").alias("anc")))
+        if up.isEmpty():
+            break
+        out = out.unionByName(up)
+    return out
+
+
+def inherited_tags(reached: DataFrame, anc: DataFrame, page_tags: DataFrame, urls: DataFrame) -> DataFrame:
     """An item takes the tags of every page on its breadcrumb path (its
     ancestors): the distinct tags sorted, then lower-cased; then
     ``source:<url>`` and ``filename:<base name of the url>``.
 
-    The per-ancestor rows are a bounded explode (path length <= depth), the
-    tag set per item is built from distinct (item, tag) rows."""
-    anc = reached.select("node", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("_i", "anc"))
+    The tag set per item is built from distinct (item, tag) rows."""
     tagged = (anc.join(page_tags.select(F.col("node").alias("anc"), F.explode("tags").alias("tag")), "anc")
               .select("node", "tag").distinct()
               .groupBy("node").agg(F.collect_list("tag").alias("_t")))
     u = urls.select("node", "url")
-    base = F.rtrim(F.col("url"))
     stripped = F.regexp_replace(F.col("url"), "/+$", "")
     basename = F.when(stripped == "", F.when(F.col("url") == "", F.lit(".")).otherwise(F.lit("/"))).otherwise(
         F.substring_index(stripped, "/", -1))
-    del base
     return (reached.select("node", "depth").join(tagged, "node", "left").join(u, "node", "left")
             .select("node", "depth", F.concat(
                 F.transform(F.array_sort(F.coalesce(F.col("_t"), F.array().cast("array<string>"))), lambda t: F.lower(t)),

@@ -35,9 +35,9 @@ def id_color(spark, sf_dir):
 
 
 def content_dedup(spark, sf_dir):
-    return content_store(spark, sf_dir).select(
-        "id_hash", F.col("first_seq").alias("first_doc_id"), "n_copies",
-        F.length("body").alias("body_chars"))
+    docs = tables.documents(spark, sf_dir, "doc_id", "text")
+    stored = CT.bodies(content_store(spark, sf_dir), docs.select("doc_id", F.length("text").alias("chars")), "chars", "doc_id")
+    return stored.select("id_hash", F.col("first_seq").alias("first_doc_id"), "n_copies", F.col("body").alias("body_chars"))
 
 
 def content_lookup(spark, sf_dir):
@@ -48,9 +48,9 @@ def content_lookup(spark, sf_dir):
               .unionByName(tables.documents(spark, sf_dir, "doc_id", "text")
                            .select(F.lit("document").alias("kind"), F.col("doc_id").alias("probe_id"),
                                    TG.id_hash(F.col("text")).alias("id_hash"))))
-    flagged = CT.has(probes, store)
-    return (flagged.join(store, "id_hash", "left")
-            .select("kind", "probe_id", "id_hash", "present", F.col("first_seq").alias("first_doc_id")))
+    found = probes.join(store, "id_hash", "left")
+    return found.select("kind", "probe_id", "id_hash", F.col("first_seq").isNotNull().alias("present"),
+                        F.col("first_seq").alias("first_doc_id"))
 
 
 def source_tags(spark, sf_dir):

@@ -63,7 +63,11 @@ def canonical_hosts(spark, sf_dir):
 
 def registrable_domain(spark, sf_dir):
     h = _page_hosts(spark, sf_dir).withColumn("c", HS.canonical_host(F.col("host")))
-    return h.select("page_id", HS.jar_key(F.col("c")).alias("jar_key"))
+    # One rule of the suffix table has two labels, as registries with subdomains have.
+    rules = F.explode(F.array(*map(F.lit, ("com", "net", "org", "example.net"))))
+    h = CK._with_suffix(h, "c", "suffix", spark.range(1).select(rules.alias("suffix")))
+    return h.select("page_id", HS.jar_key(F.col("c")).alias("jar_key"),
+                    HS.jar_key_with_suffix(F.col("c"), F.col("suffix")).alias("site"))
 
 
 def default_path(spark, sf_dir):

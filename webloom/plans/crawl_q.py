@@ -48,15 +48,15 @@ def crawl_depth3(spark, sf_dir):
 
 
 def inherited_tags(spark, sf_dir):
-    pages = tables.pages(spark, sf_dir, "page_id", "html")
-    parsers = [p for p in R.load_parsers() if p.type == "TAG"]
-    tags = None
-    for p in parsers:
-        r = X.apply_parser(pages, p)
-        tags = r if tags is None else tags.unionByName(r)
+    reached = _reached(spark, sf_dir)
+    anc = CR.ancestors(reached, DEPTH)
+    # Only pages on some breadcrumb are tokenized.
+    pages = tables.pages(spark, sf_dir, "page_id", "html").join(
+        anc.select(F.col("anc").alias("page_id")).distinct(), "page_id", "left_semi")
+    tags = X.apply_parsers(pages, [p for p in R.load_parsers() if p.type == "TAG"])
     page_tags = X.page_tags(tags).select(F.col("page_key").alias("node"), "tags")
     urls = tables.pages(spark, sf_dir, "page_id", "url").select(F.col("page_id").alias("node"), "url")
-    t = CR.inherited_tags(_reached(spark, sf_dir), page_tags, urls)
+    t = CR.inherited_tags(reached, anc, page_tags, urls)
     return t.select(F.col("node").alias("page_id"), "depth", F.array_join("tags", ",").alias("tags"))
 
 
@@ -97,7 +97,9 @@ def page_cache_latest(spark, sf_dir):
 
 
 def _https_cache(spark, sf_dir):
-    return cache_table(spark, sf_dir).where(F.col("url").startswith("https:"))
+    # Whether a key is cached does not depend on which version won.
+    https = tables.pages(spark, sf_dir, "page_id", "url").where(F.col("url").startswith("https:"))
+    return https.select(CA.url_key("url").alias("url_key")).distinct()
 
 
 def cache_hits(spark, sf_dir):

@@ -49,7 +49,9 @@ ORACLE = {
         regexp_replace(regexp_replace(lower(host), ':[0-9]*$', ''), '[.]$', '') AS canonical_host,
         regexp_matches(host, '^[0-9.]+$') AS is_ip FROM h""",
     "registrable_domain": f"""WITH {_HOSTS} SELECT page_id,
-        regexp_extract(regexp_replace(lower(host), ':[0-9]*$', ''), '([^.]*[.][^.]*)$', 1) AS jar_key FROM h""",
+        regexp_extract(regexp_replace(lower(host), ':[0-9]*$', ''), '([^.]*[.][^.]*)$', 1) AS jar_key,
+        CASE WHEN ends_with(host, '.example.net') THEN regexp_extract(host, '([^.]+[.]example[.]net)$', 1)
+             ELSE regexp_extract(host, '([^.]*[.][^.]*)$', 1) END AS site FROM h""",
     "default_path": f"""WITH {_HOSTS} SELECT page_id,
         CASE WHEN path = '' OR NOT starts_with(path, '/') OR regexp_extract(path, '^(.*)/[^/]*$', 1) = '' THEN '/'
              ELSE regexp_extract(path, '^(.*)/[^/]*$', 1) END AS default_path FROM h""",
@@ -61,7 +63,8 @@ ORACLE = {
       SELECT r.jar_id, r.event_id AS req_id, coalesce(agg.cookies, '') AS cookies
       FROM reads r LEFT JOIN agg ON agg.jar_id = r.jar_id AND agg.req_id = r.event_id""",
     "cookie_last_access": f"""WITH {_VERS}, {_SENT},
-      ls AS (SELECT jar_id, cookie_id, max(ts) AS last_set FROM v GROUP BY 1, 2),
+      ls AS (SELECT jar_id, cookie_id, ts AS last_set FROM v WHERE n_ts IS NULL AND NOT (persistent AND EXISTS (
+               SELECT 1 FROM reads r WHERE r.jar_id = v.jar_id AND r.ts > v.ts AND r.ts >= v.expires))),
       lq AS (SELECT jar_id, cookie_id, max(req_ts) AS last_sent FROM s GROUP BY 1, 2)
       SELECT ls.jar_id, ls.cookie_id, greatest(last_set, coalesce(last_sent, last_set)) AS last_access
       FROM ls LEFT JOIN lq USING (jar_id, cookie_id)""",
