@@ -25,12 +25,13 @@ def binding(spark: SparkSession, classes: list[URLClass], parsers: list[Parser],
     samples = [(p.name, p.type, p.ordinal, u) for p in parsers for u in p.urls]
     schema = "parser string, parser_type string, parser_ordinal int, sample_url string"
     df = spark.createDataFrame(samples, schema)
-    parts = U.split_url(F.col("sample_url"))
+    df = df.withColumn("_u", U.split_url(F.col("sample_url")))
+    # C4: a sample URL that does not parse is skipped, or fails the call.
     if strict:
-        bad = [s for s in samples if not _parses(s[3])]
+        bad = df.where(~F.col("_u")["valid"]).select("parser", "sample_url").first()
         if bad:
-            raise RuleError(f"parser {bad[0][0]!r}: bad sample URL {bad[0][3]!r}")
-    df = df.withColumn("_u", parts)
+            raise RuleError(f"parser {bad['parser']!r}: bad sample URL {bad['sample_url']!r}")
+    df = df.where(F.col("_u")["valid"])
     flags = []
     for c in classes:
         allowed = CLASS_PARSER_TYPES.get(c.cls, ())
@@ -49,11 +50,6 @@ def binding(spark: SparkSession, classes: list[URLClass], parsers: list[Parser],
             .distinct())
 
 
-def _parses(u: str) -> bool:
-    import re
-    return re.match(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?", u) is not None and not re.search(r"[\x00-\x1f\x7f]", u)
-
-
 def binding_map(spark: SparkSession, classes, parsers, typed=True) -> dict[str, list[Parser]]:
     """The binding as a driver-side dict class -> parsers in rule order.  Its
     size is bounded by (#classes x #parsers) of the rule set, never by data."""

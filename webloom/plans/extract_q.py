@@ -16,12 +16,24 @@ def _parser(name):
     return next(p for p in R.load_parsers() if p.name == name)
 
 
+def _bound(spark, sf_dir, typed):
+    """Each page with the parsers that apply to its class."""
+    pages = C.classify(tables.pages(spark, sf_dir, "page_id", "url"), R.load_classes()).select("page_id", "uclass")
+    bound = B.binding(spark, R.load_classes(), [*R.load_parsers(), *BAD_SAMPLES], typed=typed)
+    return pages.join(bound.select("uclass", "parser"), "uclass").select("page_id", "uclass", "parser")
+
+
+# A sample URL that does not parse binds nothing.
+BAD_SAMPLES = [R.parser({"name": "bad samples", "type": "TAG", "operations": [{"type": "VALUE", "value": "x"}],
+                         "urls": ["https://a.example.com:port/en/1", "https://a.example.com/%zz/1"]}, 99)]
+
+
 def class_parser_binding(spark, sf_dir):
-    return B.binding(spark, R.load_classes(), R.load_parsers(), typed=True).select("uclass", "parser")
+    return _bound(spark, sf_dir, True)
 
 
 def class_parser_binding_untyped(spark, sf_dir):
-    return B.binding(spark, R.load_classes(), R.load_parsers(), typed=False).select("uclass", "parser")
+    return _bound(spark, sf_dir, False)
 
 
 def _run_all(spark, sf_dir, parser):
