@@ -103,42 +103,100 @@ def requests_prepared(requests: DataFrame, url_col: str = "url", suffixes: DataF
             .withColumn("req_path", F.when(F.col("req_path") == "", F.lit("/")).otherwise(F.col("req_path"))))
 
 
-def versions(ents: DataFrame, reqs: DataFrame | None = None) -> DataFrame:
-    """H8 + H15: SCD2 versions (jar_id, jar_key, cookie_id, name, value,
-    domain, path, host_only, secure, httponly, persistent, expires, creation,
-    seq_ts, seq_eid, seq_ord, valid_from, from_eid, valid_to, to_eid)."""
-    e = ents.withColumn("_kind", F.when(F.col("remove"), F.lit("del")).otherwise(F.lit("set")))
+_KEPT = ["cookie_id", "name", "value", "domain", "path", "host_only", "secure", "httponly", "same_site", "persistent",
+         "expires"]
+_ORDER = ["ts", "event_id", "ordinal"]
+
+
+def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None, reads: DataFrame | None) -> DataFrame:
+    """Set and delete events in order, with the bounds of their versions.
+
+    cookies, reads: a state (see :func:`advance`) whose events all lie before
+    those of ``ents`` and ``reqs``; its rows go first in their cookie's order.
+    """
+    e = ents.withColumn("_kind", F.when(F.col("remove"), F.lit("del")).otherwise(F.lit("set"))).select(
+        *JAR, *_ORDER, *_KEPT, "_kind", F.col("ts").alias("c_ts"), F.col("event_id").alias("c_eid"), F.col("ordinal").alias("c_ord"))
+    none = F.lit(None).cast("struct<ts:timestamp,event_id:bigint>")
     if reqs is not None:
         # The last read on the jar before each event (reads purge
         # expired entries, so a later set gets a new creation time)
         rd = reqs.select(*JAR, "ts", "event_id", F.lit(-1).alias("ordinal"), F.lit(True).alias("_read"))
-        allev = (e.select(*JAR, "ts", "event_id", "ordinal", "cookie_id", F.lit(False).alias("_read"))
+        allev = (e.select(*JAR, *_ORDER, "cookie_id", F.lit(False).alias("_read"))
                  .unionByName(rd, allowMissingColumns=True))
-        wj = Window.partitionBy(*JAR).orderBy("ts", "event_id", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
+        wj = Window.partitionBy(*JAR).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
         lr = (allev.withColumn("_last_read", F.max(F.when(F.col("_read"), F.struct("ts", "event_id"))).over(wj))
               .where(~F.col("_read")).select(*JAR, "event_id", "ordinal", "cookie_id", "_last_read"))
         e = e.join(lr, JAR + ["event_id", "ordinal", "cookie_id"], "left")
     else:
-        e = e.withColumn("_last_read", F.lit(None).cast("struct<ts:timestamp,event_id:bigint>"))
-    w = Window.partitionBy(*JAR, "cookie_id").orderBy("ts", "event_id", "ordinal")
+        e = e.withColumn("_last_read", none)
+    if cookies is not None:
+        seen = reads.select(*JAR, F.struct(F.col("read_ts").alias("ts"), F.col("read_eid").alias("event_id")).alias("_seen"))
+        e = e.join(seen, JAR, "left").withColumn("_last_read", F.coalesce("_last_read", "_seen")).drop("_seen")
+        e = e.unionByName(cookies.withColumn("_last_read", none))
+    w = Window.partitionBy(*JAR, "cookie_id").orderBy(*_ORDER)
     e = (e.withColumn("_pk", F.lag("_kind").over(w)).withColumn("_pts", F.lag("ts").over(w))
          .withColumn("_peid", F.lag("event_id").over(w)).withColumn("_pexp", F.lag("expires").over(w))
          .withColumn("_ppers", F.lag("persistent").over(w))
-         .withColumn("_nts", F.lead("ts").over(w)).withColumn("_neid", F.lead("event_id").over(w)))
+         .withColumn("valid_to", F.lead("ts").over(w)).withColumn("to_eid", F.lead("event_id").over(w)))
     purged = ((F.col("_pk") == "set") & F.col("_ppers") & F.col("_last_read").isNotNull()
               & (F.col("_last_read") > F.struct(F.col("_pts").alias("ts"), F.col("_peid").alias("event_id")))
               & (F.col("_last_read")["ts"] >= F.col("_pexp")))
-    new_seg = F.col("_pk").isNull() | (F.col("_pk") == "del") | purged
+    new_seg = F.col("_pk").isNull() | (F.col("_pk") == "del") | F.coalesce(purged, F.lit(False))
     e = e.withColumn("_seg", F.sum(F.when(new_seg, 1).otherwise(0)).over(w))
     ws = Window.partitionBy(*JAR, "cookie_id", "_seg")
-    first = F.min(F.struct("ts", "event_id", "ordinal")).over(ws)
-    return (e.where(F.col("_kind") == "set")
-            .withColumn("_first", first)
-            .select(*JAR, "cookie_id", "name", "value", "domain", "path", "host_only", "secure", "httponly",
-                    "same_site", "persistent", "expires", F.col("_first")["ts"].alias("creation"),
-                    F.col("_first")["event_id"].alias("seq_eid"), F.col("_first")["ordinal"].alias("seq_ord"),
-                    F.col("ts").alias("valid_from"), F.col("event_id").alias("from_eid"),
-                    F.col("_nts").alias("valid_to"), F.col("_neid").alias("to_eid")))
+    first = F.min(F.struct("c_ts", "c_eid", "c_ord")).over(ws)
+    return (e.withColumn("_first", first).drop("c_ts", "c_eid", "c_ord")
+            .select("*", F.col("_first")["c_ts"].alias("c_ts"), F.col("_first")["c_eid"].alias("c_eid"),
+                    F.col("_first")["c_ord"].alias("c_ord")))
+
+
+def _as_versions(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("_kind") == "set").select(
+        *JAR, *_KEPT, F.col("c_ts").alias("creation"), F.col("c_eid").alias("seq_eid"), F.col("c_ord").alias("seq_ord"),
+        F.col("ts").alias("valid_from"), F.col("event_id").alias("from_eid"), "valid_to", "to_eid")
+
+
+def versions(ents: DataFrame, reqs: DataFrame | None = None) -> DataFrame:
+    """H8 + H15: SCD2 versions (jar_id, jar_key, cookie_id, name, value,
+    domain, path, host_only, secure, httponly, same_site, persistent, expires,
+    creation, seq_eid, seq_ord, valid_from, from_eid, valid_to, to_eid)."""
+    return _as_versions(_replay(ents, reqs, None, None))
+
+
+# ---- H9, H17: the state between batches ------------------------------------
+
+def advance(ents: DataFrame, reqs: DataFrame, state: dict[str, DataFrame] | None = None):
+    """One step of the cookie state: events later than all before them ->
+    (versions that ended, new state).
+
+    The state is two tables: ``cookies``, the last event of each cookie with the
+    creation time and sequence of its segment, and ``reads``, the last read of
+    each jar.  It grows with the cookies, not with the events.  The ended versions of all
+    steps and :func:`open_versions` of the last state are the table that
+    :func:`versions` makes of all events at once.
+    """
+    state = state or {}
+    rows = _replay(ents, reqs, state.get("cookies"), state.get("reads"))
+    last = rows.where("valid_to is null").select(*JAR, *_ORDER, *_KEPT, "_kind", "c_ts", "c_eid", "c_ord")
+    read = reqs.select(*JAR, F.col("ts").alias("read_ts"), F.col("event_id").alias("read_eid"))
+    read = read.unionByName(state["reads"]) if state else read
+    read = (read.groupBy(*JAR).agg(F.max(F.struct("read_ts", "read_eid")).alias("r"))
+            .select(*JAR, "r.read_ts", "r.read_eid"))
+    return _as_versions(rows.where("valid_to is not null")), {"cookies": last, "reads": read}
+
+
+def open_versions(state: dict[str, DataFrame]) -> DataFrame:
+    ends = {"valid_to": F.lit(None).cast("timestamp"), "to_eid": F.lit(None).cast("bigint")}
+    return _as_versions(state["cookies"].withColumns(ends))
+
+
+def save_state(state: dict[str, DataFrame], path: str) -> None:
+    for name, df in state.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_state(spark, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("cookies", "reads")}
 
 
 def _days(a, b):

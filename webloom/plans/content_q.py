@@ -93,6 +93,10 @@ def tag_put_get(spark, sf_dir):
     return got.select("id_hash", TG.tags_to_string(F.col("tags")).alias("tags"), F.size("tags").alias("n_tags"))
 
 
+def tags_has(spark, sf_dir):
+    return CT.has(content_store(spark, sf_dir).select("id_hash"), tag_store(spark, sf_dir))
+
+
 def find_tagged(spark, sf_dir):
     return CT.find_tagged(tag_store(spark, sf_dir))
 
@@ -110,6 +114,7 @@ QUERIES = {
     "tags_parse": tags_parse,
     "tags_string": tags_string,
     "tag_put_get": tag_put_get,
+    "tags_has": tags_has,
     "find_tagged": find_tagged,
     "find_tagged_quality": find_tagged_quality,
 }

@@ -11,17 +11,25 @@ from webloom.functions import hosts as HS
 from webloom.functions import urls as U
 from webloom.operators import cookies as CK
 from webloom.sources import tables
+from webloom.streaming import jobs as S
 
 
 def _events(spark, sf_dir):
-    e = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+    return _shaped(tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type"))
+
+
+def _shaped(e):
     host = F.concat(F.lit("u"), (F.col("event_id") % 5).cast("string"), F.lit(".example.com"))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 10).alias("jar_id"),
                     "event_type", host.alias("host"))
 
 
 def set_events(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.col("event_type").isin("click", "signup", "purchase", "error"))
+    return sets_of(_events(spark, sf_dir))
+
+
+def sets_of(e):
+    e = e.where(F.col("event_type").isin("click", "signup", "purchase", "error"))
     t = F.col("event_type")
     eid = F.col("event_id").cast("string")
     return e.select(
@@ -38,7 +46,11 @@ def set_events(spark, sf_dir):
 
 
 def request_events(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.col("event_type") == "view")
+    return requests_of(_events(spark, sf_dir))
+
+
+def requests_of(e):
+    e = e.where(F.col("event_type") == "view")
     scheme = F.when(F.col("event_id") % 2 == 1, F.lit("http")).otherwise(F.lit("https"))
     return e.select("jar_id", "event_id", "ts", F.concat(scheme, F.lit("://"), "host", F.lit("/shop/"),
                                                            F.col("event_id").cast("string")).alias("url"))
@@ -79,6 +91,29 @@ def cookie_versions(spark, sf_dir):
     return vers.select("jar_id", "cookie_id", "valid_from", "valid_to", "value", "creation", "expires", "persistent")
 
 
+VERSION_COLUMNS = ["jar_id", "cookie_id", "valid_from", "valid_to", "value", "creation", "expires", "persistent"]
+
+
+def prepared(raw):
+    """Raw events -> (entries, requests)."""
+    e = _shaped(raw)
+    return CK.entries(sets_of(e)), CK.requests_prepared(requests_of(e))
+
+
+def cookie_resume(spark, sf_dir):
+    """Replay half of the events, save the state, restore it, go on."""
+    raw = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+    middle = raw.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    late = F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(middle)
+    base = S.work_dir(spark, "resume")
+    ended, state = CK.advance(*prepared(raw.where(~late)))
+    ended.write.parquet(f"{base}/ended")
+    CK.save_state(state, f"{base}/state")
+    more, state = CK.advance(*prepared(raw.where(late)), CK.load_state(spark, f"{base}/state"))
+    every = spark.read.parquet(f"{base}/ended").unionByName(more).unionByName(CK.open_versions(state))
+    return every.select(*VERSION_COLUMNS)
+
+
 def cookies_for_requests(spark, sf_dir):
     vers, reqs = _state(spark, sf_dir)
     return CK.cookies_for_requests(vers, reqs).select("jar_id", "req_id", "cookies")
@@ -112,6 +147,7 @@ QUERIES = {
     "registrable_domain": registrable_domain,
     "default_path": default_path,
     "cookie_versions": cookie_versions,
+    "cookie_resume": cookie_resume,
     "cookies_for_requests": cookies_for_requests,
     "cookie_last_access": cookie_last_access,
     "cookie_table_scan": cookie_table_scan,

@@ -40,3 +40,6 @@ ORACLE = {
 }
 
 ORACLE["stream_content_dedup"] = "SELECT DISTINCT sha256(text) AS id_hash, length(text) AS body_chars FROM documents"
+
+ORACLE["tags_has"] = """SELECT DISTINCT sha256(text) AS id_hash,
+  sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) AS present FROM documents"""

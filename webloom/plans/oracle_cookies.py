@@ -76,3 +76,6 @@ ORACLE = {
              secure AS is_secure
       FROM k WHERE NOT remove AND (CASE WHEN host_only THEN domain ELSE '.' || domain END) ILIKE '%u1.example.com'""",
 }
+
+ORACLE["cookie_resume"] = ORACLE["cookie_versions"]
+ORACLE["stream_cookie_versions"] = ORACLE["cookie_versions"]

@@ -9,7 +9,10 @@ import os
 from pyspark.sql import functions as F
 
 from webloom.operators import cache as CA
+from webloom.operators import cookies as CK
+from webloom.plans import cookies_q
 from webloom.sources import rules as R
+from webloom.sources import tables
 from webloom.streaming import jobs as S
 
 
@@ -40,8 +43,29 @@ def stream_page_cache(spark, sf_dir):
     return latest.select("url_key", "url", "version", "fetched_at", F.length("body").alias("body_chars"))
 
 
+STATE_SLICES = 3
+
+
+def stream_cookie_versions(spark, sf_dir):
+    """The events arrive in slices of time, a micro-batch each."""
+    base = S.work_dir(spark, "s4")
+    raw = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    marks = raw.agg(F.percentile_approx(micros, [i / STATE_SLICES for i in range(1, STATE_SLICES)])).first()[0]
+    part = sum((F.when(micros >= m, 1).otherwise(0) for m in marks or []), F.lit(0))
+    for i in range(STATE_SLICES):
+        raw.where(part == i).coalesce(1).write.parquet(f"{base}/in/slice={i}")
+    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false")
+              .parquet(f"{base}/in/slice=*"))
+    S.cookie_state_stream(stream, cookies_q.prepared, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    ended = spark.read.parquet(f"{base}/out/ended").drop("batch")
+    now = CK.open_versions(CK.load_state(spark, f"{base}/out/state/{STATE_SLICES - 1}"))
+    return ended.unionByName(now).select(*cookies_q.VERSION_COLUMNS)
+
+
 QUERIES = {
     "stream_classify_parse": stream_classify_parse,
     "stream_content_dedup": stream_content_dedup,
     "stream_page_cache": stream_page_cache,
+    "stream_cookie_versions": stream_cookie_versions,
 }

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the batch jobs.
+"""Structured Streaming forms of the batch jobs.
 
 * S1 ``classify_parse_stream``: pages arrive as a file stream; each
   micro-batch runs the batch classification + extraction plan in
@@ -11,6 +11,11 @@
 * S3 ``cache_upsert_stream``: each micro-batch's latest version per URL key is
   appended; readers take the latest per key (``operators.cache.latest``).
 
+* S4 ``cookie_state_stream``: each micro-batch advances the cookie state
+  (``operators.cookies.advance``); the state after a batch is a folder of its own, read
+  by the next batch, so a replayed batch starts from the same state.  Batches must
+  arrive in event order.
+
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
 
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from webloom.operators import binding as B
 from webloom.operators import cache as CA
 from webloom.operators import classify as C
+from webloom.operators import cookies as CK
 from webloom.operators import extract as X
 from webloom.functions import tags as TG
 from webloom.session import ensure_checkpoint_dir
@@ -70,3 +76,15 @@ def cache_upsert_stream(versions: DataFrame, out: str, ckpt: str, tie_col: str =
          .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}")))
 
     return versions.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+
+
+def cookie_state_stream(events: DataFrame, prepare, out: str, ckpt: str):
+    """prepare: a batch of raw events -> (entries, requests).  Ended versions go to
+    ``out/ended``, the state after batch n to ``out/state/n``."""
+    def run(batch: DataFrame, batch_id: int):
+        before = CK.load_state(batch.sparkSession, f"{out}/state/{batch_id - 1}") if batch_id else None
+        ended, state = CK.advance(*prepare(batch), before)
+        ended.write.mode("overwrite").parquet(f"{out}/ended/batch={batch_id}")
+        CK.save_state(state, f"{out}/state/{batch_id}")
+
+    return events.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
