@@ -19,7 +19,7 @@ def test_tag_round_trip(spark):
     assert SIM.signature_table(other).count() == 0
 
 
-@pytest.mark.parametrize("max_dist", [0, 3, 10, 22])
+@pytest.mark.parametrize("max_dist", [0, 3, 10, 22, 40])
 def test_band_join_equals_brute_force(spark, max_dist):
     rnd = random.Random(max_dist)
     base = [rnd.getrandbits(64) for _ in range(40)]
@@ -41,3 +41,24 @@ def test_band_join_equals_brute_force(spark, max_dist):
             if d <= max_dist:
                 want[(min(a, b), max(a, b))] = float(d)
     assert got == want
+
+
+def test_bands_are_selective(spark):
+    rnd = random.Random(1)
+    n = 10_000
+    df = spark.createDataFrame([(rnd.getrandbits(64) - (1 << 63),) for _ in range(n)], "sig long")
+    met = SIM.candidates(df, df, *SIM.plan_bands(10)).count()
+    assert met < 0.02 * n * n
+    assert SIM.plan_bands(0) == (1, 0) and SIM.plan_bands(40) is None
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_hot_signature_and_many_targets(spark, monkeypatch, block):
+    monkeypatch.setattr(SIM, "ID_BLOCK", block)
+    df = spark.createDataFrame([(i, 5) for i in range(20)] + [(50, 4), (60, 1 << 40)], "id long, sig long")
+    got = {(r.id_a, r.id_b): r.dist for r in SIM.similar_pairs(df, 1).collect()}
+    want = {(i, j): 0.0 for i in range(20) for j in range(i + 1, 20)} | {(i, 50): 1.0 for i in range(20)}
+    assert got == want and SIM.similar_pairs(df, 1).count() == len(want)
+    few = sorted(map(tuple, SIM.similar_to(df, df.where("id >= 50"), 1).collect()))
+    monkeypatch.setattr(SIM, "LITERAL_TARGETS", 0)
+    assert sorted(map(tuple, SIM.similar_to(df, df.where("id >= 50"), 1).collect())) == few == [(50, i, 1.0) for i in range(20)]
