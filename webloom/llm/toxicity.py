@@ -72,13 +72,13 @@ def subwords(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
             continue
         ok = who[:m] == who[n - 1: n - 1 + m]
         a, b = lead[:m][ok], stop[n: n + m][ok]
-        buckets.append((T.span_hash(pre, a, b) & T.U(BUCKETS - 1)).astype(np.int64))
-        owners.append(who[:m][ok])
+        buckets.append((T.span_hash(pre, a, b) & T.U(BUCKETS - 1)).astype(np.int32))
+        owners.append(who[:m][ok].astype(np.int32))
     if not buckets:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bucket, owner = np.concatenate(buckets), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return bucket[order].astype(np.int32), owner[order].astype(np.int32)
+    return bucket[order], owner[order]
 
 
 def word_values(w, weight: np.ndarray) -> np.ndarray:
