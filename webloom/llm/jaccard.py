@@ -57,15 +57,13 @@ def _repeated(k: int):
     """Shingles that at least two documents of a batch have, with their count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            toks, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            for s in T.slices(b.column(0), 4 * T.SLICE_BYTES):
-                sets = T.shingle_sets(s, k)
-                u, c = np.unique(np.concatenate([toks, *sets]), return_counts=True)
-                if len(toks):
-                    c[np.searchsorted(u, toks)] += counts - 1
-                toks, counts = u, c
-            ok = counts >= 2
-            yield pa.record_batch([pa.array(toks[ok].view(np.int64)), pa.array(counts[ok])], ["token", "c"])
+            sets = [x for s in T.slices(b.column(0)) for x in T.shingle_sets(s, k)]
+            toks = np.concatenate([np.zeros(0, np.uint64), *sets])
+            del sets
+            toks.sort()
+            again = np.flatnonzero(toks[1:] == toks[:-1])  # one place less than the shingle has documents
+            u, c = np.unique(toks[again], return_counts=True)
+            yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64) + 1)], ["token", "c"])
     return run
 
 
@@ -131,7 +129,7 @@ def _pairs(num: int, den: int):
         for c in np.unique(size[size > 1]):
             at = start[size == c]
             i, j = np.triu_indices(c, 1)
-            step = max(1, 1_000_000 // len(i))
+            step = max(1, 250_000 // len(i))
             for lo in range(0, len(at), step):
                 x = (at[lo: lo + step, None] + i).ravel()
                 y = (at[lo: lo + step, None] + j).ravel()
@@ -201,7 +199,7 @@ def divide_skip(query: np.ndarray, uniq: np.ndarray, start: np.ndarray, lists: n
     ok = fits & (count >= need - len(long_))
     cand, count, need = cand[ok], count[ok], need[ok]
     if len(cand) and len(long_):
-        step = max(1, 2_000_000 // len(cand))
+        step = max(1, 250_000 // len(cand))
         for lo in range(0, len(long_), step):
             count = count + _probe(long_[lo: lo + step], cand, start, lists, docs)
     return cand[count >= need]

@@ -1,8 +1,8 @@
 """Vectorised text primitives shared by the operators of this subpackage.
 
 They work on the Arrow buffers of a string column, without a Python object
-per row or word.  A *slice* is a run of whole documents of about two
-megabytes (a longer document is a slice of its own), so memory follows the
+per row or word.  A *slice* is a run of whole documents of about one
+megabyte (a longer document is a slice of its own), so memory follows the
 slice, not the partition.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A word's
@@ -21,7 +21,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 _POWER = 0x9E3779B97F4A7C15

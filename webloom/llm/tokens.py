@@ -32,7 +32,7 @@ from webloom.session import ship_package
 
 FREQUENT = 1 << 16
 PER_TASK = 1 << 13
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 300_000
 
 SPACE, LETTER, DIGIT, OTHER, ODD, WHOLE = range(6)
 
