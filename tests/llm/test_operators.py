@@ -459,3 +459,28 @@ def test_pivot_index(spark, monkeypatch, block):
     assert all(by[i]["component_id"] == i and by[i]["kept"] for i in (900, 901, 902, 903, 904, 905, 907))
     assert by[906]["component_id"] == 0 and by[None]["component_id"] is None and len(got) == len(rows)
     assert pivots.near_duplicates(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [32, 64])
+def test_pivot_recall_in_a_large_group(spark, dim):
+    """A third of the rows in one group of distinct near copies."""
+    rng = np.random.default_rng(7)
+    base = unit(rng, dim)
+    rows = []
+    for i in range(1500):
+        x = unit(rng, dim)
+        if i % 3 == 0:
+            x -= x @ base * base
+            c = rng.uniform(0.968, 0.99)
+            x = c * base + math.sqrt(1 - c * c) * x / np.linalg.norm(x)
+        rows.append((i, x.astype(np.float32).tolist(), 0))
+    v = np.array([r[1] for r in rows], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    linked = v @ v.T >= 0.93
+    np.fill_diagonal(linked, False)
+    want = linked.sum(1)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: r for r in pivots.near_duplicates(df.repartition(3)).collect()}
+    assert all(got[i]["n_links"] <= want[i] for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.9 * want.sum() > 100_000
+    assert {got[i]["component_id"] for i in range(0, 1500, 3) if want[i]} == {0}

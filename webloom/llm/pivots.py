@@ -2,8 +2,10 @@
 
 1. Equal vectors of a label collapse to one representative.
 2. ``PIVOTS`` reference vectors are drawn by a hash of the vector (a bounded sample; every
-   vector is indexed).  A vector is described by its ``PREFIX`` nearest pivots in
-   order and entered in their inverted lists, kept apart by label and dimension.
+   vector is indexed).  Vectors close to a pivot already taken (a cosine of ``APART`` or
+   more, its limits tried in turn) are passed over, so a large group of near copies holds
+   hardly more pivots than a small one.  A vector is described by its ``PREFIX`` nearest
+   pivots in order and entered in their inverted lists, kept apart by label and dimension.
 3. Vectors that stand together in a list and share at least ``SHARED`` of their
    prefix pivots are candidates; a pair counts only in the list of the first
    pivot (by number) that it shares.  Long lists are cut in blocks of about
@@ -37,6 +39,8 @@ from webloom.session import ship_package
 PIVOTS, PREFIX, SHARED = 128, 10, 3
 BLOCK = 1024
 SMALL = 100_000
+APART = (0.5, 0.7, 0.9)
+SAMPLE, SAMPLE_VALUES = 4096, 1 << 21
 
 
 def _unit(rows: list, kind=np.float64) -> np.ndarray:
@@ -44,6 +48,19 @@ def _unit(rows: list, kind=np.float64) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _draw(sample: np.ndarray) -> np.ndarray:
+    """Up to ``PIVOTS`` rows in order, none within the last limit of ``APART`` of another.
+    The looser limits only fill up what the stricter ones leave open."""
+    top, taken = np.full(len(sample), -1.0), []
+    for most in APART:
+        for i in range(len(sample)):
+            if len(taken) < PIVOTS and top[i] < most:
+                taken.append(i)
+                top = np.maximum(top, sample @ sample[i])
+                top[i] = 1.0
+    return sample[taken]
+
+
 def _describe(pivots):
     """rep, size, label, embedding -> with dim and its nearest pivots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +134,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, shared: int = SHARE
     dims = [r[0] for r in classes.select(F.size("embedding").alias("d")).distinct().collect()]
     pivots = {}
     for d in dims:
-        rows = classes.where(F.size("embedding") == d).orderBy(F.xxhash64("h1", "h2"), "rep").limit(PIVOTS).collect()
-        pivots[d] = _unit([r["embedding"] for r in rows])
+        rows = classes.where(F.size("embedding") == d).orderBy(F.xxhash64("h1", "h2"), "rep").limit(
+            max(PIVOTS, min(SAMPLE, SAMPLE_VALUES // d))).collect()
+        pivots[d] = _draw(_unit([r["embedding"] for r in rows]))
     described = classes.select("rep", "size", "label", "embedding").mapInArrow(
         _describe(spark.sparkContext.broadcast(pivots)),
         "rep long, size long, label long, dim int, vec binary, near array<int>")
