@@ -421,6 +421,48 @@ def test_license_paragraphs(spark):
     assert licenses.license_paragraphs(df.limit(0)).count() == 0
 
 
+def test_license_words_in_the_corpus(spark):
+    """Prose that holds the words of the templates switches no family off."""
+    plain = ["License", "Rights", "The version was free of charge.", "She had a license for her work at the public library.",
+             "His rights were reserved for other days.", "They released the work in all public places.", "MIT", "The domain of this law.",
+             "A copyright of software is no copyright of ideas.", "Apache and BSD and GNU and MIT are names."]
+    lines = {"proprietary": "All rights reserved.", "cc0": "This work is released into the public domain.",
+             "mit": "Released under the MIT License.", "apache": "Licensed under the Apache License, Version 2.0."}
+    rows = [(i, t) for i, t in enumerate(plain)] + [(1000 + i, t) for i, t in enumerate(lines.values())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["family"] for r in licenses.license_paragraphs(df).collect()}
+    assert got == {1000 + i: f for i, f in enumerate(lines)}
+
+
+def test_license_evidence_drops_nothing(spark):
+    """Every line with two template words that reaches CONFIRM passes the filter."""
+    def words_in(t):
+        return [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+
+    temps = [words_in(t) for ts in licenses.TEMPLATES.values() for t in ts]
+    rng, known = random.Random(3), sorted({w for t in temps for w in t})
+    rows = [[rng.choice(known) for _ in range(rng.randint(1, 12))] for _ in range(300)]
+    for t in temps:
+        for _ in range(40):
+            a, b = sorted(rng.sample(range(len(t) + 1), 2))
+            w = t[a:b]
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w) + 1):0] = ["foreign"] * rng.randint(1, 2)
+            rows.append(w)
+    rows = sorted({" ".join(w) for w in rows})
+    grams = [licenses._gram_set(t) for t in temps]
+
+    def similar(t):
+        g = licenses._gram_set(words_in(t))
+        return len({w for w in words_in(t)} & set(known)) >= 2 and any(
+            len(g & x) / min(len(g), len(x)) >= licenses.CONFIRM for x in grams)
+
+    df = spark.createDataFrame([(t,) for t in rows], "line string")
+    kept = {r["line"] for r in df.where(licenses.evidence(F.col("line"))).collect()}
+    want = {t for t in rows if similar(t)}
+    assert len(want) > 300 and want <= kept
+
+
 def unit(rng, n):
     x = rng.standard_normal(n)
     return x / np.linalg.norm(x)
