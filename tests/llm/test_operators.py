@@ -404,6 +404,29 @@ def test_benchmark_leaks(spark):
     assert decontam.benchmark_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_benchmark_swapped_items(spark):
+    """Items whose parts stand in another order: the best window starts at no aligned place."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(2000)]
+    items = [(i, prose(rng, n, vocab)) for i, n in enumerate([60, 60, 80, 100, 100, 120, 60, 100])]
+    rows, want = [], {}
+    for d, (i, text) in enumerate(items):
+        w = text.split()
+        at = len(w) // 2 if d % 2 == 0 else len(w) * 85 // 100
+        around = prose(rng, 40, vocab), prose(rng, 40, vocab)
+        rows.append((None if d == 7 else d, f"{around[0]} {' '.join(w[at:] + w[:at])} {around[1]}"))
+        doc = rows[-1][1].split()
+        ref = {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+        wins = [{tuple(doc[s + k:s + k + 5]) for k in range(len(w) - 4)} for s in range(len(doc) - len(w) + 1)]
+        want[rows[-1][0], i] = max(len(x & ref) / len(x | ref) for x in wins)  # all shingles weigh the same
+    rows.append((20, rows[1][1][:len(rows[1][1]) // 2]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"]
+           for r in decontam.benchmark_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(x >= 0.8 for x in want.values())
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_license_paragraphs(spark):
     lines = {"mit": "Released under the MIT License.", "apache": "licensed under the APACHE license, version 2.0",
              "proprietary": "All rights reserved.", "gpl": "This work is licensed under the GNU General Public License, version 3."}

@@ -4,11 +4,12 @@ A document is contaminated by an item if some item-sized window of its words is
 at least ``SIMILAR`` similar to the item: weighted Jaccard of the multisets of
 five-word shingles, a shingle weighing ``ln(1 + items / items that have it)``.
 
-1. *Windows.*  Where a document has a shingle of an item, the window of the
-   item's length that puts both at the same place is cut out.  A window that is
-   similar enough has such a place; other windows share no shingle and have
-   similarity 0.  Equal windows are kept once, so a passage that many documents share
-   is judged once.
+1. *Windows.*  A window can reach ``SIMILAR`` only if the shingles in it that the item
+   has weigh ``SIMILAR`` of the item at least, wherever in the item they stand.  A
+   document that has one of the item's heaviest shingles (the others weigh less than
+   that) is swept along all its places of the item's shingles, and every window of the
+   item's length that holds so much weight is cut out.  Equal windows are kept once, so
+   a passage that many documents share is judged once.
 2. *Fingerprints.*  Windows and items get weighted 64-bit SimHashes.
 3. *Multi-index.*  Fingerprints are cut in 4 blocks of 16 bits.  Each item is
    entered under all values within 3 bits of each of its blocks; two
@@ -29,7 +30,7 @@ text is compared as it is.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import cut
@@ -63,21 +64,56 @@ def _items(benchmark: DataFrame) -> DataFrame:
             .where(F.size("words") > 0).withColumn("n", F.size("words")).dropDuplicates(["item_id", "words"]))
 
 
-def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, text_hash, win, n: the distinct aligned windows per document."""
-    at = cut(items.select("n", F.posexplode(own_shingles(F.col("words"))).alias("at", "h")).distinct())
+def _windows(docs: DataFrame, items: DataFrame, weights: DataFrame) -> DataFrame:
+    """doc_id, text_hash, win, n: the distinct windows per document that hold enough
+    of an item's weight."""
+    kinds = cut(cut(items.select("words", "n").distinct()).withColumn("kind", F.monotonically_increasing_id()))
+    own = (kinds.select("kind", "n", F.explode(own_shingles(F.col("words"))).alias("h")).groupBy("kind", "n", "h")
+           .agg(F.count("*").alias("tf")).join(weights, "h"))
+    mass = F.col("tf") * F.col("w")
+    heavy = Window.partitionBy("kind").orderBy(F.desc("w"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("kind")
+    slack = F.col("total") * 1e-9
+    own = cut(own.select("kind", "n", "h", "w", F.sum(mass).over(whole).alias("total"),
+                         F.coalesce(F.sum(mass).over(heavy), F.lit(0.0)).alias("before"))
+              .withColumn("first", F.col("before") <= (1 - SIMILAR) * F.col("total") + slack))
+    hashes = own.select("h", F.least("n", F.lit(SHINGLE)).alias("k")).distinct()
     lists = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_list(F.col("text")).alias("words"))
     sizes = [r[0] for r in items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().orderBy("k").collect()]
-    small = at.count() <= BROADCAST_SHINGLES
-    out = None
+    small = own.count() <= BROADCAST_SHINGLES
+
+    def fixed(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
+
+    found = None
     for k in sizes:
-        own = at.where(F.least("n", F.lit(SHINGLE)) == k)
-        found = lists.select("doc_id", "text_hash", "words", F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
-        found = found.join(F.broadcast(own) if small else own, "h")
-        first = F.greatest(F.col("pos") - F.col("at"), F.lit(0))
-        found = found.select("doc_id", "text_hash", "n", F.concat_ws(" ", F.slice("words", first + 1, F.col("n"))).alias("win"))
-        out = found if out is None else out.unionByName(found)
-    return out.distinct() if out is not None else None
+        at = lists.select("doc_id", "text_hash", F.posexplode(shingles(F.col("words"), k)).alias("pos", "h"))
+        at = at.join(fixed(hashes.where(F.col("k") == k).select("h")), "h")
+        found = at if found is None else found.unionByName(at)
+    if found is None:
+        return None
+    # A null doc_id equals itself in a grouping, but not in a join.
+    doc = [F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "text_hash"]
+    key = ["id", "none", "text_hash"]
+    found = cut(found.select(*doc, "pos", "h").distinct())
+    pairs = found.join(fixed(own.where("first").select("h", "kind")), "h").select(*key, "kind").distinct()
+    places = found.join(pairs, key).join(fixed(own.select("kind", "h", "n", "w", "total")), ["kind", "h"])
+    # A place weighs in the windows that start from pos - (n - k) to pos.
+    ends = F.array(F.struct((F.col("pos") - F.greatest(F.col("n") - SHINGLE, F.lit(0))).alias("s"), F.col("w").alias("d")),
+                   F.struct((F.col("pos") + 1).alias("s"), (-F.col("w")).alias("d")))
+    step = (places.select(*key, "kind", "n", "total", F.explode(ends).alias("e"))
+            .groupBy(*key, "kind", "n", "total", F.col("e.s").alias("s")).agg(F.sum("e.d").alias("d")))
+    along = Window.partitionBy(*key, "kind", "n", "total").orderBy("s")
+    level = (step.withColumn("held", F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("next", F.lead("s").over(along))
+             .where((F.col("held") >= SIMILAR * F.col("total") - F.col("total") * 1e-6) & (F.col("next") > 0)))
+    starts = level.select(*key, "n", F.explode(F.sequence(F.greatest("s", F.lit(0)), F.col("next") - 1)).alias("s"))
+    starts = cut(starts.groupBy(*key).agg(F.collect_set(F.struct("s", "n")).alias("starts"))).hint("shuffle_hash")
+    rows = (docs.withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text", *doc).join(starts, key)
+            .select("doc_id", "text_hash", word_list(F.col("text")).alias("words"), "starts"))
+    return (rows.select("doc_id", "text_hash", "words", F.explode("starts").alias("x"))
+            .select("doc_id", "text_hash", F.concat_ws(" ", F.slice("words", F.col("x.s") + 1, F.col("x.n"))).alias("win"),
+                    F.col("x.n").alias("n")).distinct())
 
 
 def _fingerprints(weighted: DataFrame, key: str) -> DataFrame:
@@ -103,14 +139,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = cut(_items(benchmark))
-    hits = _windows(docs, items)
+    n_items = items.count()
+    weights = cut(items.select("item_id", F.explode(own_shingles(F.col("words"))).alias("h")).distinct()
+                  .groupBy("h").agg(F.log1p(n_items / F.count("*")).alias("w")))
+    hits = _windows(docs, items, weights)
     if hits is None:
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.lit(0).cast("long").alias("item_id"),
                            F.lit(0.0).alias("similarity")).where(F.lit(False))
     hits = cut(hits)
-    n_items = items.count()
-    weights = cut(items.select("item_id", F.explode(own_shingles(F.col("words"))).alias("h")).distinct()
-                  .groupBy("h").agg(F.log1p(n_items / F.count("*")).alias("w")))
     rare = F.log1p(F.lit(float(n_items)))
     entry = cut(items.withColumn("entry", F.monotonically_increasing_id()))
     wins = hits.groupBy("win", "n").agg(F.count("*").alias("docs"))
