@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webloom.llm import oracle
 from webloom.llm.common import read, tokenizer_path
+from webloom.llm.convtrie import prefix_trie
 from webloom.llm.decontam import benchmark_leaks
 from webloom.llm.jaccard import jaccard_components
 from webloom.llm.langid import identify
@@ -14,9 +16,11 @@ from webloom.llm.licenses import license_paragraphs
 from webloom.llm.packing import pack
 from webloom.llm.pivots import near_duplicates
 from webloom.llm.quality import quality_scores
+from webloom.llm.resampling import resample
 from webloom.llm.secrets import secret_scan
 from webloom.llm.tokens import token_counts
 from webloom.llm.toxicity import toxicity_scores
+from webloom.llm.urlglob import filter_urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -63,11 +67,26 @@ def op10_quality_fourier(spark: SparkSession, sf_dir: str) -> DataFrame:
                           folds=5, threshold=0.3)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text"),
+                    percent=25, least_words=20, seed="7")
+
+
+def op12_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(read(spark, sf_dir, "pages", "page_id", "url"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_secret_ownership, op2_license_paragraphs, op3_jaccard_join, op4_hilbert_packing, op5_language_profiles,
-        op6_toxicity_subwords, op7_benchmark_simhash, op8_pivot_permutation, op9_token_counts, op10_quality_fourier)}
+        op6_toxicity_subwords, op7_benchmark_simhash, op8_pivot_permutation, op9_token_counts, op10_quality_fourier,
+        op11_importance_resampling, op12_url_automaton, op13_conversation_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_importance_resampling": oracle.RESAMPLING, "op12_url_automaton": oracle.URLS,
+            "op13_conversation_trie": oracle.TRIE}
