@@ -95,9 +95,13 @@ def tokens(text: Column) -> Column:
 
 def grams(words: Column) -> Column:
     """Distinct word 1- and 2-grams."""
-    two = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1),
-                                                lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
-    return F.array_distinct(F.concat(words, F.coalesce(two, F.array().cast("array<string>"))))
+    def of(w: Column) -> Column:
+        two = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1),
+                                                lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i))))
+        return F.array_distinct(F.concat(w, F.coalesce(two, F.array().cast("array<string>"))))
+
+    # The array of one element evaluates the words once, not once for each of them.
+    return F.get(F.transform(F.array(words), of), 0)
 
 
 def _gram_set(words: list[str]) -> set[tuple[str, ...]]:
