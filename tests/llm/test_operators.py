@@ -549,3 +549,85 @@ def test_pivot_recall_in_a_large_group(spark, dim):
     assert all(got[i]["n_links"] <= want[i] for i in got)
     assert sum(r["n_links"] for r in got.values()) >= 0.9 * want.sum() > 100_000
     assert {got[i]["component_id"] for i in range(0, 1500, 3) if want[i]} == {0}
+
+
+def test_jaccard_shared_ids(spark):
+    """Rows of one id with different texts are nodes of their own; texts that differ in case have one set."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    a, b = prose(rng, 60, words), prose(rng, 60, words)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a.upper()), (1, a), (9, prose(rng, 60, words))]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in got) == [
+        (1, 1, 1), (1, 1, 3), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 1), (9, 9, 0)]
+
+
+@pytest.mark.parametrize("block", [1 << 18, 4000])
+def test_jaccard_family(spark, monkeypatch, block):
+    """A family of near copies of several lengths: rows between the stages grow with it, links are whole."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", block)
+    edges = {}
+    for n in (100, 400):
+        rng = random.Random(n)
+        base = [f"w{rng.randrange(3000)}" for _ in range(80)]
+        rows = []
+        for i in range(n):
+            w = base + [f"v{j}" for j in range(i % 24)]
+            w[rng.randrange(len(w))] = f"u{i}"
+            rows.append((i, " ".join(w)))
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        seen = []
+        plain = jaccard._candidates
+        monkeypatch.setattr(jaccard, "_candidates", lambda *a: seen.append(plain(*a)) or seen[0])
+        got = jaccard.jaccard_components(df, 3, 80, 100).collect()
+        monkeypatch.setattr(jaccard, "_candidates", plain)
+        edges[n] = seen[0].count()
+        sets = {i: {tuple(t.split()[j: j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+        want = {i: sum(10 * len(s & x) >= 8 * len(s | x) for j, x in sets.items() if j != i) for i, s in sets.items()}
+        assert {r["doc_id"]: r["n_links"] for r in got} == want and sum(want.values()) > n
+    assert edges[400] <= 6 * edges[100]
+
+
+def test_license_long_line(spark):
+    """Time in proportion to the line, and the same answer as for a short one."""
+    text = " ".join(f"word{i % 700}" for i in range(20_000)) + " Licensed under the Apache License, Version 2.0."
+    df = spark.createDataFrame([(1, text), (2, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["family"] for r in licenses.license_paragraphs(df).collect()}
+    assert got[2] == "apache"
+
+
+def test_license_result_matches_plain_python(spark):
+    rng = random.Random(6)
+    temps = [(k, t) for k, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = []
+    for i in range(120):
+        _, t = rng.choice(temps)
+        w = t.split()
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            w[rng.randrange(len(w))] = rng.choice(("alpha", "license", "of", "the", "beta"))
+        rows.append((i, "\n".join([prose(rng, 12, ["alpha", "beta", "gamma", "rights", "public"]), " ".join(w), "", rng.choice(licenses.DECOYS)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = df.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
+    model = licenses.Classifier(lines)
+    weight = {r["gram"]: np.array(r["w"]) for r in model.weights}
+
+    def words_in(t):
+        return [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+
+    want = set()
+    for i, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            w = words_in(line)
+            g = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
+            if not any(x in weight for x in g):
+                continue
+            z = sum((weight[x] for x in g if x in weight), np.zeros(len(model.classes))) + np.array(model.bias)
+            e = np.exp(z - z.max())
+            best = int(z[:-1].argmax())
+            p = e[best] / e.sum()
+            sim = max((max(len(g & t) / len(g), len(g & t) / len(t)) for t in (
+                {*u, *(f"{a} {b}" for a, b in zip(u, u[1:], strict=False))} for u in map(words_in, licenses.TEMPLATES[model.classes[best]]))), default=0)
+            if p > model.level and sim >= licenses.CONFIRM:
+                want.add((i, at, model.classes[best], round(sim, 6)))
+    got = {(r["doc_id"], r["paragraph"], r["family"], r["similarity"]) for r in licenses.license_paragraphs(df).collect()}
+    assert got == want and len(want) > 60

@@ -9,12 +9,14 @@ one among the first ``n - ceil(t * n) + 1`` of either set in any common order.
    last, all others come first by hash.  The table only sets the order: links
    do not depend on it.
 2. *Classes.* Equal sets collapse to one representative before any join.
-3. *Inverted lists* of the prefix shingles.  Lists of up to ``LONG_LIST``
-   documents are merged: pairs that share fewer prefix shingles than their sizes
-   require are dropped.  The members of a longer list (near copies of
-   one text) are only chained to its first member.
-4. Connected candidates form a cluster.  Inside a cluster (cut in blocks of at
-   most ``BLOCK_SHINGLES`` shingles; every two blocks meet) each document runs
+3. *Inverted lists* of the prefix shingles.  Lists of up to ``LONG_LIST`` sets are merged:
+   pairs that share fewer prefix shingles than their sizes require are dropped.  A longer
+   list is cut by size class (sizes that can link lie in one class or in neighbouring ones); its
+   members are only chained to the first of their class, and the first ones of neighbouring
+   classes to each other, so that rows grow with the lists and not with their squares.
+4. Connected candidates form a cluster.  A cluster of more than ``BLOCK_SHINGLES`` shingles is
+   cut into blocks by size class, of at most that size; blocks meet where their
+   classes can link.  Inside, each set runs
    the DivideSkip search: the short inverted lists are merged and
    counted, the L longest are binary-probed for the survivors, and documents
    that reach the required overlap are linked.  A block returns a spanning
@@ -22,17 +24,19 @@ one among the first ``n - ceil(t * n) + 1`` of either set in any common order.
 
 Defined cases: a null or blank text has an empty set and links with nothing;
 fewer than k words are one shingle; exactly repeated rows are copies of each other;
+rows that share a doc_id and differ in text are nodes of their own, each with its own result row;
 rows without doc_id keep their own row, take part in no link and have a null
 component_id.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import textcore as T
@@ -41,8 +45,8 @@ from webloom.llm.graph import components
 from webloom.session import ship_package
 
 ORDER_TABLE = 1 << 20
-LONG_LIST = 256
-BLOCK_SHINGLES = 1 << 20
+LONG_LIST = 16
+BLOCK_SHINGLES = 1 << 18
 
 
 def _up(a, num: int, den: int):
@@ -232,17 +236,21 @@ def index_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _search(num: int, den: int):
     """One cluster, or two blocks of one: links as a forest, with counts."""
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+        both = np.stack([table.column("side").to_numpy(), table.column("node").to_numpy()])
+        table = table.take(pa.array(np.unique(both, axis=1, return_index=True)[1]))  # one row per set
+        side, node = table.column("side").to_numpy(), table.column("node").to_numpy()
         weight = table.column("size").to_numpy()
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("tokens")]
-        two = key[1].as_py() != key[2].as_py()
+        cluster, ci, bi, cj, bj, split = (k.as_py() for k in key)
+        two = (ci, bi) != (cj, bj)
         inner = np.flatnonzero(side == (1 if two else 0))
         outer = np.flatnonzero(side == 0)
         if not len(inner) or not len(outer):  # a block without documents
-            return pa.table({"rep": rep, "root": rep, "links": np.zeros(len(rep), np.int64)})
+            return pa.table({"node": node, "root": node, "links": np.zeros(len(node), np.int64),
+                             "split": np.full(len(node), split)})
         uniq, start, lists = index_of([sets[i] for i in inner])
         sizes = np.array([len(sets[i]) for i in inner], np.int64)
-        parent, links = list(range(len(rep))), np.zeros(len(rep), np.int64)
+        parent, links = list(range(len(node))), np.zeros(len(node), np.int64)
 
         def root(a: int) -> int:
             while parent[a] != a:
@@ -259,44 +267,44 @@ def _search(num: int, den: int):
                     links[hit] += weight[q]
                 a, b = root(q), root(hit)
                 if a != b:
-                    if rep[a] > rep[b]:
+                    if node[a] > node[b]:
                         a, b = b, a
                     parent[b] = a
-        top = np.array([rep[root(i)] for i in range(len(rep))], np.int64)
-        return pa.table({"rep": rep, "root": top, "links": links})
+        top = np.array([node[root(i)] for i in range(len(node))], np.int64)
+        return pa.table({"node": node, "root": top, "links": links, "split": np.full(len(node), split)})
     return run
 
 
 def _sets_of(k: int):
+    """Texts -> shingle sets, where the set is the one that ``da``, ``db`` name."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.schema.get_field_index("text")
-            rest = [i for i in range(b.num_columns) if i != text]
-            for s in T.slices(b.column(text)):
-                cols = [b.column(i).slice(s.lo, s.hi - s.lo) for i in rest]
-                yield pa.record_batch([*cols, T.blob(T.shingle_sets(s, k))],
+            drop = {b.schema.get_field_index(c) for c in ("text", "da", "db")}
+            rest = [i for i in range(b.num_columns) if i not in drop]
+            da, db = b.column("da").to_pylist(), b.column("db").to_pylist()
+            for s in T.slices(b.column("text")):
+                sets = T.shingle_sets(s, k)
+                own = [i for i, x in enumerate(sets) if _digest(x) == (da[s.lo + i], db[s.lo + i])]
+                at = pa.array([s.lo + i for i in own], pa.int64())
+                yield pa.record_batch([*(b.column(i).take(at) for i in rest), T.blob([sets[i] for i in own])],
                                       [*(b.schema.names[i] for i in rest), "tokens"])
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """docs (doc_id bigint, text string, ...) -> one row per document:
-    doc_id, n_shingles, component_id (smallest doc_id reachable by links),
-    n_links (documents that link with it directly)."""
-    spark = ship_package(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = spark.sparkContext.broadcast(_order_table(docs, k))
-    prof = cut(docs.mapInArrow(_profiles(k, num, den, table),
-                               "doc_id long, n long, da long, db long, prefix array<long>"))
+def _size_class(n: str, num: int, den: int) -> Column:
+    """Sizes that can link lie in one class or in neighbouring ones."""
+    width = max(math.log(den / num), 1e-6) * (1 + 1e-6)
+    return F.floor(F.log(n) / width).cast("int")
 
-    classes = cut(prof.where("n > 0 and doc_id is not null").groupBy("n", "da", "db")
-                  .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
-    reps = prof.join(classes.select(F.col("rep").alias("doc_id"), "n", "da", "db"), ["doc_id", "n", "da", "db"])
-    post = reps.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"), "n")
+
+def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (u, v) over the nodes; every two nodes that link are connected."""
+    spark = classes.sparkSession
+    post = classes.select(F.explode("prefix").alias("token"), "node", "n", "cls")
     # Lists: only shingles that two classes have; the rest cannot make a pair.
-    lists = cut(post.groupBy("token").agg(F.count("*").alias("df"), F.min("rep").alias("leader")).where("df > 1"))
+    lists = cut(post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
     shared = cut(post.join(lists, "token"))
-    pairs = (shared.where(F.col("df") <= LONG_LIST).select("token", "rep", "n")
+    pairs = (shared.where(F.col("df") <= LONG_LIST).select("token", F.col("node").alias("doc"), "n")
              .repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
              .mapInArrow(_pairs(num, den), "x long, y long, nx long, ny long, c long")
              .groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("c").alias("c")))
@@ -304,43 +312,78 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     # set that ends its prefix first bounds what else they can share.
     need = F.expr(f"ceil((nx + ny) * {num} / ({num + den}))")
     gap = [F.expr(f"ceil({n} * {num} / {den}) - 1") for n in ("nx", "ny")]
-    cand = pairs.where(F.col("c") >= F.greatest(F.lit(1), need - F.greatest(*gap)))
-    edges = (cand.select(F.col("x").alias("u"), F.col("y").alias("v"))
-             .unionByName(shared.where(F.col("df") > LONG_LIST).select(F.col("leader").alias("u"),
-                                                                       F.col("rep").alias("v"))))
-    found = cut(_links(docs, components(edges), classes, k, num, den))
-    roots = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    split = cut(found.where("split").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    joined = components(split).select(F.col("node").alias("rep"), F.col("root").alias("wide"))
-    roots = (roots.join(found.where("not split").select("rep", "root"), "rep", "left").join(joined, "rep", "left")
-             .select("rep", F.coalesce("wide", "root", "rep").alias("root"), "links"))
-    final = cut(classes.join(roots, "rep", "left")
-                .select("n", "da", "db", "rep", "size", F.coalesce("root", "rep").alias("root"),
-                        F.coalesce("links", F.lit(0)).alias("links")))
+    near = pairs.where(F.col("c") >= F.greatest(F.lit(1), need - F.greatest(*gap)))
+    long = shared.where(F.col("df") > LONG_LIST)
+    up = Window.partitionBy("token").orderBy("cls")
+    heads = cut(long.groupBy("token", "cls").agg(F.min("node").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
+                .select("token", "cls", "head", (F.lead("low").over(up) * num <= F.col("high") * den).alias("near"),
+                        F.lead("head").over(up).alias("next")))
+    return (near.select(F.col("x").alias("u"), F.col("y").alias("v"))
+            .unionByName(long.join(heads, ["token", "cls"]).select(F.col("head").alias("u"), F.col("node").alias("v")))
+            .unionByName(heads.where("near").select(F.col("head").alias("u"), F.col("next").alias("v"))))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """docs (doc_id bigint, text string, ...) -> one row per document:
+    doc_id, n_shingles, component_id (smallest doc_id reachable by links),
+    n_links (documents that link with it directly)."""
+    spark = ship_package(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    table = spark.sparkContext.broadcast(_order_table(docs, k))
+    prof = cut(docs.mapInArrow(_profiles(k, num, den, table),
+                               "doc_id long, n long, da long, db long, prefix array<long>"))
+    # A class of equal sets is a node; its number is fixed by the checkpoint.
+    classes = cut(prof.where("n > 0 and doc_id is not null").groupBy("n", "da", "db")
+                  .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("prefix").alias("prefix"))
+                  .select("*", F.monotonically_increasing_id().alias("node"), _size_class("n", num, den).alias("cls")))
+    found = cut(_links(docs, components(_candidates(classes, num, den)), classes.drop("prefix"), k, num, den))
+    split = cut(found.where("split").select(F.col("node").alias("u"), F.col("root").alias("v")))
+    joined = components(split).select("node", F.col("root").alias("wide"))
+    linked = (found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("split"), F.col("root"))).alias("root"))
+              .where("links > 0").join(joined, "node", "left").select("node", F.coalesce("wide", "root", "node").alias("root"), "links"))
+    linked = cut(linked.join(classes.select("node", "rep"), "node"))
+    tops = linked.groupBy("root").agg(F.min("rep").alias("component"))
+    linked = linked.join(tops, "root").select("node", "component", "links")
+    final = cut(classes.select("n", "da", "db", "rep", "size", "node").join(linked, "node", "left")
+                .select("n", "da", "db", F.coalesce("component", "rep").alias("component"),
+                        (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")))
+    named = F.col("doc_id").isNotNull()
     return (prof.select("doc_id", "n", "da", "db").join(final, ["n", "da", "db"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-                    F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("links") + F.col("size") - 1, F.lit(0)))
-                    .otherwise(F.lit(0)).cast("long").alias("n_links")))
+                    F.when(named, F.coalesce("component", "doc_id")).alias("component_id"),
+                    F.when(named, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")))
 
 
 def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(rep, root, links, split) from the search inside each cluster."""
+    """(node, root, links, split) from the search inside each cluster."""
     spark = docs.sparkSession
-    member = cut(clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster"))
-                 .join(classes.select("rep", "size", "n"), "rep"))
-    total = cut(member.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")))
-    member = member.join(total, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("n")
-    texts = (docs.where("doc_id is not null").join(member.hint("shuffle_hash"), docs.doc_id == member.rep)
-             .select("rep", "cluster", "size", "blocks", "block", "text").dropDuplicates(["rep"]))
-    sets = texts.mapInArrow(_sets_of(k), "rep long, cluster long, size long, blocks int, block int, tokens binary")
-    # A document meets the blocks after its own (side 0) and before it (side 1).
-    ways = F.expr("transform(sequence(0, blocks - 1), b -> struct(least(b, block) as bi, greatest(b, block) as bj, "
-                  "if(b < block, 1, 0) as side))")
-    dealt = sets.withColumn("w", F.explode(ways)).select(
-        "cluster", "rep", "size", "blocks", "tokens", "w.bi", "w.bj", "w.side")
-    out = (dealt.repartition(shuffle_partitions(spark), "cluster", "bi", "bj")
-           .groupBy("cluster", "bi", "bj").applyInArrow(_search(num, den), "rep long, root long, links long"))
-    wide = member.where("blocks > 1").select("rep").distinct().withColumn("split", F.lit(True))
-    return out.join(wide, "rep", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    member = cut(clusters.select("node", F.col("root").alias("cluster")).join(classes, "node"))
+    whole, up = Window.partitionBy("cluster"), Window.partitionBy("cluster").orderBy("cls")
+    large = F.col("total") > BLOCK_SHINGLES
+    parts = (member.groupBy("cluster", "cls").agg(F.sum("n").alias("tokens"))
+             .withColumn("total", F.sum("tokens").over(whole))
+             .withColumn("blocks", F.when(large, F.ceil(F.col("tokens") / BLOCK_SHINGLES)).otherwise(1).cast("int"))
+             .select("cluster", "cls", large.alias("split"), "blocks",
+                     F.when(large & (F.lag("cls").over(up) == F.col("cls") - 1), F.lag("blocks").over(up)).otherwise(0).alias("below"),
+                     F.when(large & (F.lead("cls").over(up) == F.col("cls") + 1), F.lead("blocks").over(up)).otherwise(0).alias("above")))
+    member = (member.join(cut(parts), ["cluster", "cls"])
+              .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+              .withColumn("cls", F.when(F.col("split"), F.col("cls")).otherwise(0)).drop("n"))
+    hint = member.hint("shuffle_hash")
+    texts = (docs.where("doc_id is not null").join(hint, docs.doc_id == hint.rep)
+             .withColumn("same", F.xxhash64("text")).dropDuplicates(["rep", "node", "same"])
+             .select("node", "cluster", "size", "split", "cls", "own", "blocks", "below", "above", "da", "db", "text"))
+    sets = texts.mapInArrow(_sets_of(k), "node long, cluster long, size long, split boolean, cls int, own int, blocks int, "
+                                         "below int, above int, tokens binary")
+    # A set meets its own class's blocks, those of the class above (as side 0) and of the class below (as side 1).
+    ways = F.expr("""concat(
+        transform(sequence(0, blocks - 1), b -> struct(cls as ci, least(b, own) as bi, cls as cj, greatest(b, own) as bj,
+                                                       if(b < own, 1, 0) as side)),
+        if(above > 0, transform(sequence(0, above - 1), b -> struct(cls as ci, own as bi, cls + 1 as cj, b as bj, 0 as side)),
+           array()),
+        if(below > 0, transform(sequence(0, below - 1), b -> struct(cls - 1 as ci, b as bi, cls as cj, own as bj, 1 as side)),
+           array()))""")
+    key = ["cluster", "ci", "bi", "cj", "bj", "split"]
+    dealt = sets.withColumn("w", F.explode(ways)).select("cluster", "split", "node", "size", "tokens", "w.*")
+    return (dealt.repartition(shuffle_partitions(spark), *key).groupBy(*key)
+            .applyInArrow(_search(num, den), "node long, root long, links long, split boolean"))
