@@ -26,6 +26,15 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+BROADCAST_ROWS = 500_000
+
+
+def sized(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """Narrow rows with the way to join them: broadcast where they are counted to be few, else by hash."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if most is None else most) else rows.hint("shuffle_hash")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import cut
+from webloom.llm.common import cut, sized
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -160,8 +160,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     win_sh, item_sh = weigh(wins, "id"), weigh(entry, "entry")
     win_fp = cut(_fingerprints(win_sh, "id").join(wins.select("id", "n"), "id"))
     item_fp = cut(_fingerprints(item_sh, "entry").join(entry.select("entry", "n"), "entry"))
-    masks = spark.range(1 << BLOCK_BITS).where(F.bit_count("id") <= RADIUS // BLOCKS).select(F.col("id").alias("mask"))
-    index = (_blocks(item_fp, "entry").crossJoin(F.broadcast(masks))  # a fixed table of 697 masks
+    masks = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << BLOCK_BITS) - 1).cast("long")),
+                               lambda m: F.bit_count(m) <= RADIUS // BLOCKS))  # 697 of them
+    index = (_blocks(item_fp, "entry").select("*", masks.alias("mask"))
              .select("entry", F.col("fp").alias("item_fp"), "n", "block", F.col("bits").bitwiseXOR(F.col("mask")).alias("bits")))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
     cand = _blocks(win_fp, "id").join(index, ["n", "block", "bits"]).where(near).select("id", "entry").distinct()
@@ -179,7 +180,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, without a leaked item."""
-    bad = leaks(docs, benchmark).select("doc_id", "text_hash").distinct().hint("shuffle_hash")
+    bad = sized(leaks(docs, benchmark).select("doc_id", "text_hash").distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["text_hash"])
     return docs.join(bad, same, "left_anti")
 

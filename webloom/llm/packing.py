@@ -6,7 +6,7 @@ are dealt to ranges of (Hilbert index, hash of the id): the hash breaks ties, so
 thousands of copies in one cell spread over ranges.  Each range is sorted by
 that key, encoded and cut every ``length`` ids: neighbours on the curve share
 sequences, and only the last sequence of a range can be padded.  Ranges hold
-about ``RANGE_BYTES`` of text or more, so padding stays near 0.2 % whatever the size.
+between ``RANGE_BYTES`` and ``LARGE_RANGE_BYTES`` of text or so, so padding stays near 0.2 % or below whatever the size.
 
 A document's ids end with ``end_id``.  ``sequence_id`` is the range number
 times 2**40 plus the sequence's number in the range.
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import textcore as T
-from webloom.llm.common import shuffle_partitions
+from webloom.llm.common import cut, shuffle_partitions
 from webloom.llm.tokens import Units, worker_encoder
 from webloom.session import ship_package
 
-RANGE_BYTES = 2 << 20
+RANGE_BYTES, LARGE_RANGE_BYTES = 2 << 20, 64 << 20
+MARKS = 4096
 BUCKETS, DIMS, BITS = 256, 3, 10
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
@@ -133,18 +134,34 @@ def _pieces(path: str, length: int, end_id: int):
     return run
 
 
+def range_count(total: int, tasks: int) -> int:
+    """Ranges for so many bytes: RANGE_BYTES each, as long as that gives every task one; then it grows
+    with the bytes alone."""
+    return max(1, min(tasks, total // RANGE_BYTES), total // LARGE_RANGE_BYTES)
+
+
+def range_bounds(marks: np.ndarray, n: int) -> np.ndarray:
+    """n - 1 bounds from quantiles of the keys; between two quantiles they lie at even distances."""
+    if n < 2 or not len(marks):
+        return np.zeros(0, np.int64)
+    at = np.arange(1, n) * (len(marks) + 1) / n - 1
+    lo = np.clip(np.floor(at).astype(np.int64), 0, len(marks) - 1)
+    hi = np.minimum(lo + 1, len(marks) - 1)
+    return marks[lo] + ((marks[hi] - marks[lo]) * np.clip(at - lo, 0, 1)).astype(np.int64)
+
+
 def ranged(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, text, part, key: dealt to ranges of
     the curve and sorted along it."""
     spark = ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
-    keys = docs.mapInArrow(_keys(False, None), "key long, n_bytes long")
-    most = shuffle_partitions(spark)
-    probs = [i / most for i in range(1, most)] or [0.5]
-    marks, total = keys.agg(F.percentile_approx("key", probs, 10_000), F.sum("n_bytes")).first()
-    n = max(1, min(most, int(total or 0) // RANGE_BYTES))
-    bounds = np.array([marks[i * most // n - 1] for i in range(1, n)] if n > 1 else [], np.int64)
+    keys = cut(docs.mapInArrow(_keys(False, None), "key long, n_bytes long"))
+    rows, total = keys.agg(F.count("*"), F.sum("n_bytes")).first()
+    n = range_count(int(total or 0), shuffle_partitions(spark))
+    most = min(n, MARKS)
+    marks = keys.agg(F.percentile_approx("key", [i / most for i in range(1, most)], 10 * MARKS)).first()[0] if most > 1 else []
+    bounds = range_bounds(np.array(marks if rows else [], np.int64), n)
     dealt = docs.mapInArrow(_keys(True, bounds), "doc_id long, text string, part int, key long")
     return dealt.repartitionById(n, "part").sortWithinPartitions("part", "key", "doc_id", F.xxhash64("text"))
 

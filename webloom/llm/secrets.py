@@ -4,8 +4,8 @@ Every whole text is searched for the base kinds (assign, access, hex) and for
 *token* candidates: runs of 20 or more of ``A-Za-z0-9+/_-`` with a letter, a
 digit and an entropy of 3 bits a character, outside the base spans.  The SHA-256
 of each candidate's value is aggregated over the corpus, first by (value,
-owner, repository), then by value: a value with ``wide`` or more owners is a widely
-copied example, one with fewer belongs to its owners.  A span is *live* if its
+owner, repository), then by value: a value with ``wide`` or more owners, or with several
+owners in ``WIDE_REPOS`` or more repositories, is a widely copied example; any other belongs to its owners.  A span is *live* if its
 value looks like a credential (entropy, no placeholder words) and is not widely
 copied.  Token candidates become spans only where they are live; base spans
 always stay.
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -31,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import cut, fresh
+from webloom.llm.common import cut, fresh, sized
 from webloom.session import ship_package
 
-WIDE = 5
+WIDE, WIDE_REPOS = 5, 8
+LIVE_ROWS = 50_000
 KINDS = ("assign", "access", "hex", "token")
 FOUND = "array<struct<start: int, kind: int, end: int, hash: string, looks: boolean>>"
 _ITEM = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string()),
@@ -62,11 +64,14 @@ def find(text: str) -> list[tuple[int, int, int, str]]:
     out = [(m.start(), 0, m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     out += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    base = sorted((a, b) for a, _, b, _ in out)
+    taken, reach = sorted((a, b) for a, _, b, _ in out), []
+    for _, b in taken:
+        reach.append(max(b, reach[-1] if reach else 0))  # the furthest end of the spans up to here
     for m in TOKEN.finditer(text):
         v = m[0]
+        before = bisect_left(taken, (m.end(), 0))
         if (any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= 3.0
-                and not any(a < m.end() and m.start() < b for a, b in base)):
+                and not (before and reach[before - 1] > m.start())):
             out.append((m.start(), 3, m.end(), v))
     return sorted(out)
 
@@ -110,15 +115,17 @@ def _judged(scanned: DataFrame, wide: int) -> DataFrame:
     """row, spans: the spans of each row that has candidates, with live."""
     stats = cut(ownership(scanned))
     item = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    live = F.col("looks") & (F.col("n_owners") < wide)
+    stats = stats.withColumn("wide", (F.col("n_owners") >= wide) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= WIDE_REPOS)))
+    live = F.col("looks") & ~F.col("wide")
     return (item.join(stats, "hash").withColumn("live", live).where("live or kind < 3")
-            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "n_owners")))
+            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "live", "wide", "n_owners", "n_repos")))
                                 .alias("spans")))
 
 
 def secret_scan(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """docs (doc_id, text, source, lang, ...) -> per document doc_id, n_assign,
-    n_access, n_hex, base_sha256, spans, n_live, n_wide."""
+    n_access, n_hex, base_sha256, spans, n_live, n_wide, and the most owners and
+    repositories of a value in it."""
     scanned = _scanned(docs)
     kind = F.array(*map(F.lit, KINDS))
     spans = F.coalesce("spans", F.expr("array()"))
@@ -127,7 +134,9 @@ def secret_scan(docs: DataFrame, wide: int = WIDE) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256",
         F.coalesce(F.array_join(text, ","), F.lit("")).alias("spans"),
         F.size(F.filter(spans, lambda s: s["live"])).cast("long").alias("n_live"),
-        F.size(F.filter(spans, lambda s: s["n_owners"] >= wide)).cast("long").alias("n_wide")))
+        F.size(F.filter(spans, lambda s: s["wide"])).cast("long").alias("n_wide"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["n_owners"])), F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce(F.array_max(F.transform(spans, lambda s: s["n_repos"])), F.lit(0)).cast("long").alias("most_repos")))
 
 
 def _blank(at: int):
@@ -155,7 +164,8 @@ def redact(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     span = F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     live = (_judged(scanned, wide).select("row", F.filter("spans", lambda s: s["live"]).alias("s"))
             .where(F.size("s") > 0).join(scanned.select("row", "doc_id", "text_hash"), "row")
-            .groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first(span).alias("live")).hint("shuffle_hash"))
+            .groupBy(F.col("doc_id").alias("id"), "text_hash").agg(F.first(span).alias("live")))
+    live = sized(live, LIVE_ROWS)
     same = docs["doc_id"].cast("long").eqNullSafe(live["id"]) & (F.xxhash64(docs["text"]) == live["text_hash"])
     out = (docs.join(live, same, "left").select(*(docs[n] for n in names), live["live"].alias(fresh(docs, "live")))
            .mapInArrow(_blank(names.index("text")), docs.schema))
