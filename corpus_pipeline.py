@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import decontam, jaccard, packing, quality, secrets
-from webloom.llm.common import fresh, read, scratch_dir, tokenizer_path
+from webloom.llm.common import cut, fresh, read, scratch_dir, sized, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 ORACLE_SQL = None
@@ -35,13 +35,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    group = jaccard.jaccard_components(docs, k=5, num=80, den=100)
-    first = group.where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")
+    group = jaccard.jaccard_components(docs, k=5, num=80, den=100).where("doc_id is not null")
+    ids = group.groupBy("doc_id").agg(F.max(F.expr("doc_id = component_id")).alias("first"), F.count("*").alias("n"))
+    ids = cut(ids.where("not first or n > 1"))
+    # Texts move only where these ids are too many to broadcast.
+    gone = sized(ids.where("not first").select(F.col("doc_id").alias("gone")))
+    again = sized(ids.where("first and n > 1").select(F.col("doc_id").alias("again")))
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(gone, key == gone["gone"], "left_anti")
     text = fresh(docs, "text_hash")
-    some = docs.where("doc_id is not null")
-    kept = (some.join(first, some["doc_id"].cast("long") == first["doc_id"], "left_semi")
-            .withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text))
-    return kept.unionByName(docs.where("doc_id is null"))
+    key = kept["doc_id"].cast("long")
+    one = (kept.join(again, key == again["again"], "left_semi").withColumn(text, F.xxhash64("text"))
+           .dropDuplicates(["doc_id", text]).drop(text))
+    return kept.join(again, key == again["again"], "left_anti").unionByName(one)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
