@@ -24,6 +24,10 @@ URL_PATTERN = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]
 _PATH_VALID = r"^[A-Za-z0-9\-._~$&+,/:;=@!'()*\[\]%]*$"
 
 
+GROUPS = ("g_scheme", "g_auth", "g_path", "g_query", "g_frag", "g_ctl")
+PARTS = ("scheme", "has_authority", "userinfo", "host", "path", "has_query", "query", "fragment", "valid")
+
+
 def _g(col: Column, i: int) -> Column:
     return F.regexp_extract(col, URL_PATTERN, i)
 
@@ -74,7 +78,8 @@ def with_url_parts(df: DataFrame, url_col: str, out: str) -> DataFrame:
     """B1 as a stage: adds struct column ``out`` (see ``url_parts``).  The
     two materialised steps keep the expression tree linear in size."""
     tmp = out + "__g"
-    return df.withColumn(tmp, url_groups(F.col(url_col))).withColumn(out, url_parts(F.col(tmp))).drop(tmp)
+    d = materialize(df, **{tmp: url_groups(F.col(url_col))})
+    return materialize(d, **{out: url_parts(F.col(tmp))}).drop(tmp)
 
 
 def split_url(url: Column) -> Column:
@@ -139,8 +144,8 @@ def with_dots_removed(df: DataFrame, full_col: str, out: str) -> DataFrame:
         drop = F.struct(s["acc"].alias("acc"), F.lit(False).alias("first"))
         return F.when(e == ".", drop).when(e == "..", dd).otherwise(keep)
 
-    d = df.withColumn(f, F.concat(F.aggregate(elems, init, step)["acc"],
-                                  F.when(F.element_at(elems, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))))
+    d = materialize(df, **{f: F.concat(F.aggregate(elems, init, step)["acc"],
+                                       F.when(F.element_at(elems, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))})
     r = F.col(f)
     r = F.when((F.length(r) > 1) & (r.substr(2, 1) == "/"), r.substr(F.lit(2), F.lit(1 << 30))).otherwise(r)
     return d.withColumn(out, F.when(full == "", F.lit("")).otherwise(r)).drop(f)
@@ -164,15 +169,22 @@ def url_string(scheme: Column, has_auth: Column, userinfo: Column, host: Column,
 def with_resolved(df: DataFrame, base_col: str, ref_col: str, out: str) -> DataFrame:
     """B11 as a stage: ``out`` = ``base.Parse(ref).String()``; an unparsable
     ``ref`` is kept unchanged (the reference keeps the raw value when
-    parsing fails).  Intermediate structs are materialised columns so the
-    plan stays small."""
+    parsing fails).  Every stage ends in a generator (:func:`materialize`), so that
+    later uses of ``out``, as a join key say, see a column and not the whole tree."""
     b, r, x = out + "__b", out + "__r", out + "__x"
-    d = with_url_parts(df, base_col, b)
-    d = with_url_parts(d, ref_col, r)
-    B, R = F.col(b), F.col(r)
-    d = d.withColumn(x, F.struct(path_escape(R["path"]).alias("r_path"), path_escape(B["path"]).alias("b_path")))
-    X = F.col(x)
-    r_path, b_path = X["r_path"], X["b_path"]
+    d = df
+    groups, parts = {}, {}
+    for p, col in ((b, base_col), (r, ref_col)):
+        g = url_groups(F.col(col))
+        groups |= {p + f: g[f] for f in GROUPS}
+        own = url_parts({f: F.col(p + f) for f in GROUPS})
+        parts |= {p + f: own[f] for f in PARTS}
+    # Plain columns, no structs: each stage reads only what it needs of the one before.
+    d = materialize(d, **groups)
+    d = materialize(d, **parts).drop(*groups)
+    B, R = {f: F.col(b + f) for f in PARTS}, {f: F.col(r + f) for f in PARTS}
+    d = materialize(d, **{x + "rp": path_escape(R["path"]), x + "bp": path_escape(B["path"])})
+    r_path, b_path = F.col(x + "rp"), F.col(x + "bp")
     ref = F.col(ref_col)
     # Go: without a scheme, a colon in the first path segment is an error.
     colon_err = (R["scheme"] == "") & ~R["has_authority"] & F.substring_index(R["path"], "/", 1).contains(":")
@@ -188,24 +200,23 @@ def with_resolved(df: DataFrame, base_col: str, ref_col: str, out: str) -> DataF
     b_dir = F.when(slash > 0, b_path.substr(F.lit(1), F.length(b_path) - slash + 1)).otherwise(F.lit(""))
     full = F.when(absolute | net, r_path).when(r_path == "", b_path).when(
         ~r_path.startswith("/"), F.concat(b_dir, r_path)).otherwise(r_path)
-    d = d.withColumn(x + "full", full)
+    d = materialize(d, **{x + "full": full}).drop(x + "rp", x + "bp")
     d = with_dots_removed(d, x + "full", x + "path").drop(x + "full")
-    d = d.withColumn(x, F.struct(F.col(x + "path").alias("path"), ok.alias("ok"),
-                                 (absolute | net).alias("abs"), absolute.alias("has_scheme"),
-                                 rel_query.alias("rq"), rel_force.alias("rf"), rel_frag.alias("rfr"),
-                                 r_force.alias("force")))
-    X = F.col(x)
-    resolved_abs = url_string(F.when(X["has_scheme"], R["scheme"]).otherwise(B["scheme"]), R["has_authority"],
-                              R["userinfo"], R["host"], X["path"], R["query"], X["force"], R["fragment"])
-    resolved_rel = url_string(B["scheme"], B["has_authority"], B["userinfo"], B["host"], X["path"],
-                              X["rq"], X["rf"], X["rfr"])
+    away = absolute | net
+
+    def side(own: Column, other: Column) -> Column:
+        return F.when(away, own).otherwise(other)
+
+    resolved = url_string(F.when(absolute, R["scheme"]).otherwise(B["scheme"]), side(R["has_authority"], B["has_authority"]),
+                          side(R["userinfo"], B["userinfo"]), side(R["host"], B["host"]), F.col(x + "path"),
+                          side(R["query"], rel_query), side(r_force, rel_force), side(R["fragment"], rel_frag))
     # "scheme:opaque" (no '//' and no leading '/') is kept opaque by Go
     opaque = (R["scheme"] != "") & ~R["has_authority"] & (R["path"] != "") & ~R["path"].startswith("/")
     resolved_opaque = F.concat(R["scheme"], F.lit(":"), R["path"],
                                F.when(R["has_query"], F.concat(F.lit("?"), R["query"])).otherwise(F.lit("")),
                                F.when(R["fragment"] != "", F.concat(F.lit("#"), R["fragment"])).otherwise(F.lit("")))
-    res = F.when(~X["ok"], ref).when(opaque, resolved_opaque).when(X["abs"], resolved_abs).otherwise(resolved_rel)
-    return d.withColumn(out, res).drop(b, r, x, x + "path")
+    res = F.when(~ok, ref).when(opaque, resolved_opaque).otherwise(resolved)
+    return materialize(d, **{out: res}).drop(*parts, x + "path")
 
 
 def with_url_string(df: DataFrame, url_col: str, out: str) -> DataFrame:
@@ -213,9 +224,9 @@ def with_url_string(df: DataFrame, url_col: str, out: str) -> DataFrame:
     p = out + "__p"
     d = with_url_parts(df, url_col, p)
     u = F.col(p)
-    return d.withColumn(out, F.when(u["valid"], url_string(
+    return materialize(d, **{out: F.when(u["valid"], url_string(
         u["scheme"], u["has_authority"], u["userinfo"], u["host"], path_escape(u["path"]), u["query"],
-        u["has_query"] & (u["query"] == ""), u["fragment"])).otherwise(F.col(url_col))).drop(p)
+        u["has_query"] & (u["query"] == ""), u["fragment"])).otherwise(F.col(url_col))}).drop(p)
 
 
 def materialize(df: DataFrame, **cols: Column) -> DataFrame:

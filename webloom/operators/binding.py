@@ -19,6 +19,9 @@ from webloom.operators.classify import apply_class
 from webloom.sources.rules import CLASS_PARSER_TYPES, Parser, RuleError, URLClass
 
 
+_BOUND: dict[str, list] = {}
+
+
 def binding(spark: SparkSession, classes: list[URLClass], parsers: list[Parser],
             typed: bool = True, strict: bool = False) -> DataFrame:
     """Rows (uclass, class_type, parser, parser_type, parser_ordinal)."""
@@ -35,7 +38,7 @@ def binding(spark: SparkSession, classes: list[URLClass], parsers: list[Parser],
     flags = []
     for c in classes:
         allowed = CLASS_PARSER_TYPES.get(c.cls, ())
-        ok = apply_class(c, F.col("_u"))["matched"]
+        ok = apply_class(c, F.col("_u"), only_match=True)["matched"]
         if typed:
             ok = ok & F.col("parser_type").isin(*allowed) if allowed else F.lit(False)
         flags.append((c, ok))
@@ -52,8 +55,12 @@ def binding(spark: SparkSession, classes: list[URLClass], parsers: list[Parser],
 
 def binding_map(spark: SparkSession, classes, parsers, typed=True) -> dict[str, list[Parser]]:
     """The binding as a driver-side dict class -> parsers in rule order.  Its
-    size is bounded by (#classes x #parsers) of the rule set, never by data."""
-    rows = binding(spark, classes, parsers, typed).collect()
+    size is bounded by (#classes x #parsers) of the rule set, never by data.
+    It depends on the rules alone and is worked out once for each rule set."""
+    known = repr((classes, parsers, typed))
+    if known not in _BOUND:
+        _BOUND[known] = binding(spark, classes, parsers, typed).collect()
+    rows = _BOUND[known]
     by_name = {p.name: p for p in parsers}
     out: dict[str, list[Parser]] = {}
     for r in rows:

@@ -22,10 +22,15 @@ def latest(versions: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     Only key and order columns are aggregated (partially on the map side); the
     rows of the winners come back by a semi-join, so bodies are neither
-    sorted nor carried where they are not read.  (key, order) identifies a version.
+    sorted nor carried where they are not read.  A null order value is the lowest, a null
+    key a key of its own; of versions with equal (key, order) one stays.
     """
-    best = versions.groupBy(key).agg(F.max(F.struct(*order)).alias("_o")).select(key, "_o.*")
-    return versions.join(best, [key, *order], "left_semi")
+    best = versions.groupBy(key).agg(F.max(F.struct(*order)).alias("_o")).select(
+        F.col(key).alias("_key"), *(F.col("_o")[c].alias(f"_o_{c}") for c in order))
+    same = versions[key].eqNullSafe(best["_key"])
+    for c in order:
+        same = same & versions[c].eqNullSafe(best[f"_o_{c}"])
+    return versions.join(best, same, "left_semi").dropDuplicates([key])
 
 
 def cache_upsert(versions: DataFrame, url_col: str = "url", ts_col: str = "fetched_at",

@@ -49,11 +49,12 @@ def _pair_text(kq):
     return lambda v: F.concat(kq, F.lit("="), U.query_escape(v))
 
 
-def apply_class(uc: URLClass, u: Column, segs: Column | None = None, pairs: Column | None = None) -> dict:
+def apply_class(uc: URLClass, u: Column, segs: Column | None = None, pairs: Column | None = None,
+                only_match: bool = False) -> dict:
     """B3-B7 ``ApplyClassifier`` on a split URL struct ``u`` (see
     ``urls.url_parts``); ``segs``/``pairs`` are the escaped path segments and
     parsed query (pass materialised columns, see ``with_url_fields``).
-    Returns Columns {matched, normalized_url, reason}."""
+    Returns Columns {matched, normalized_url, reason}, with ``only_match`` the first alone."""
     if segs is None:
         segs = _segments(u)
     if pairs is None:
@@ -106,16 +107,20 @@ def apply_class(uc: URLClass, u: Column, segs: Column | None = None, pairs: Colu
             ok = present & all_match
             why = F.when(present, F.lit("query param mismatch")).otherwise(F.lit("no default for param"))
         q_checks.append((ok, why))
+        if only_match:
+            continue
         kq = U.query_escape(F.lit(key))
         encoded_parts.append(F.array_join(F.transform(vals, _pair_text(kq)), "&"))
     for ok, why in reversed(q_checks):
         q_reason = F.when(~ok, why).otherwise(q_reason)
         q_ok = q_ok & ok
+    matched = u["valid"] & (same | sub) & path_ok & q_ok
+    if only_match:
+        return {"matched": matched}
     encoded = F.concat_ws("&", *encoded_parts) if encoded_parts else F.lit("")
     force = u["has_query"] & (u["query"] == "")
     normalized = U.url_string(scheme, u["has_authority"], u["userinfo"], host, new_path, encoded, force, u["fragment"])
     reason = F.coalesce(domain_reason, path_reason, q_reason)
-    matched = u["valid"] & (same | sub) & path_ok & q_ok
     reason = F.when(~u["valid"], F.lit("unparsable url")).otherwise(reason)
     return {"matched": matched, "normalized_url": normalized, "reason": reason}
 
@@ -130,38 +135,114 @@ def with_url_fields(df: DataFrame, url_col: str, prefix: str = "__") -> DataFram
     (columns ``{prefix}u``, ``{prefix}segs``, ``{prefix}pairs``)."""
     d = U.with_url_parts(df, url_col, prefix + "u")
     u = F.col(prefix + "u")
-    return d.withColumn(prefix + "segs", _segments(u)).withColumn(prefix + "pairs", U.query_pairs(u["query"]))
+    return U.materialize(d, **{prefix + "segs": _segments(u), prefix + "pairs": U.query_pairs(u["query"])})
 
 
 def priority_order(classes: list[URLClass]) -> list[URLClass]:
     return sorted(classes, key=lambda c: (-c.priority, c.ordinal))
 
 
+LITERAL_CLASSES = 48
+
+
 def classify(df: DataFrame, classes: list[URLClass], url_col: str = "url") -> DataFrame:
     """Add ``uclass``, ``class_type``, ``priority``, ``normalized_url``
-    (all NULL when no class matches - B9)."""
+    (all NULL when no class matches - B9).  A few classes are compiled into the
+    projection; more of them are looked up by host (:func:`classify_by_host`)."""
     if not classes:
         return (df.withColumn("uclass", _null_str()).withColumn("class_type", _null_str())
                 .withColumn("priority", F.lit(None).cast("bigint")).withColumn("normalized_url", _null_str()))
+    if len(classes) > LITERAL_CLASSES:
+        return classify_by_host(df, classes, url_col)
     d = with_url_fields(df, url_col, "__")
     u, segs, pairs = F.col("__u"), F.col("__segs"), F.col("__pairs")
-    ordered = priority_order(classes)
-    # one boolean column per class first, so the normalised URL is only built
-    # for the class that wins
-    for i, c in enumerate(ordered):
-        d = d.withColumn(f"__ok{i}", apply_class(c, u, segs, pairs)["matched"])
     picks = []
-    for i, c in enumerate(ordered):
+    for c in priority_order(classes):
         r = apply_class(c, u, segs, pairs)
-        picks.append(F.when(F.col(f"__ok{i}"), F.struct(
+        picks.append(F.when(r["matched"], F.struct(
             F.lit(c.name).alias("uclass"), F.lit(c.cls).alias("class_type"),
             F.lit(c.priority).cast("bigint").alias("priority"), r["normalized_url"].alias("normalized_url"))))
-    none = F.struct(_null_str().alias("uclass"), _null_str().alias("class_type"),
+    # The generator keeps filters on the class columns from copying the classifier into them.
+    return d.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.coalesce(*picks, _no_class()))))
+
+
+def _no_class() -> Column:
+    return F.struct(_null_str().alias("uclass"), _null_str().alias("class_type"),
                     F.lit(None).cast("bigint").alias("priority"), _null_str().alias("normalized_url"))
-    # ``inline`` of a one-element array: one row in, one row out, and a filter
-    # on the class columns cannot be pushed below it (pushing would inline the
-    # whole classifier into the filter and evaluate it twice per row).
-    return d.select(*[F.col(c) for c in df.columns], F.inline(F.array(F.coalesce(*picks, none))))
+
+
+_RULE = ("domain string, priority bigint, ordinal int, uclass string, class_type string, allow_http boolean, "
+         "match_subdomain boolean, allow_subdomain boolean, "
+         "path array<struct<value: string, type: string, default: string, pattern: string>>, "
+         "query array<struct<key: string, value: string, type: string, default: string, pattern: string>>")
+
+
+def _rule_rows(classes: list[URLClass]) -> list[tuple]:
+    def parts(m: Matcher) -> tuple:
+        return m.value, m.type, m.default or "", matcher_pattern(m) if m.type == "REGEX" and m.value else None
+
+    return [(c.domain, c.priority, c.ordinal, c.name, c.cls, c.allow_http, c.match_subdomain, c.allow_subdomain,
+             [parts(m) for m in c.path], [(k, *parts(m)) for k, m in c.query]) for c in classes]
+
+
+def _match_row(m: Column, value: Column) -> Column:
+    """B2 with the matcher as data; see :func:`match_string`."""
+    hit = (F.when(m["value"] == "", F.lit(True)).when(m["type"] == "EXACT", value == m["value"])
+           .when(m["pattern"].isNotNull(), F.rlike(value, m["pattern"])).otherwise(F.lit(False)))
+    return F.coalesce(value != "", F.lit(False)) & hit
+
+
+def _accepts(c: Column, u: Column, segs: Column, pairs: Column) -> Column:
+    """B5, B6 with the class as data."""
+    def path_ok(m, i):
+        seg = F.get(segs, i)
+        return F.when(seg.isNull(), m["default"] != "").otherwise(_match_row(m, seg))
+
+    def query_ok(m):
+        own = F.filter(pairs, lambda p: p["k"] == m["key"])
+        return F.when(F.size(own) == 0, m["default"] != "").otherwise(F.forall(own, lambda p: _match_row(m, p["v"])))
+
+    return (F.forall(F.transform(c["path"], path_ok), lambda ok: ok) & F.forall(c["query"], query_ok))
+
+
+def _rewritten(c: Column, u: Column, segs: Column, pairs: Column) -> Column:
+    """The normalised URL with the class as data."""
+    scheme = F.when(c["allow_http"], u["scheme"]).otherwise("https")
+    host = F.when(c["allow_subdomain"] | (u["hostname"] == c["domain"]), u["host"]).otherwise(c["domain"])
+    path = F.concat(F.lit("/"), F.array_join(F.transform(c["path"], lambda m, i: F.coalesce(F.get(segs, i), m["default"])), "/"))
+
+    def encoded(m):
+        own = F.transform(F.filter(pairs, lambda p: p["k"] == m["key"]), lambda p: p["v"])
+        vals = F.when(F.size(own) == 0, F.array(m["default"])).otherwise(own)
+        return F.array_join(F.transform(vals, lambda v: F.concat(U.query_escape(m["key"]), F.lit("="), U.query_escape(v))), "&")
+
+    query = F.array_join(F.transform(c["query"], encoded), "&")
+    return U.url_string(scheme, u["has_authority"], u["userinfo"], host, path, query,
+                        u["has_query"] & (u["query"] == ""), u["fragment"])
+
+
+def classify_by_host(df: DataFrame, classes: list[URLClass], url_col: str = "url") -> DataFrame:
+    """B8 for large rule sets: the rules are a table keyed by domain.  Each distinct host is joined with
+    the rules on its label suffixes (an equi-join), which gives it its candidates in order of
+    precedence; a URL takes the first of its host's candidates whose path and query rules hold."""
+    spark = df.sparkSession
+    rules = spark.createDataFrame(_rule_rows(classes), _RULE)
+    d = with_url_fields(df, url_col, "__")
+    d = U.materialize(d, __host=F.when(F.col("__u")["valid"], F.col("__u")["hostname"]))
+    labels = F.split("host", "[.]")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    hosts = d.select(F.col("__host").alias("host")).where("host is not null").distinct()
+    found = (hosts.select("host", F.explode(F.array_distinct(tails)).alias("domain")).join(rules, "domain")
+             .where("host = domain or match_subdomain"))
+    ranked = F.struct((-F.col("priority")).alias("rank"), "ordinal", F.struct(*rules.columns).alias("rule"))
+    cands = found.groupBy("host").agg(F.array_sort(F.collect_list(ranked)).alias("__cands"))
+    d = d.join(cands.withColumnRenamed("host", "__host"), "__host", "left")
+    u, segs, pairs = F.col("__u"), F.col("__segs"), F.col("__pairs")
+    d = U.materialize(d, __rule=F.get(F.filter("__cands", lambda x: _accepts(x["rule"], u, segs, pairs)), 0)["rule"])
+    rule = F.col("__rule")
+    picked = F.struct(rule["uclass"].alias("uclass"), rule["class_type"].alias("class_type"), rule["priority"].alias("priority"),
+                      F.when(rule.isNotNull(), _rewritten(rule, u, segs, pairs)).alias("normalized_url"))
+    return d.select(*[F.col(c) for c in df.columns], F.inline(F.array(picked)))
 
 
 def class_matches(df: DataFrame, uc: URLClass, url_col: str = "url") -> DataFrame:

@@ -9,7 +9,7 @@ bare (no ``content/`` or ``metadata/`` prefix) everywhere.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import tags as TG
@@ -32,10 +32,12 @@ def ingest(df: DataFrame, body_col: str = "body", seq_col: str = "seq") -> DataF
     return h.groupBy("id_hash").agg(F.min(seq_col).alias("first_seq"), F.count(F.lit(1)).alias("n_copies"))
 
 
-def bodies(first: DataFrame, df: DataFrame, body_col: str = "body", seq_col: str = "seq") -> DataFrame:
-    """F5 ``Get``: the stored body of each item of :func:`ingest`."""
-    own = df.select(F.col(seq_col).alias("first_seq"), F.col(body_col).alias("body"))
-    return first.join(own, "first_seq")
+def bodies(first: DataFrame, df: DataFrame, body_col: str = "body", seq_col: str = "seq", kept: Column | None = None) -> DataFrame:
+    """F5 ``Get``: the stored body of each item of :func:`ingest`, one row per item; a sequence may be
+    null or repeated.  ``kept``: what is wanted of the body, if not all of it."""
+    own = with_id_hash(df, body_col, "_hash").select("_hash", F.col(seq_col).alias("_seq"), (F.col(body_col) if kept is None else kept).alias("body"))
+    same = first["id_hash"].eqNullSafe(own["_hash"]) & first["first_seq"].eqNullSafe(own["_seq"])
+    return first.join(own, same).drop("_hash", "_seq").dropDuplicates(["id_hash"])
 
 
 def source_tags(ingests: DataFrame, tag_col: str = "tag", seq_col: str = "seq",

@@ -12,9 +12,10 @@ key plus an interval predicate:
   is valid until the next event of the same cookie.
 * ``cookies_for_requests`` - H13/H14: versions valid at the request time,
   not expired, passing the send predicate, ordered by path length desc,
-  creation asc, sequence asc.  The interval join is a binned equi-join on
-  (jar, day): each version is listed once per day it overlaps, so no
-  request is compared with versions of other days - exact, without caps.
+  creation asc, sequence asc, by an as-of join.
+
+No window holds a whole jar or cookie: they run inside time buckets
+(``operators.timeline``), so a jar with a third of all events is many tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 from webloom.functions import hosts as HS
 from webloom.functions import urls as U
+from webloom.operators import timeline as TL
+from webloom.session import cut_lineage
 
 JAR = ["jar_id", "jar_key"]
 
@@ -108,44 +111,50 @@ _KEPT = ["cookie_id", "name", "value", "domain", "path", "host_only", "secure",
 _ORDER = ["ts", "event_id", "ordinal"]
 
 
-def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None, reads: DataFrame | None) -> DataFrame:
+def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None, reads: DataFrame | None,
+            rows: int = TL.ROWS) -> DataFrame:
     """Set and delete events in order, with the bounds of their versions.
 
     cookies, reads: a state (see :func:`advance`) whose events all lie before
     those of ``ents`` and ``reqs``; its rows go first in their cookie's order.
+    Windows run inside time buckets of about ``rows`` events (``timeline``).
     """
+    times = ents.select("ts") if reqs is None else ents.select("ts").unionByName(reqs.select("ts"))
+    bounds = TL.bucket_bounds(times, rows)
+    bucket = TL.bucket_of(F.col("ts"), bounds).alias(TL.BUCKET)
     e = ents.withColumn("_kind", F.when(F.col("remove"), F.lit("del")).otherwise(F.lit("set"))).select(
         *JAR, *_ORDER, *_KEPT, "_kind", F.col("ts").alias("c_ts"), F.col("event_id").alias("c_eid"), F.col("ordinal").alias("c_ord"))
     none = F.lit(None).cast("struct<ts:timestamp,event_id:bigint>")
-    if reqs is not None:
-        # The last read on the jar before each event (reads purge
-        # expired entries, so a later set gets a new creation time)
-        rd = reqs.select(*JAR, "ts", "event_id", F.lit(-1).alias("ordinal"), F.lit(True).alias("_read"))
-        allev = (e.select(*JAR, *_ORDER, "cookie_id", F.lit(False).alias("_read"))
-                 .unionByName(rd, allowMissingColumns=True))
-        wj = Window.partitionBy(*JAR).orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-        lr = (allev.withColumn("_last_read", F.max(F.when(F.col("_read"), F.struct("ts", "event_id"))).over(wj))
-              .where(~F.col("_read")).select(*JAR, "event_id", "ordinal", "cookie_id", "_last_read"))
-        e = e.join(lr, JAR + ["event_id", "ordinal", "cookie_id"], "left")
+    # The last read on the jar before each event (reads purge
+    # expired entries, so a later set gets a new creation time)
+    rd = None if reqs is None else reqs.select(*JAR, "ts", "event_id")
+    if reads is not None:
+        old = reads.select(*JAR, F.col("read_ts").alias("ts"), F.col("read_eid").alias("event_id"))
+        rd = old if rd is None else rd.unionByName(old)
+    if rd is None:
+        e = e.select("*", bucket, none.alias("_last_read"))
     else:
-        e = e.withColumn("_last_read", none)
+        rd = rd.withColumn("ordinal", F.lit(-1)).withColumn("_read", F.struct("ts", "event_id"))
+        every = e.withColumn("_read", none).unionByName(rd, allowMissingColumns=True).select("*", bucket)
+        e = (TL.carry(every, JAR, _ORDER, F.col("_read"), "_last_read", bounds)
+             .where(F.col("_kind").isNotNull()).drop("_read"))
     if cookies is not None:
-        seen = reads.select(*JAR, F.struct(F.col("read_ts").alias("ts"), F.col("read_eid").alias("event_id")).alias("_seen"))
-        e = e.join(seen, JAR, "left").withColumn("_last_read", F.coalesce("_last_read", "_seen")).drop("_seen")
-        e = e.unionByName(cookies.withColumn("_last_read", none))
-    w = Window.partitionBy(*JAR, "cookie_id").orderBy(*_ORDER)
+        e = e.unionByName(cookies.select("*", bucket, none.alias("_last_read")))
+    own = [*JAR, "cookie_id"]
+    w = Window.partitionBy(*own, TL.BUCKET).orderBy(TL.EDGE, *_ORDER)
+    e = TL.with_neighbours(e, own, _ORDER, bounds)
     e = (e.withColumn("_pk", F.lag("_kind").over(w)).withColumn("_pts", F.lag("ts").over(w))
          .withColumn("_peid", F.lag("event_id").over(w)).withColumn("_pexp", F.lag("expires").over(w))
          .withColumn("_ppers", F.lag("persistent").over(w))
-         .withColumn("valid_to", F.lead("ts").over(w)).withColumn("to_eid", F.lead("event_id").over(w)))
+         .withColumn("valid_to", F.lead("ts").over(w)).withColumn("to_eid", F.lead("event_id").over(w))
+         .where(F.col(TL.EDGE) == 1).drop(TL.EDGE))
     purged = ((F.col("_pk") == "set") & F.col("_ppers") & F.col("_last_read").isNotNull()
               & (F.col("_last_read") > F.struct(F.col("_pts").alias("ts"), F.col("_peid").alias("event_id")))
               & (F.col("_last_read")["ts"] >= F.col("_pexp")))
-    new_seg = F.col("_pk").isNull() | (F.col("_pk") == "del") | F.coalesce(purged, F.lit(False))
-    e = e.withColumn("_seg", F.sum(F.when(new_seg, 1).otherwise(0)).over(w))
-    ws = Window.partitionBy(*JAR, "cookie_id", "_seg")
-    first = F.min(F.struct("c_ts", "c_eid", "c_ord")).over(ws)
-    return (e.withColumn("_first", first).drop("c_ts", "c_eid", "c_ord")
+    # A segment begins at a first set, after a delete and after a purge; its events share its creation.
+    begins = F.col("_pk").isNull() | (F.col("_pk") == "del") | F.coalesce(purged, F.lit(False))
+    e = TL.carry(e, own, _ORDER, F.when(begins, F.struct("c_ts", "c_eid", "c_ord")), "_first", bounds)
+    return (e.drop("c_ts", "c_eid", "c_ord", TL.BUCKET)
             .select("*", F.col("_first")["c_ts"].alias("c_ts"), F.col("_first")["c_eid"].alias("c_eid"),
                     F.col("_first")["c_ord"].alias("c_ord")))
 
@@ -156,11 +165,11 @@ def _as_versions(rows: DataFrame) -> DataFrame:
         F.col("ts").alias("valid_from"), F.col("event_id").alias("from_eid"), "valid_to", "to_eid")
 
 
-def versions(ents: DataFrame, reqs: DataFrame | None = None) -> DataFrame:
+def versions(ents: DataFrame, reqs: DataFrame | None = None, rows: int = TL.ROWS) -> DataFrame:
     """H8 + H15: SCD2 versions (jar_id, jar_key, cookie_id, name, value,
     domain, path, host_only, secure, httponly, same_site, persistent, expires,
     creation, seq_eid, seq_ord, valid_from, from_eid, valid_to, to_eid)."""
-    return _as_versions(_replay(ents, reqs, None, None))
+    return _as_versions(_replay(ents, reqs, None, None, rows))
 
 
 # ---- H9, H17: the state between batches ------------------------------------
@@ -199,37 +208,42 @@ def load_state(spark, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("cookies", "reads")}
 
 
-def _days(a, b):
-    return F.sequence(F.to_date(a), F.to_date(b))
-
+def sent_cookies(vers: DataFrame, reqs: DataFrame, rows: int = TL.ROWS) -> DataFrame:
+    """(request, version) pairs of cookies sent with each request.
 
-def sent_cookies(vers: DataFrame, reqs: DataFrame) -> DataFrame:
-    """(request, version) pairs of cookies sent with each request."""
-    hi = reqs.agg(F.max("ts")).first()[0]  # one scalar: the last request time bounds open versions
-    if hi is None:
-        return None
-    v = vers.withColumn("day", F.explode(_days(F.col("valid_from"),
-                                                F.least(F.coalesce(F.col("valid_to"), F.lit(hi)), F.lit(hi)))))
-    r = reqs.select(*JAR, F.col("event_id").alias("req_id"), F.col("ts").alias("req_ts"), "host", "https",
-                    "req_path", F.to_date("ts").alias("day"))
-    j = v.join(r, JAR + ["day"])
-    after_from = (F.col("valid_from") < F.col("req_ts")) | (
-        (F.col("valid_from") == F.col("req_ts")) & (F.col("from_eid") < F.col("req_id")))
+    An as-of join: each request is paired with the cookies of its jar whose domain and path fit, not
+    with their versions; in the order of (jar, cookie) the last version before the request is carried to it,
+    inside time buckets of about ``rows`` rows.  Candidates grow with requests times cookies.
+    """
+    scope = vers.select(*JAR, "cookie_id", F.col("domain").alias("_domain"), F.col("path").alias("_path")).distinct()
+    r = reqs.select(*JAR, F.col("event_id").alias("req_id"), F.col("ts").alias("req_ts"), "host", "https", "req_path")
+    fits = HS.domain_match(F.col("_domain"), F.lit(False), F.col("host")) & HS.path_match(F.col("_path"), F.col("req_path"))
+    asks = (r.join(scope, JAR).where(fits).drop("_domain", "_path")
+            .withColumns({"_ts": F.col("req_ts"), "_eid": F.col("req_id"), "_set": F.lit(False)}))
+    kept = [c for c in vers.columns if c not in (*JAR, "cookie_id")]
+    late = F.coalesce("valid_to", F.lit(HS.END_OF_TIME).cast("timestamp"))
+    sets = vers.select(*JAR, "cookie_id", F.col("valid_from").alias("_ts"), F.col("from_eid").alias("_eid"), F.lit(True).alias("_set"),
+                       late.alias("_to"), F.coalesce("to_eid", F.lit((1 << 63) - 1)).alias("_to_eid"),
+                       F.struct(*kept).alias("_version"))
+    bounds = TL.bucket_bounds(vers.select("valid_from").union(reqs.select("ts")), rows)
+    every = asks.unionByName(sets, allowMissingColumns=True).withColumn(TL.BUCKET, TL.bucket_of(F.col("_ts"), bounds))
+    # A request goes before a set of the same time and event; of several sets there the last one counts.
+    found = TL.carry(every, [*JAR, "cookie_id"], ["_ts", "_eid", "_set", "_to", "_to_eid"], F.col("_version"), "_v", bounds)
+    s = found.where(~F.col("_set") & F.col("_v").isNotNull()).select(
+        *JAR, "cookie_id", "req_id", "req_ts", "host", "https", "req_path", "_v.*")
     before_to = F.col("valid_to").isNull() | (F.col("req_ts") < F.col("valid_to")) | (
         (F.col("req_ts") == F.col("valid_to")) & (F.col("req_id") < F.col("to_eid")))
     live = ~F.col("persistent") | (F.col("expires") > F.col("req_ts"))
     send = HS.should_send(F.col("domain"), F.col("host_only"), F.col("path"), F.col("secure"),
                           F.col("https"), F.col("host"), F.col("req_path"))
-    return j.where(after_from & before_to & live & send)
+    return s.where(before_to & live & send)
 
 
 def cookies_for_requests(vers: DataFrame, reqs: DataFrame) -> DataFrame:
     """H13 + H14: per request the ``name=value`` list in send order (path
     length desc, creation asc, sequence asc), space separated."""
-    s = sent_cookies(vers, reqs)
+    s = sent_cookies(cut_lineage(vers), reqs)
     base = reqs.select(*JAR, F.col("event_id").alias("req_id"))
-    if s is None:
-        return base.withColumn("cookies", F.lit(""))
     ordered = (s.groupBy(*JAR, "req_id")
                .agg(F.array_sort(F.collect_list(F.struct(
                    (-F.length("path")).alias("k1"), F.col("creation").alias("k2"), F.col("seq_eid").alias("k3"),
@@ -243,13 +257,12 @@ def last_access(vers: DataFrame, reqs: DataFrame) -> DataFrame:
     """Per cookie that is still in the jar, the later of its last set and
     the last request it was sent with.  A cookie is gone if its last event
     deleted it or a later read of the jar found it expired."""
+    vers = cut_lineage(vers)
     reads = reqs.groupBy(*JAR).agg(F.max("ts").alias("_read"))
     purged = F.col("persistent") & (F.col("_read") > F.col("valid_from")) & (F.col("_read") >= F.col("expires"))
     here = (vers.where("valid_to is null").join(reads, JAR, "left").where(~F.coalesce(purged, F.lit(False)))
             .select(*JAR, "cookie_id", F.col("valid_from").alias("last_set")))
     s = sent_cookies(vers, reqs)
-    if s is None:
-        return here.withColumnRenamed("last_set", "last_access")
     sent = s.groupBy(*JAR, "cookie_id").agg(F.max("req_ts").alias("last_sent"))
     return (here.join(sent, JAR + ["cookie_id"], "left")
             .select(*JAR, "cookie_id", F.greatest("last_set", F.coalesce("last_sent", "last_set")).alias("last_access")))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
 from webloom.operators import html_nodes, xpath
+from webloom.operators.crawl import route_bodies
 from webloom.sources.rules import Parser, regex_for_op
 
 LINK_TYPES = ("CONTENT", "NEXT", "FOLLOW")
@@ -150,11 +151,14 @@ def run_parsers(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str =
 
 
 def page_results(pages: DataFrame, bind: dict[str, list[Parser]], key_col: str = "page_id",
-                 url_col: str = "url") -> DataFrame:
+                 url_col: str = "url", content_type: str | None = None) -> DataFrame:
     """Per processable page a SOURCE row with the page URL, then the
     results of each bound parser; CONTENT/NEXT/FOLLOW values resolved
     against the page URL (unparsable values kept as they are).  A page whose
-    class binds no parser still gets its SOURCE row."""
+    class binds no parser still gets its SOURCE row.  With a ``content_type`` column only
+    ``text/html`` bodies are parsed (A9)."""
+    if content_type:
+        pages = route_bodies(pages, content_type).where("route = 'parse'").drop("route")
     base = U.with_url_string(pages, url_col, "_src").withColumnRenamed(url_col, "_base")
     rows = _rows(base, bind, key_col, ["_base", "_src"], F.col("_src"))
     link = F.when(F.col("type").isin(*LINK_TYPES), F.col("value"))

@@ -36,7 +36,7 @@ def id_color(spark, sf_dir):
 
 def content_dedup(spark, sf_dir):
     docs = tables.documents(spark, sf_dir, "doc_id", "text")
-    stored = CT.bodies(content_store(spark, sf_dir), docs.select("doc_id", F.length("text").alias("chars")), "chars", "doc_id")
+    stored = CT.bodies(content_store(spark, sf_dir), docs, "text", "doc_id", F.length("text"))
     return stored.select("id_hash", F.col("first_seq").alias("first_doc_id"), "n_copies", F.col("body").alias("body_chars"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from webloom.functions import hosts as HS
 from webloom.functions import urls as U
 from webloom.operators import cookies as CK
+from webloom.session import cut_lineage
 from webloom.sources import tables
 from webloom.streaming import jobs as S
 
@@ -57,7 +58,7 @@ def requests_of(e):
 
 
 def _state(spark, sf_dir):
-    reqs = CK.requests_prepared(request_events(spark, sf_dir))
+    reqs = cut_lineage(CK.requests_prepared(request_events(spark, sf_dir)))
     vers = CK.versions(CK.entries(set_events(spark, sf_dir)), reqs)
     return vers, reqs
 
@@ -110,7 +111,10 @@ def cookie_resume(spark, sf_dir):
     ended.write.parquet(f"{base}/ended")
     CK.save_state(state, f"{base}/state")
     more, state = CK.advance(*prepared(raw.where(late)), CK.load_state(spark, f"{base}/state"))
-    every = spark.read.parquet(f"{base}/ended").unionByName(more).unionByName(CK.open_versions(state))
+    more.write.parquet(f"{base}/more")
+    CK.save_state(state, f"{base}/last")
+    every = (spark.read.parquet(f"{base}/ended", f"{base}/more")
+             .unionByName(CK.open_versions(CK.load_state(spark, f"{base}/last"))))
     return every.select(*VERSION_COLUMNS)
 
 

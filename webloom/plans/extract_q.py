@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from webloom.operators import binding as B
 from webloom.operators import classify as C
 from webloom.operators import extract as X
+from webloom.operators import store
+from webloom.operators.cache import url_key
+from webloom.session import cut_lineage, work_dir
 from webloom.sources import rules as R
 from webloom.sources import tables
 
@@ -88,7 +91,37 @@ def page_tags(spark, sf_dir):
                     F.size("tags").alias("n_tags"))
 
 
+def page_results_html_only(spark, sf_dir):
+    """A9 in the page job; the content type differs from page to page."""
+    kind = F.when(F.col("page_id") % 4 == 0, "application/pdf").when(F.col("page_id") % 4 == 1, "Text/HTML").when(
+        F.col("page_id") % 4 == 2, "text/html").otherwise("text/html; charset=utf-8")
+    classes, parsers = R.load_classes(), R.load_parsers()
+    pages = C.processable(C.classify(tables.pages(spark, sf_dir, "page_id", "url", "html"), classes))
+    res = X.page_results(pages.withColumn("kind", kind), B.binding_map(spark, classes, parsers), content_type="kind")
+    return res.select(F.col("page_key").alias("page_id"), "uclass", "parser", "type", "seq", "value")
+
+
+def page_results_latest(spark, sf_dir):
+    """Results are stored per md5(url); a later put of a page replaces all of them.  All pages are put, then
+    those with an even id once more, with their TAG results alone."""
+    pages = tables.pages(spark, sf_dir, "page_id", "url")
+    found = cut_lineage(_results(spark, sf_dir).withColumnRenamed("page_key", "page_id"))
+    one = F.struct("parser", "type", "seq", "value")
+
+    def rows(results, version):
+        listed = results.groupBy("page_id").agg(F.collect_list(one).alias("results"))
+        return (pages.join(listed, "page_id").select(url_key("url").alias("url_key"), "page_id", F.lit(version).alias("version"), "results"))
+
+    path = work_dir(spark, "results")
+    store.put(rows(found, 0), path, "url_key", ["version", "page_id"])
+    store.put(rows(found.where("page_id % 2 = 0 and type = 'TAG'"), 1), path, "url_key", ["version", "page_id"])
+    return (spark.read.parquet(path).select("page_id", "url_key", F.explode("results").alias("r"))
+            .select("page_id", "url_key", "r.type", "r.seq", "r.value"))
+
+
 QUERIES = {
+    "page_results_html_only": page_results_html_only,
+    "page_results_latest": page_results_latest,
     "class_parser_binding": class_parser_binding,
     "class_parser_binding_untyped": class_parser_binding_untyped,
     "extract_titles": extract_titles,

@@ -57,3 +57,5 @@ ORACLE = {
     "normalize_urls": "WITH " + _SPLIT + " SELECT page_id, url, uclass, normalized_url FROM c "
                       "WHERE uclass IS NOT NULL AND class_type <> 'IGNORE'",
 }
+
+ORACLE["classify_pages_by_host"] = ORACLE["classify_pages"]

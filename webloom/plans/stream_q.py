@@ -8,7 +8,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from webloom.operators import cache as CA
 from webloom.operators import cookies as CK
 from webloom.plans import cookies_q
 from webloom.sources import rules as R
@@ -39,8 +38,7 @@ def stream_page_cache(spark, sf_dir):
     versions = crawl_q._versions_of(stream)
     q = S.cache_upsert_stream(versions, os.path.join(base, "out"), os.path.join(base, "ckpt"))
     q.awaitTermination()
-    latest = CA.latest(spark.read.parquet(os.path.join(base, "out")).drop("batch"), "url_key", ["fetched_at", "version"])
-    return latest.select("url_key", "url", "version", "fetched_at", F.length("body").alias("body_chars"))
+    return spark.read.parquet(os.path.join(base, "out")).select("url_key", "url", "version", "fetched_at", F.length("body").alias("body_chars"))
 
 
 STATE_SLICES = 3

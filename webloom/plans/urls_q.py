@@ -37,8 +37,15 @@ def normalize_urls(spark, sf_dir):
             .select("page_id", "url", "uclass", "normalized_url"))
 
 
+def classify_pages_by_host(spark, sf_dir):
+    """The form for large rule sets: rules as a table, joined by host."""
+    c = C.classify_by_host(tables.pages(spark, sf_dir, "page_id", "url"), R.load_classes())
+    return c.select("page_id", "url", "uclass", "class_type", "normalized_url")
+
+
 QUERIES = {
     "classify_pages": classify_pages,
+    "classify_pages_by_host": classify_pages_by_host,
     "classify_counts": classify_counts,
     "unclassified_pages": unclassified_pages,
     "ignored_pages": ignored_pages,

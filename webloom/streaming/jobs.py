@@ -8,8 +8,8 @@
 * S2 ``ingest_dedup_stream``: bodies hashed and deduplicated with streaming
   state (``dropDuplicates``; ``dropDuplicatesWithinWatermark`` bounds the state
   when an event-time column and a watermark are given).
-* S3 ``cache_upsert_stream``: each micro-batch's latest version per URL key is
-  appended; readers take the latest per key (``operators.cache.latest``).
+* S3 ``cache_upsert_stream``: each micro-batch is put into a keyed store (``operators.store``):
+  only the buckets it touches are rewritten, readers scan one version per key.
 
 * S4 ``cookie_state_stream``: each micro-batch advances the cookie state
   (``operators.cookies.advance``); the state after a batch is a folder of its own, read
@@ -22,7 +22,6 @@ Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +31,9 @@ from webloom.operators import cache as CA
 from webloom.operators import classify as C
 from webloom.operators import cookies as CK
 from webloom.operators import extract as X
+from webloom.operators import store
 from webloom.functions import tags as TG
-from webloom.session import ensure_checkpoint_dir
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+from webloom.session import work_dir  # noqa: F401
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,8 +68,8 @@ def ingest_dedup_stream(docs: DataFrame, body_col: str, out: str, ckpt: str,
 
 def cache_upsert_stream(versions: DataFrame, out: str, ckpt: str, tie_col: str = "version"):
     def run(batch: DataFrame, batch_id: int):
-        (CA.cache_upsert(batch, tie_col=tie_col)
-         .write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}")))
+        rows = batch.withColumn("url_key", CA.url_key())
+        store.put(rows, out, "url_key", ["fetched_at", tie_col])
 
     return versions.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
