@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values ----------------------------------------------------------
+NON_ASCII = r"[^\x00-\x7F]"
+PUNYCODE_DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 END_OF_TIME = "9999-12-31 23:59:59"  # expiry of session cookies (UTC)
 _V4 = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = rf"^{_V4}\.{_V4}\.{_V4}\.{_V4}$"
@@ -49,9 +51,8 @@ def is_ip(host: Column) -> Column:
 
 
 def canonical_host(host: Column) -> Column:
-    """H1: lower-case, strip the port, strip one trailing dot.  NULL when the
-    host:port form is malformed.  (Non-ASCII labels are kept as Unicode; the
-    reference converts them to punycode.)"""
+    """H1: lower-case, strip the port, strip one trailing dot, labels with other than ASCII
+    characters in their ASCII form.  NULL when the host:port form is malformed."""
     h = F.lower(host)
     bracket = h.startswith("[")
     hp = F.when(bracket, F.regexp_extract(h, r"^\[([^\]]*)\]:[^:\]\[]*$", 1)).otherwise(
@@ -59,7 +60,78 @@ def canonical_host(host: Column) -> Column:
     bad = has_port(h) & (hp == "") & ~h.rlike(r"^:[^:]*$")
     stripped = F.when(has_port(h), hp).otherwise(h)
     out = F.when(stripped.endswith("."), stripped.substr(F.lit(1), F.length(stripped) - 1)).otherwise(stripped)
-    return F.when(bad, F.lit(None).cast("string")).otherwise(out)
+    return F.when(bad, F.lit(None).cast("string")).when(out.rlike(NON_ASCII), ascii_host(out)).otherwise(out)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (a lambda variable)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def ascii_host(host: Column) -> Column:
+    """Each label with other than ASCII characters as ``xn--`` and its Punycode (RFC 3492)."""
+    return F.array_join(F.transform(F.split(host, "[.]"), lambda label: F.when(
+        label.rlike(NON_ASCII), F.concat(F.lit("xn--"), punycode(label))).otherwise(label)), ".")
+
+
+def punycode(label: Column) -> Column:
+    """RFC 3492: the ASCII characters, then for each other character, by code point and place, how many
+    states the decoder skips to it, as a number of variable length."""
+    points = F.transform(F.regexp_extract_all(label, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+    return _bound(points, _encode)
+
+
+def _encode(points: Column) -> Column:
+    plain = F.filter(points, lambda c: c < 128)
+    other = F.array_sort(F.filter(F.transform(points, lambda c, i: F.struct(c.alias("point"), i.alias("at"))),
+                                  lambda e: e["point"] >= 128))
+    start = F.struct(F.concat(F.array_join(F.transform(plain, lambda c: F.char(c)), ""),
+                              F.when(F.size(plain) > 0, "-").otherwise("")).alias("out"),
+                     F.size(plain).alias("done"), F.lit(127).alias("point"), F.size(points).alias("at"),
+                     F.lit(72).cast("long").alias("bias"))
+
+    def before(e):  # smaller characters ahead of this one
+        return F.size(F.filter(points, lambda c, j: (j < e["at"]) & (c < e["point"])))
+
+    def step(s, e):
+        first = s["point"] == 127
+        same = F.size(F.filter(points, lambda c, j: (j > s["at"]) & (j < e["at"]) & (c < e["point"])))
+        rest = F.size(F.filter(points, lambda c, j: (j > s["at"]) & (c < s["point"])))
+        skipped = (e["point"] - s["point"] - 1) * (s["done"] + 1) + before(e)
+        delta = F.when(e["point"] == s["point"], same).when(first, skipped).otherwise(rest + 1 + skipped).cast("long")
+        return _bound(delta, lambda d: F.struct(
+            F.concat(s["out"], _digits(d, s["bias"])).alias("out"), (s["done"] + 1).alias("done"),
+            e["point"].alias("point"), e["at"].alias("at"), _adapted(d, s["done"] + 1, first).alias("bias")))
+
+    return F.aggregate(other, start, step, lambda s: s["out"])
+
+
+def _div(a: Column, b) -> Column:
+    return F.floor(a / b).cast("long")
+
+
+def _digits(number: Column, bias: Column) -> Column:
+    def digit(d):
+        return F.substring(F.lit(PUNYCODE_DIGITS), (d + 1).cast("int"), F.lit(1))
+
+    def step(v, k):
+        t = F.least(F.lit(26).cast("long"), F.greatest(F.lit(1).cast("long"), k - bias))
+        last = F.struct(v["left"].alias("left"), F.concat(v["out"], digit(v["left"])).alias("out"), F.lit(False).alias("more"))
+        next_ = F.struct(_div(v["left"] - t, 36 - t).alias("left"),
+                         F.concat(v["out"], digit(t + (v["left"] - t) % (36 - t))).alias("out"), F.lit(True).alias("more"))
+        return F.when(~v["more"], v).when(v["left"] < t, last).otherwise(next_)
+
+    start = F.struct(number.alias("left"), F.lit("").alias("out"), F.lit(True).alias("more"))
+    return F.aggregate(F.sequence(F.lit(36), F.lit(36 * 14), F.lit(36)), start, step, lambda v: v["out"])
+
+
+def _adapted(delta: Column, points: Column, first: Column) -> Column:
+    d = F.when(first, _div(delta, 700)).otherwise(_div(delta, 2))
+    start = F.struct((d + _div(d, points)).alias("d"), F.lit(0).cast("long").alias("k"))
+    step = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, lambda a, _: F.when(
+        a["d"] > 455, F.struct(_div(a["d"], 35).alias("d"), (a["k"] + 36).alias("k"))).otherwise(a),
+        lambda a: a["k"] + _div(36 * a["d"], a["d"] + 38))
+    return step
 
 
 def jar_key(host: Column) -> Column:

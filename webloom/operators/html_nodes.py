@@ -20,6 +20,9 @@ closes nothing else, a new ``p`` or block element closes an open ``p``,
 ``li``/``dt``/``dd``/``option`` close their open sibling, an end tag closes up to
 its open element (stray ones are ignored, a stray ``</p>`` is an empty paragraph),
 ``script``/``style`` content is raw text, everything open at EOF closes there.
+Formatting elements (``b``, ``i``, ``a``, ...) that something else closes are opened again
+for the content that follows, and an end tag that lies across blocks moves them as the
+adoption steps of HTML say.
 A body that the tokenizer cannot read fails the job; nothing is dropped.
 """
 
@@ -47,50 +50,151 @@ SCOPE_STOP = {"li": frozenset("ul ol".split()), "dt": frozenset(["dl"]), "dd": f
               "th": frozenset(["tr", "table"])}
 HEAD_ONLY = frozenset("base link meta noscript script style template title".split())
 SECTIONS = frozenset("tbody thead tfoot".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MARKED = frozenset("applet caption marquee object td template th".split())
+SCOPE = frozenset("applet caption html marquee object table td template th".split())
+PHRASING = frozenset("abbr acronym bdi bdo cite data del dfn ins kbd label map mark meter output progress q rp rt ruby samp span sub "
+                     "sup time var".split())
+NO_TEXT = frozenset("html head table tbody thead tfoot tr colgroup script style title".split())
+NO_REOPEN = frozenset("html head body table caption colgroup col tbody thead tfoot tr td th base link meta script style template "
+                      "title param source track".split())
 # ---------------------------------------------------------------------------
 
 
+class _Node:
+    __slots__ = ("name", "attrs", "parent", "children")
+
+    def __init__(self, name, attrs):
+        self.name, self.attrs, self.parent, self.children = name, attrs, None, []
+
+    def add(self, child):
+        """Append a node (taken from where it was) or a text."""
+        if isinstance(child, _Node):
+            if child.parent is not None:
+                child.parent.children.remove(child)
+            child.parent = self
+        self.children.append(child)
+
+
+MARK = _Node("", [])  # in the list of active formatting elements: a cell or an object begins
+
+
 class _TreeBuilder(HTMLParser):
-    def __init__(self, keep_names, value_names, want_text):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.keep = keep_names
-        self.values = value_names
-        self.want_text = want_text
-        self.next_pre = 1
-        # stack entries: [pre, name, text_chunk_index_at_open, row_or_None, child_counts]
-        self.stack = []
-        self.root_counts = {}
-        self.chunks = []
-        self.rows = []
+        self.root = _Node("", [])
+        self.stack = []      # open elements
+        self.active = []     # formatting elements that later content still stands in, and marks
         self.head_done = False
 
     # -- helpers --------------------------------------------------------------
-    def _close_top(self):
-        pre, name, start, row, _ = self.stack.pop()
-        if row is not None and (self.values is None or name in self.values):
-            row[10] = "".join(self.chunks[start:])
+    def _top(self):
+        return self.stack[-1] if self.stack else self.root
 
     def _close_through(self, name):
         while self.stack:
-            top = self.stack[-1][1]
-            self._close_top()
-            if top == name:
-                return
+            if self.stack.pop().name == name:
+                break
+        if name in MARKED:
+            while self.active and self.active.pop() is not MARK:
+                pass
 
     def _open_in(self, name, stops=frozenset()):
-        for entry in reversed(self.stack):
-            if entry[1] == name:
+        for e in reversed(self.stack):
+            if e.name == name:
                 return True
-            if entry[1] in stops:
+            if e.name in stops:
                 return False
         return False
 
-    def _counts(self):
-        return self.stack[-1][4] if self.stack else self.root_counts
+    # -- formatting elements ---------------------------------------------------
+    def _reopen(self):
+        """Open again the active formatting elements that were closed by something else."""
+        at = len(self.active)
+        while at and self.active[at - 1] is not MARK and self.active[at - 1] not in self.stack:
+            at -= 1
+        for i in range(at, len(self.active)):
+            self.active[i] = self._open(self.active[i].name, self.active[i].attrs)
+
+    def _remember(self, node):
+        alike = []
+        for e in reversed(self.active):
+            if e is MARK:
+                break
+            if e.name == node.name and e.attrs == node.attrs:
+                alike.append(e)
+        if len(alike) >= 3:  # of equal ones the last three count
+            self.active.remove(alike[-1])
+        self.active.append(node)
+
+    def _close_formatting(self, name):
+        """An end tag of a formatting element that may lie across others (the adoption steps)."""
+        if self.stack and self.stack[-1].name == name and self.stack[-1] not in self.active:
+            self.stack.pop()
+            return
+        for _ in range(8):
+            own = None
+            for e in reversed(self.active):
+                if e is MARK:
+                    break
+                if e.name == name:
+                    own = e
+                    break
+            if own is None:
+                for e in reversed(self.stack):
+                    if e.name == name:
+                        self._close_through(name)
+                        return
+                    if e.name not in FORMATTING and e.name not in PHRASING:
+                        return
+                return
+            if own not in self.stack:
+                self.active.remove(own)
+                return
+            at = self.stack.index(own)
+            if any(e.name in SCOPE for e in self.stack[at + 1:]):
+                return
+            block = next((e for e in self.stack[at + 1:] if e.name not in FORMATTING and e.name not in PHRASING), None)
+            if block is None:
+                del self.stack[at:]
+                self.active.remove(own)
+                return
+            above, mark = self.stack[at - 1] if at else self.root, self.active.index(own)
+            last, i, steps = block, self.stack.index(block), 0
+            while True:  # from the block up to the formatting element
+                i, steps = i - 1, steps + 1
+                node = self.stack[i]
+                if node is own:
+                    break
+                if node in self.active and steps > 3:
+                    self.active.remove(node)
+                    mark = min(mark, len(self.active))
+                if node not in self.active:
+                    del self.stack[i]
+                    continue
+                copy = _Node(node.name, node.attrs)
+                self.active[self.active.index(node)] = copy
+                self.stack[i] = copy
+                if last is block:
+                    mark = self.active.index(copy) + 1
+                copy.add(last)
+                last = copy
+            above.add(last)
+            copy = _Node(own.name, own.attrs)
+            inside, block.children = block.children, []
+            for child in inside:
+                if isinstance(child, _Node):
+                    child.parent = copy
+                copy.children.append(child)
+            block.add(copy)
+            self.active.insert(mark, copy)
+            self.active.remove(own)
+            self.stack.remove(own)
+            self.stack.insert(self.stack.index(block) + 1, copy)
 
     # -- implied elements ------------------------------------------------------
     def _has(self, name):
-        return any(e[1] == name for e in self.stack)
+        return any(e.name == name for e in self.stack)
 
     def _imply(self, name):
         """Open what HTML supplies before a start tag ``name``."""
@@ -116,14 +220,14 @@ class _TreeBuilder(HTMLParser):
 
     def _imply_table(self, name):
         if name in SECTIONS:
-            while self.stack[-1][1] in SECTIONS | {"tr", "td", "th"} and self._open_in("table"):
-                self._close_top()
-        elif name == "tr" and self.stack[-1][1] == "table":
+            while self.stack[-1].name in SECTIONS | {"tr", "td", "th"} and self._open_in("table"):
+                self._close_through(self.stack[-1].name)
+        elif name == "tr" and self.stack[-1].name == "table":
             self._open("tbody", [])
         elif name in ("td", "th"):
-            if self.stack[-1][1] == "table":
+            if self.stack[-1].name == "table":
                 self._open("tbody", [])
-            if self.stack[-1][1] in SECTIONS:
+            if self.stack[-1].name in SECTIONS:
                 self._open("tr", [])
 
     # -- parser callbacks ------------------------------------------------------
@@ -144,28 +248,31 @@ class _TreeBuilder(HTMLParser):
                     break
         if name in SECTIONS or name in ("tr", "td", "th"):
             self._imply_table(name)
-        self._open(name, attrs)
+        if name in ("a", "nobr"):
+            for e in reversed(self.active):
+                if e is MARK:
+                    break
+                if e.name == name:
+                    self._close_formatting(name)
+                    if e in self.active:
+                        self.active.remove(e)
+                    if e in self.stack:
+                        self.stack.remove(e)
+                    break
+        if self._has("body") and name not in CLOSES_P and name not in NO_REOPEN:
+            self._reopen()
+        node = self._open(name, attrs)
+        if name in FORMATTING:
+            self._remember(node)
+        elif name in MARKED:
+            self.active.append(MARK)
 
     def _open(self, name, attrs):
-        counts = self._counts()
-        counts[name] = counts.get(name, 0) + 1
-        pre = self.next_pre
-        self.next_pre += 1
-        parent = self.stack[-1][0] if self.stack else 0
-        row = None
-        if self.keep is None or name in self.keep:
-            amap = {}
-            for k, v in attrs:
-                if k not in amap:  # first of duplicate attributes wins
-                    amap[k] = "" if v is None else v
-            row = [pre, parent, len(self.stack), "elem", name, counts[name], amap,
-                   [0] + [e[0] for e in self.stack], None, None, None]
-            self.rows.append(row)
-        if name in VOID:
-            if row is not None and (self.values is None or name in self.values):
-                row[10] = ""
-            return
-        self.stack.append([pre, name, len(self.chunks), row, {}])
+        node = _Node(name, attrs)
+        self._top().add(node)
+        if name not in VOID:
+            self.stack.append(node)
+        return node
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -177,6 +284,8 @@ class _TreeBuilder(HTMLParser):
         if name == "head":
             self._imply("head")
             self._leave_head()
+        elif name in FORMATTING:
+            self._close_formatting(name)
         elif self._has(name):
             self._close_through(name)
         elif name == "p":
@@ -186,32 +295,54 @@ class _TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if not data:
             return
-        if not self._has("body") and (not self.stack or self.stack[-1][1] in ("html", "head")):
+        if not self._has("body") and (not self.stack or self.stack[-1].name in ("html", "head")):
             if not data.strip():
                 return
             self._imply("#text")
-        self.chunks.append(data)
-        pre = self.next_pre
-        self.next_pre += 1
-        if self.want_text:
-            parent = self.stack[-1][0] if self.stack else 0
-            row = [pre, parent, len(self.stack), "text", None, None, None,
-                   [0] + [e[0] for e in self.stack], None, None, data]
-            self.rows.append(row)
-
-    def finish(self):
-        self.close()
-        while self.stack:
-            self._close_top()
-        return self.rows
+        if self._has("body") and self._top().name not in NO_TEXT:
+            self._reopen()
+        self._top().add(data)
+
+
+def _rows(root, keep, values, want_text):
+    """The tree in document order, numbered from 1."""
+    rows, chunks, pre = [], [], 0
+    # (node, its number, its row, first chunk, children left, names counted)
+    path = [(root, 0, None, 0, iter(root.children), {})]
+    while path:
+        node, number, row, start, left, counts = path[-1]
+        child = next(left, None)
+        if child is None:
+            path.pop()
+            if row is not None and (values is None or node.name in values):
+                row[10] = "".join(chunks[start:])
+            continue
+        pre += 1
+        if not isinstance(child, _Node):
+            chunks.append(child)
+            if want_text:
+                rows.append([pre, number, len(path) - 1, "text", None, None, None, [e[1] for e in path], None, None, child])
+            continue
+        counts[child.name] = counts.get(child.name, 0) + 1
+        own = None
+        if keep is None or child.name in keep:
+            amap = {}
+            for k, v in child.attrs:
+                if k not in amap:  # first of duplicate attributes wins
+                    amap[k] = "" if v is None else v
+            own = [pre, number, len(path) - 1, "elem", child.name, counts[child.name], amap, [e[1] for e in path], None, None, None]
+            rows.append(own)
+        path.append((child, pre, own, len(chunks), iter(child.children), {}))
+    return rows
 
 
 def parse_nodes(html: str, keep_names=None, value_names=None, want_text=False) -> list:
     """Rows ``[pre, parent, depth, kind, name, sib_pos, attrs, ancestors, -, -, value]``
     of one document (plain Python, used by the Spark stage and by tests)."""
-    b = _TreeBuilder(keep_names, value_names, want_text)
+    b = _TreeBuilder()
     b.feed(html or "")
-    return b.finish()
+    b.close()
+    return _rows(b.root, keep_names, value_names, want_text)
 
 
 def with_nodes(docs: DataFrame, keep_names=None, value_names=None, want_text=False, html_col: str = "html",
