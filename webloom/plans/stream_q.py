@@ -41,23 +41,23 @@ def stream_page_cache(spark, sf_dir):
     return spark.read.parquet(os.path.join(base, "out")).select("url_key", "url", "version", "fetched_at", F.length("body").alias("body_chars"))
 
 
-STATE_SLICES = 3
+STATE_SLICES, SLICE_ROWS = 3, 50_000_000
 
 
 def stream_cookie_versions(spark, sf_dir):
-    """The events arrive in slices of time, a micro-batch each."""
+    """The events arrive in slices of time: a folder and a micro-batch each, on one checkpoint."""
     base = S.work_dir(spark, "s4")
     raw = tables.events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    marks = raw.agg(F.percentile_approx(micros, [i / STATE_SLICES for i in range(1, STATE_SLICES)])).first()[0]
+    slices = max(STATE_SLICES, raw.count() // SLICE_ROWS)
+    marks = raw.agg(F.percentile_approx(micros, [i / slices for i in range(1, slices)])).first()[0]
     part = sum((F.when(micros >= m, 1).otherwise(0) for m in marks or []), F.lit(0))
-    for i in range(STATE_SLICES):
-        raw.where(part == i).coalesce(1).write.parquet(f"{base}/in/slice={i}")
-    stream = (spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false")
-              .parquet(f"{base}/in/slice=*"))
-    S.cookie_state_stream(stream, cookies_q.prepared, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    for i in range(slices):
+        raw.where(part == i).write.parquet(f"{base}/in/slice={i}")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{base}/in/slice=*")
+        S.cookie_state_stream(stream, cookies_q.prepared, f"{base}/out", f"{base}/ckpt").awaitTermination()
     ended = spark.read.parquet(f"{base}/out/ended").drop("batch")
-    now = CK.open_versions(CK.load_state(spark, f"{base}/out/state/{STATE_SLICES - 1}"))
+    now = CK.open_versions(CK.load_state(spark, f"{base}/out/state/{slices - 1}"))
     return ended.unionByName(now).select(*cookies_q.VERSION_COLUMNS)
 
 
