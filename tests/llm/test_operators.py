@@ -551,6 +551,53 @@ def test_pivot_recall_in_a_large_group(spark, dim):
     assert {got[i]["component_id"] for i in range(0, 1500, 3) if want[i]} == {0}
 
 
+def test_pivot_lists_do_not_grow_with_the_table():
+    """Pairs compared and rows dealt per vector stay as they are from 16,000 to 64,000 vectors; near pairs meet."""
+    seen = {}
+    for n in (16_000, 64_000):
+        rng = np.random.default_rng(n)
+        x = rng.standard_normal((n, 48))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        noise = rng.standard_normal((2000, 48))
+        noise -= (noise * x[:2000]).sum(1, keepdims=True) * x[:2000]
+        c = rng.uniform(0.93, 1.0, (2000, 1))
+        x[2000:4000] = c * x[:2000] + np.sqrt(1 - c * c) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+        most = pivots.pivot_count(n)
+        near = pivots._nearest(x, pivots._two_sets(x[rng.permutation(n)[:4096]], most))
+        first, second = near[:, :pivots.TOP], near[:, pivots.PREFIX:pivots.PREFIX + pivots.TOP]
+        lists = (first[:, :, None].astype(np.int64) * most + second[:, None, :]).reshape(n, -1)
+        sizes = np.bincount(lists.ravel())
+        blocks = -(-sizes // pivots.BLOCK)
+        seen[n] = ((sizes ** 2).sum() / n, (sizes * blocks).sum() / n)
+        whole = [np.zeros((n, most), bool) for _ in range(2)]
+        for k in (0, 1):
+            np.put_along_axis(whole[k], near[:, k * pivots.PREFIX:(k + 1) * pivots.PREFIX].astype(np.int64), True, 1)
+        found = [len(set(lists[i]) & set(lists[i + 2000])) > 0
+                 and all((w[i] & w[i + 2000]).sum() >= pivots.SHARED for w in whole) for i in range(2000)]
+        assert np.mean(found) >= 0.95
+    assert seen[64_000][0] < 1.5 * seen[16_000][0] and seen[64_000][1] < 1.5 * seen[16_000][1]
+
+
+def test_pivot_pairs_count_once():
+    """Over all lists, every pair that shares enough pivots counts in exactly one."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = pivots._nearest(x, pivots._two_sets(x[:12], 12))
+    seen = collections.Counter()
+    for p in range(12):
+        for q in range(12):
+            own = np.flatnonzero((near[:, :pivots.TOP] == p).any(1)
+                                 & (near[:, pivots.PREFIX:pivots.PREFIX + pivots.TOP] == q).any(1))
+            if len(own) > 1:
+                at = np.arange(len(own))
+                for i, j in np.argwhere(pivots._candidates(near[own], (p, q), at, at, 3)):
+                    seen[own[i], own[j]] += 1
+    top = [(set(r[:pivots.TOP]), set(r[pivots.PREFIX:pivots.PREFIX + pivots.TOP])) for r in near.tolist()]
+    want = {(i, j) for i in range(300) for j in range(300) if top[i][0] & top[j][0] and top[i][1] & top[j][1]}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
 def test_jaccard_shared_ids(spark):
     """Rows of one id with different texts are nodes of their own; texts that differ in case have one set."""
     rng = random.Random(9)
