@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,8 @@ SAMPLE, PER_PIVOT, SAMPLE_VALUES = 4096, 4, 1 << 22
 LISTS = ["label", "dim", "p1", "p2", "bi", "bj"]
 
 
-def _unit(rows: list, kind=np.float64) -> np.ndarray:
-    x = np.array(rows, kind).astype(np.float64)
+def _unit(rows) -> np.ndarray:
+    x = np.asarray(rows, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -94,14 +95,18 @@ def _describe(sets, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sets.value
         for b in batches:
-            vecs = b.column(3).to_pylist()
-            near = np.full((len(vecs), 2 * PREFIX), -1, np.int16)
-            for dim in {len(v) for v in vecs}:
-                own = [i for i, v in enumerate(vecs) if len(v) == dim]
-                near[own] = _nearest(_unit([vecs[i] for i in own]), table[dim])
+            values, dims = b.column(3).flatten().to_numpy(), pc.list_value_length(b.column(3)).to_numpy()
+            ends = np.cumsum(dims)
+            near, blobs = np.full((len(dims), 2 * PREFIX), -1, np.int16), [b""] * len(dims)
+            for dim in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == dim)
+                vecs = values[(ends[own] - dim)[:, None] + np.arange(dim)]
+                near[own] = _nearest(_unit(vecs), table[dim])
+                for i, v in zip(own, vecs.astype(kind), strict=True):
+                    blobs[i] = v.tobytes()
             first = [[[int(x) for x in n[k:k + TOP] if x >= 0] for n in near] for k in (0, PREFIX)]
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([len(v) for v in vecs], pa.int32()),
-                                   pa.array([np.array(v, kind).tobytes() for v in vecs], pa.binary()),
+            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(dims, pa.int32()),
+                                   pa.array(blobs, pa.binary()),
                                    pa.array([n.tobytes() for n in near], pa.binary()),
                                    pa.array(first[0], pa.list_(pa.int32())), pa.array(first[1], pa.list_(pa.int32()))],
                                   ["rep", "size", "label", "dim", "vec", "near", "first1", "first2"])
@@ -142,11 +147,16 @@ def _candidates(near: np.ndarray, pivots: tuple[int, int], a: np.ndarray, b: np.
     return ok
 
 
+def _rows(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """Binary values of one length as the rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
 def _search_list(key: tuple, table: pa.Table, least: float, shared: int, kind: str) -> pa.RecordBatch:
     rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
     side = table.column("side").to_numpy()
-    unit = _unit([np.frombuffer(v.as_py(), kind) for v in table.column("vec")])
-    near = np.array([np.frombuffer(v.as_py(), np.int16) for v in table.column("near")])
+    unit = _unit(_rows(table.column("vec"), kind))
+    near = _rows(table.column("near"), np.int16)
     a = np.flatnonzero(side == 0)
     b = a if key[4] == key[5] else np.flatnonzero(side == 1)
     ok = _candidates(near, key[2:4], a, b, shared) & (unit[a] @ unit[b].T >= least)
