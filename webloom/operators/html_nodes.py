@@ -4,9 +4,10 @@ One ``mapInPandas`` pass tokenizes each body with the standard-library
 ``html.parser`` and adds one column ``nodes`` to its row: an array with a struct
 per element (and per text node when a path needs ``text()``),
 
-    (pre, parent, kind, name, sib_pos, attrs, ancestors, value)
+    (pre, parent, kind, name, sib_pos, attrs, at, last, value)
 
-``pre`` numbers nodes in document order (the document itself is 0).  Stage 2
+``pre`` numbers nodes in document order (the document itself is 0); what lies below a
+node stands behind it in the array, from ``at`` + 1 to ``last``.  Stage 2
 (``webloom.operators.xpath``) filters that array with Column expressions, so no
 step of a path shuffles.  Only elements whose names occur in some compiled path
 are emitted (``keep_names``; ``None`` = all), and the string-value (concatenated
@@ -28,6 +29,7 @@ A body that the tokenizer cannot read fails the job; nothing is dropped.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -79,11 +81,38 @@ class _Node:
 MARK = _Node("", [])  # in the list of active formatting elements: a cell or an object begins
 
 
+class _Open(list):
+    """The open elements, with how many of each name there are."""
+
+    def __init__(self):
+        super().__init__()
+        self.count = Counter()
+
+    def append(self, node):
+        self.insert(len(self), node)
+
+    def insert(self, i, node):
+        self.count[node.name] += 1
+        super().insert(i, node)
+
+    def pop(self):
+        self.count[self[-1].name] -= 1
+        return super().pop()
+
+    def remove(self, node):
+        super().remove(node)
+        self.count[node.name] -= 1
+
+    def __delitem__(self, at):
+        self.count.subtract(e.name for e in (self[at] if isinstance(at, slice) else [self[at]]))
+        super().__delitem__(at)
+
+
 class _TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = _Node("", [])
-        self.stack = []      # open elements
+        self.stack = _Open()
         self.active = []     # formatting elements that later content still stands in, and marks
         self.head_done = False
 
@@ -100,6 +129,8 @@ class _TreeBuilder(HTMLParser):
                 pass
 
     def _open_in(self, name, stops=frozenset()):
+        if not self._has(name):
+            return False
         for e in reversed(self.stack):
             if e.name == name:
                 return True
@@ -194,7 +225,7 @@ class _TreeBuilder(HTMLParser):
 
     # -- implied elements ------------------------------------------------------
     def _has(self, name):
-        return any(e.name == name for e in self.stack)
+        return self.stack.count[name] > 0
 
     def _imply(self, name):
         """Open what HTML supplies before a start tag ``name``."""
@@ -314,14 +345,16 @@ def _rows(root, keep, values, want_text):
         child = next(left, None)
         if child is None:
             path.pop()
-            if row is not None and (values is None or node.name in values):
-                row[10] = "".join(chunks[start:])
+            if row is not None:
+                row[8] = len(rows) - 1
+                if values is None or node.name in values:
+                    row[10] = "".join(chunks[start:])
             continue
         pre += 1
         if not isinstance(child, _Node):
             chunks.append(child)
             if want_text:
-                rows.append([pre, number, len(path) - 1, "text", None, None, None, [e[1] for e in path], None, None, child])
+                rows.append([pre, number, len(path) - 1, "text", None, None, None, len(rows), len(rows), None, child])
             continue
         counts[child.name] = counts.get(child.name, 0) + 1
         own = None
@@ -330,14 +363,14 @@ def _rows(root, keep, values, want_text):
             for k, v in child.attrs:
                 if k not in amap:  # first of duplicate attributes wins
                     amap[k] = "" if v is None else v
-            own = [pre, number, len(path) - 1, "elem", child.name, counts[child.name], amap, [e[1] for e in path], None, None, None]
+            own = [pre, number, len(path) - 1, "elem", child.name, counts[child.name], amap, len(rows), None, None, None]
             rows.append(own)
         path.append((child, pre, own, len(chunks), iter(child.children), {}))
     return rows
 
 
 def parse_nodes(html: str, keep_names=None, value_names=None, want_text=False) -> list:
-    """Rows ``[pre, parent, depth, kind, name, sib_pos, attrs, ancestors, -, -, value]``
+    """Rows ``[pre, parent, depth, kind, name, sib_pos, attrs, at, last, -, value]``
     of one document (plain Python, used by the Spark stage and by tests)."""
     b = _TreeBuilder()
     b.feed(html or "")
@@ -359,7 +392,7 @@ def with_nodes(docs: DataFrame, keep_names=None, value_names=None, want_text=Fal
 
     def rows(html, wanted):
         return [{"pre": r[0], "parent": r[1], "kind": r[3], "name": r[4], "sib_pos": r[5], "attrs": r[6],
-                 "ancestors": r[7], "value": r[10]} for r in parse_nodes(html, keep, vals, want_text)] if wanted else []
+                 "at": r[7], "last": r[8], "value": r[10]} for r in parse_nodes(html, keep, vals, want_text)] if wanted else []
 
     def run(batches):
         for pdf in batches:

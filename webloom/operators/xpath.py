@@ -16,9 +16,11 @@ reference would fail at run time.  A relative path in a union (``a|@b``) is
 evaluated from the document node, as the reference does.
 
 Evaluation is Column-only, over the ``nodes`` array of a row
-(``html_nodes.with_nodes``): a step filters the array by name, predicates and
-axis (``parent`` or ``ancestors`` against the numbers of the context nodes).  No
-join, no shuffle; each step's context is computed once per row.
+(``html_nodes.with_nodes``): a step keeps nodes by name, predicates and axis.  The
+nodes below a context are runs of the array: the outermost context nodes (those that no
+earlier one reaches, by a running maximum of ``last``) give runs that do not overlap, so
+each step reads a node at most once, however deep the page.  No join, no shuffle; each
+step's context is computed once per row.
 """
 
 from __future__ import annotations
@@ -270,11 +272,42 @@ def _is_step(n: Column, s: Step) -> Column:
     return c
 
 
-def _on_axis(n: Column, ctx: Column | None, axis: str) -> Column:
-    """Whether ``n`` lies on the axis of some context node (None: the document)."""
+def _outermost(ctx: Column) -> Column:
+    """The nodes of ``ctx`` (in document order) that lie below none of the others.  The
+    running maximum doubles its reach in each round."""
+    def running(c):
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(c))).cast("int") - 1)
+        return F.reduce(F.transform(rounds, lambda k: F.pow(F.lit(2), k).cast("int")), F.transform(c, lambda n: n["last"]),
+                        lambda m, step: F.transform(m, lambda x, i: F.greatest(x, F.get(m, i - step))))
+
+    def pick(c):
+        return _bind(running(c), lambda top: F.filter(c, lambda n, i: (i == 0) | (F.get(top, i - 1) < n["at"])))
+
+    return F.when(F.size(ctx) < 2, ctx).otherwise(pick(ctx))
+
+
+def _below(nodes: Column, ctx: Column, own: bool = False) -> Column:
+    """The nodes below those of ``ctx`` (with them, if ``own``) in document order, each once."""
+    more = int(own)
+    return F.flatten(F.transform(_outermost(ctx), lambda c: F.slice(
+        nodes, c["at"] + (2 - more), c["last"] - c["at"] + more)))
+
+
+def _children(nodes: Column, ctx: Column) -> Column:
+    """The nodes whose parent is in ``ctx``: by a row of flags over the numbers up to the last of ``ctx``."""
+    def before(c, i):
+        return F.coalesce(F.get(c, i - 1)["pre"], F.lit(0))
+
+    flags = _bind(ctx, lambda c: F.flatten(F.transform(c, lambda n, i: F.concat(
+        F.array_repeat(F.lit(False), n["pre"] - before(c, i) - 1), F.array(F.lit(True))))))
+    return _bind(flags, lambda f: F.filter(_below(nodes, ctx), lambda n: F.coalesce(F.get(f, n["parent"] - 1), F.lit(False))))
+
+
+def _on_axis(nodes: Column, ctx: Column | None, axis: str) -> Column:
+    """The nodes on the axis of some context node (None: the document)."""
     if ctx is None:
-        return F.lit(True) if axis == "descendant" else n["parent"] == 0
-    return F.array_contains(ctx, n["parent"]) if axis == "child" else F.arrays_overlap(ctx, n["ancestors"])
+        return nodes if axis == "descendant" else F.filter(nodes, lambda n: n["parent"] == 0)
+    return _below(nodes, ctx) if axis == "descendant" else _children(nodes, ctx)
 
 
 def _found(nodes: Column, sub: int, value) -> Column:
@@ -287,24 +320,20 @@ def _walk(nodes: Column, steps: list[Step], ctx: Column | None) -> Column | None
     if s.kind == "attr":
         if ctx is None and s.axis == "child":
             return None  # the document node has no attributes
-
-        def holds(n):
-            own = F.lit(True) if ctx is None else F.array_contains(ctx, n["pre"])
-            if ctx is not None and s.axis == "descendant":
-                own = own | F.arrays_overlap(ctx, n["ancestors"])
-            return (n["kind"] == "elem") & n["attrs"][s.name].isNotNull() & own
-
-        return _found(F.filter(nodes, holds), 1, lambda n: n["attrs"][s.name])
+        if ctx is None:
+            own = nodes
+        else:
+            own = _below(nodes, ctx, own=True) if s.axis == "descendant" else ctx
+        return _found(F.filter(own, lambda n: (n["kind"] == "elem") & n["attrs"][s.name].isNotNull()), 1,
+                      lambda n: n["attrs"][s.name])
     if s.kind == "text":
-        return _found(F.filter(nodes, lambda n: (n["kind"] == "text") & _on_axis(n, ctx, s.axis)), 0, lambda n: n["value"])
+        return _found(F.filter(_on_axis(nodes, ctx, s.axis), lambda n: n["kind"] == "text"), 0, lambda n: n["value"])
     if s.position is not None and s.name == "*":
         raise XPathError("position on '*' is not supported")
-    hits = F.filter(nodes, lambda n: _is_step(n, s) & _on_axis(n, ctx, s.axis))
+    hits = F.filter(_on_axis(nodes, ctx, s.axis), lambda n: _is_step(n, s))
     if not rest:
         return _found(hits, 0, lambda n: n["value"])
-    if _walk(nodes, rest, F.array(F.lit(0))) is None:
-        return None
-    return _bind(F.transform(hits, lambda n: n["pre"]), lambda c: _walk(nodes, rest, c))
+    return _bind(hits, lambda c: _walk(nodes, rest, c))
 
 
 def values(nodes: Column, paths: list[Path]) -> Column:

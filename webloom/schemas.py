@@ -52,7 +52,8 @@ HTML_NODE = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("sib_pos", T.IntegerType()),  # 1-based among same-name siblings
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("ancestors", T.ArrayType(T.IntegerType())),
+    T.StructField("at", T.IntegerType()),  # place in the array, from 0
+    T.StructField("last", T.IntegerType()),  # place of the last node below it, or its own
     T.StructField("value", T.StringType()),  # string-value when requested
 ])
 
