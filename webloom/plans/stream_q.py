@@ -9,6 +9,7 @@ import os
 from pyspark.sql import functions as F
 
 from webloom.operators import cookies as CK
+from webloom.operators import store
 from webloom.plans import cookies_q
 from webloom.sources import rules as R
 from webloom.sources import tables
@@ -28,7 +29,10 @@ def stream_content_dedup(spark, sf_dir):
     q = S.ingest_dedup_stream(S.file_stream(spark, sf_dir, "documents"), "text",
                               os.path.join(base, "out"), os.path.join(base, "ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "out"))
+    kept = store.read(spark, os.path.join(base, "out"))
+    if kept is None:
+        return spark.createDataFrame([], "id_hash string, body_chars int")
+    return kept.select("id_hash", "body_chars")
 
 
 def stream_page_cache(spark, sf_dir):

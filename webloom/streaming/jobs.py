@@ -5,9 +5,10 @@
   ``foreachBatch`` (the XPath joins are batch joins inside the micro-batch)
   and appends its results, keyed by batch id so a replayed batch overwrites
   its own output (exactly-once at the sink).
-* S2 ``ingest_dedup_stream``: bodies hashed and deduplicated with streaming
-  state (``dropDuplicates``; ``dropDuplicatesWithinWatermark`` bounds the state
-  when an event-time column and a watermark are given).
+* S2 ``ingest_dedup_stream``: bodies hashed and deduplicated by streaming state in RocksDB
+  for as long as a copy is likely to follow (``keep`` after its arrival, so no body is ever
+  late), and exactly by an anti-join of each micro-batch with the stored hashes of its
+  buckets.  The state holds the hashes of that time and not those of all time.
 * S3 ``cache_upsert_stream``: each micro-batch is put into a keyed store (``operators.store``):
   only the buckets it touches are rewritten, readers scan one version per key.
 
@@ -22,6 +23,7 @@ Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,16 +56,35 @@ def classify_parse_stream(spark: SparkSession, pages: DataFrame, classes, parser
     return pages.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
-def ingest_dedup_stream(docs: DataFrame, body_col: str, out: str, ckpt: str,
-                        event_time: str | None = None, watermark: str | None = None):
-    h = docs.withColumn("id_hash", TG.id_hash(F.col(body_col)))
-    if event_time and watermark:
-        h = h.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["id_hash"])
-    else:
-        h = h.dropDuplicates(["id_hash"])
-    return (h.select("id_hash", F.length(body_col).alias("body_chars"))
-            .writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-            .outputMode("append").trigger(availableNow=True).start())
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB (a stream copies the settings as it starts)."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def ingest_dedup_stream(docs: DataFrame, body_col: str, out: str, ckpt: str, keep: str = "1 hour"):
+    """Appends (id_hash, body_chars) of each body that ``out`` does not hold yet."""
+    bodies = docs.select(TG.id_hash(F.col(body_col)).alias("id_hash"), F.length(body_col).alias("body_chars"),
+                         F.current_timestamp().alias("arrived"))
+    recent = bodies.withWatermark("arrived", keep).dropDuplicatesWithinWatermark(["id_hash"])
+
+    def run(batch: DataFrame, batch_id: int):
+        store.add(batch.select("id_hash", "body_chars"), out, "id_hash", batch_id)
+
+    with rocksdb_state(docs.sparkSession):
+        return recent.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
 def cache_upsert_stream(versions: DataFrame, out: str, ckpt: str, tie_col: str = "version"):
