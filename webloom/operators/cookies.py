@@ -20,11 +20,13 @@ No window holds a whole jar or cookie: they run inside time buckets
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.functions import hosts as HS
 from webloom.functions import urls as U
+from webloom.operators import store
 from webloom.operators import timeline as TL
 from webloom.session import cut_lineage
 
@@ -199,13 +201,46 @@ def open_versions(state: dict[str, DataFrame]) -> DataFrame:
     return _as_versions(state["cookies"].withColumns(ends))
 
 
-def save_state(state: dict[str, DataFrame], path: str) -> None:
-    for name, df in state.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def _jar_bucket(buckets: int = store.BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*JAR), F.lit(buckets)).cast("int").alias(store.BUCKET)
+
 
+def touched_buckets(ents: DataFrame, reqs: DataFrame) -> list[int]:
+    """The buckets of the jars that a batch writes or reads."""
+    both = ents.select(_jar_bucket()).unionByName(reqs.select(_jar_bucket())).distinct()
+    return [r[0] for r in both.collect()]  # at most store.BUCKETS numbers
 
-def load_state(spark, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("cookies", "reads")}
+
+def save_state(state: dict[str, DataFrame], path: str, batch: int = 0) -> None:
+    """Write the state, or the buckets of it that a batch touched, as number ``batch``.
+    Older numbers stay, so a batch that is run again starts from the same state."""
+    for name, df in state.items():
+        df.limit(0).write.mode("overwrite").parquet(f"{path}/columns/{name}")
+        (df.select("*", _jar_bucket()).repartition(store.BUCKET).write.mode("overwrite").partitionBy(store.BUCKET)
+         .parquet(f"{path}/{name}/batch={batch}"))
+
+
+def load_state(spark: SparkSession, path: str, before: int | None = None,
+               buckets: list[int] | None = None) -> dict[str, DataFrame]:
+    """The newest rows of each bucket (of ``buckets`` only) among the batches before ``before``.
+    No row of a state ever leaves it, so a bucket's newest folder holds all of it."""
+    state = {}
+    for name in ("cookies", "reads"):
+        schema = spark.read.parquet(f"{path}/columns/{name}").schema
+        rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()),
+                                               T.StructField(store.BUCKET, T.IntegerType())])).parquet(f"{path}/{name}")
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        if buckets is not None:
+            rows = rows.where(F.col(store.BUCKET).isin(buckets))
+        newest: dict[int, list[int]] = {}
+        for r in rows.groupBy(store.BUCKET).agg(F.max("batch").alias("batch")).collect():
+            newest.setdefault(r["batch"], []).append(r[store.BUCKET])
+        own = F.lit(False)
+        for batch, inside in newest.items():
+            own = own | ((F.col("batch") == batch) & F.col(store.BUCKET).isin(inside))
+        state[name] = rows.where(own).drop("batch", store.BUCKET)
+    return state
 
 
 def sent_cookies(vers: DataFrame, reqs: DataFrame, rows: int = TL.ROWS) -> DataFrame:

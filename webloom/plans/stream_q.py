@@ -61,7 +61,7 @@ def stream_cookie_versions(spark, sf_dir):
         stream = spark.readStream.schema(raw.schema).parquet(f"{base}/in/slice=*")
         S.cookie_state_stream(stream, cookies_q.prepared, f"{base}/out", f"{base}/ckpt").awaitTermination()
     ended = spark.read.parquet(f"{base}/out/ended").drop("batch")
-    now = CK.open_versions(CK.load_state(spark, f"{base}/out/state/{slices - 1}"))
+    now = CK.open_versions(CK.load_state(spark, f"{base}/out/state"))
     return ended.unionByName(now).select(*cookies_q.VERSION_COLUMNS)
 
 

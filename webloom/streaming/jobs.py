@@ -13,9 +13,9 @@
   only the buckets it touches are rewritten, readers scan one version per key.
 
 * S4 ``cookie_state_stream``: each micro-batch advances the cookie state
-  (``operators.cookies.advance``); the state after a batch is a folder of its own, read
-  by the next batch, so a replayed batch starts from the same state.  Batches must
-  arrive in event order.
+  (``operators.cookies.advance``) of the jar buckets it touches; only these are read and
+  written, as folders of the batch's number, so a replayed batch starts from the same state.
+  Batches must arrive in event order.
 
 Checkpoints and outputs live under the shared ``spark.checkpoint.dir``.
 """
@@ -35,7 +35,7 @@ from webloom.operators import cookies as CK
 from webloom.operators import extract as X
 from webloom.operators import store
 from webloom.functions import tags as TG
-from webloom.session import work_dir  # noqa: F401
+from webloom.session import cut_lineage, work_dir  # noqa: F401
 
 
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -97,11 +97,14 @@ def cache_upsert_stream(versions: DataFrame, out: str, ckpt: str, tie_col: str =
 
 def cookie_state_stream(events: DataFrame, prepare, out: str, ckpt: str):
     """prepare: a batch of raw events -> (entries, requests).  Ended versions go to
-    ``out/ended``, the state after batch n to ``out/state/n``."""
+    ``out/ended``, the touched buckets of the state after batch n to ``out/state`` as number n."""
     def run(batch: DataFrame, batch_id: int):
-        before = CK.load_state(batch.sparkSession, f"{out}/state/{batch_id - 1}") if batch_id else None
-        ended, state = CK.advance(*prepare(batch), before)
+        ents, reqs = (cut_lineage(rows) for rows in prepare(batch))
+        before = None
+        if batch_id:
+            before = CK.load_state(batch.sparkSession, f"{out}/state", batch_id, CK.touched_buckets(ents, reqs))
+        ended, state = CK.advance(ents, reqs, before)
         ended.write.mode("overwrite").parquet(f"{out}/ended/batch={batch_id}")
-        CK.save_state(state, f"{out}/state/{batch_id}")
+        CK.save_state(state, f"{out}/state", batch_id)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
