@@ -8,12 +8,14 @@ short one.  Embeddings and softmax are trained together in numpy on the driver,
 at most ``TRAIN_ROWS`` labelled documents of each class of at most
 ``TRAIN_BYTES`` bytes each (chosen by a hash of the id), on the window that
 scores highest.  The score is calibrated by a logistic fit on at most
-``CALIBRATE_ROWS`` documents the training left out.  Scoring covers every whole
-text; only one number per bucket is broadcast.
+``CALIBRATE_ROWS`` documents of any length that the training left out: they are scored
+in Spark tasks like all others, and two numbers a document come back.  Scoring covers
+every whole text; only one number per bucket is broadcast.
 
 Defined cases: a null or blank text has the score of a window without
 evidence; a label that is null or not 0/1 is ignored, of several labels of one
-id the largest counts; rows with a null doc_id are scored, never learned from;
+id the largest counts; of several texts of one id training takes the least, and
+calibration the highest score; rows with a null doc_id are scored, never learned from;
 without labels of both classes every score is that class's share, or 0
 without any.  Other columns are ignored.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import textcore as T
-from webloom.llm.common import bounded_rows, fold_of
+from webloom.llm.common import bounded_rows, cut, fold_of
 from webloom.session import ship_package
 
 BUCKETS = 1 << 17
@@ -190,9 +192,9 @@ def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(theta[0] / sd), float(theta[1] - theta[0] * mu / sd)
 
 
-def _bag(texts: pa.Array) -> Words:
-    buf, off = T.text_buffers(texts)
-    return Words(T.Slice(0, len(off) - 1, buf, off))
+def _whole(texts: pa.ChunkedArray) -> T.Slice:
+    buf, off = T.text_buffers(texts.combine_chunks())
+    return T.Slice(0, len(off) - 1, buf, off)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5):
@@ -200,44 +202,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5
     y = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
          .where("y in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
          .where(fold_of(F.col("doc_id"), folds) != 0))
-    ids = docs.select("doc_id", F.octet_length("text").alias("size"))
-    known = y.join(ids, "doc_id").where(F.col("size") <= TRAIN_BYTES).select("doc_id", "y").distinct()
+    known = y.join(docs.groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("size")), "doc_id")
     tuned = fold_of(F.col("doc_id"), folds) == 1
-    picked = (bounded_rows(known.where(~tuned & (F.col("y") == 1)), "doc_id", TRAIN_ROWS)
-              .unionByName(bounded_rows(known.where(~tuned & (F.col("y") == 0)), "doc_id", TRAIN_ROWS))
-              .withColumn("use", F.lit(0))
-              .unionByName(bounded_rows(known.where(tuned), "doc_id", CALIBRATE_ROWS).withColumn("use", F.lit(1))))
+    short = known.where(~tuned & (F.col("size") <= TRAIN_BYTES))
     # The picked ids are bounded (2 * TRAIN_ROWS + CALIBRATE_ROWS), so they are broadcast.
-    got = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").toArrow().combine_chunks()
-           .sort_by([("use", "ascending"), ("doc_id", "ascending"), ("text", "ascending")]))
-    use, target = got.column("use").to_numpy(), got.column("y").to_numpy().astype(float)
-    if not len(use):
-        return None, 0.0, -40.0
-    share = float(target.mean())
-    fold = use == 0
-    if len(set(target[fold])) < 2:
-        return None, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
-    text = got.column("text").combine_chunks()
-    weight = train(_bag(text.filter(pa.array(fold))), target[fold])
-    held = ~fold if len(set(target[~fold])) == 2 else fold
-    w = _bag(text.filter(pa.array(held)))
-    _, top = top_windows(word_values(w, weight)[w.word], windows(np.bincount(w.doc, minlength=w.n_docs)), w.n_docs)
-    slope, offset = platt(top, target[held])
-    return weight.astype(np.float32), slope, offset
+    picked = cut(
+        bounded_rows(short.where("y = 1"), "doc_id", TRAIN_ROWS).unionByName(bounded_rows(short.where("y = 0"), "doc_id", TRAIN_ROWS))
+        .withColumn("use", F.lit(0))
+        .unionByName(bounded_rows(known.where(tuned), "doc_id", CALIBRATE_ROWS).withColumn("use", F.lit(1)))
+        .select("doc_id", "y", "use"))
+    rows = cut(docs.join(F.broadcast(picked), "doc_id"))
+    got = (rows.where((F.col("use") == 0) & (F.octet_length("text") <= TRAIN_BYTES)).groupBy("doc_id", "y")
+           .agg(F.min("text").alias("text")).toArrow().combine_chunks().sort_by("doc_id"))
+    target = got.column("y").to_numpy().astype(float)
+    if len(set(target)) < 2:
+        n, toxic = picked.agg(F.count("*"), F.sum("y")).first()
+        share = toxic / n if n else 0.0
+        return None, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))) if n else -40.0
+    weight = train(Words(_whole(got.column("text"))), target).astype(np.float32)
+    tops = (rows.select("doc_id", "use", "y", "text").mapInArrow(_rank(docs.sparkSession.sparkContext.broadcast(weight)),
+                                                                "doc_id long, use int, y int, top double")
+            .groupBy("doc_id", "use", "y").agg(F.max("top").alias("top")).toArrow().sort_by("doc_id"))
+    use, target = tops.column("use").to_numpy(), tops.column("y").to_numpy().astype(float)
+    held = use == 1 if len(set(target[use == 1])) == 2 else use == 0
+    slope, offset = platt(tops.column("top").to_numpy()[held], target[held])
+    return weight, slope, offset
+
+
+def best_means(weight: np.ndarray | None, texts: pa.Array) -> np.ndarray:
+    """Per text the mean of its best window; 0 without words or weights."""
+    top = np.zeros(len(texts))
+    if weight is not None:
+        for s in T.slices(texts):
+            w = Words(s)
+            _, top[s.lo:s.hi] = top_windows(word_values(w, weight)[w.word],
+                                            windows(np.bincount(w.doc, minlength=w.n_docs)), w.n_docs)
+    return top
+
+
+def _rank(weight):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            top = pa.array(best_means(weight.value, b.column(3)))
+            yield pa.record_batch([*b.columns[:3], top], ["doc_id", "use", "y", "top"])
+    return run
 
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, slope, offset = model.value
         for b in batches:
-            for s in T.slices(b.column(1)):
-                top = np.zeros(s.hi - s.lo)
-                if weight is not None:
-                    w = Words(s)
-                    _, top = top_windows(word_values(w, weight)[w.word],
-                                         windows(np.bincount(w.doc, minlength=w.n_docs)), w.n_docs)
-                yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array(_sigmoid(slope * top + offset))],
-                                      ["doc_id", "score"])
+            score = _sigmoid(slope * best_means(weight, b.column(1)) + offset)
+            yield pa.record_batch([b.column(0), pa.array(score)], ["doc_id", "score"])
     return run
 
 
