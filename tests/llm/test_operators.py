@@ -652,7 +652,12 @@ def test_license_result_matches_plain_python(spark):
         w = t.split()
         for _ in range(rng.choice((0, 0, 1, 3))):
             w[rng.randrange(len(w))] = rng.choice(("alpha", "license", "of", "the", "beta"))
-        rows.append((i, "\n".join([prose(rng, 12, ["alpha", "beta", "gamma", "rights", "public"]), " ".join(w), "", rng.choice(licenses.DECOYS)])))
+        first = prose(rng, 12, ["alpha", "beta", "gamma", "rights", "public"]) + rng.choice(("", ".", ". But"))
+        for _ in range(rng.choice((0, 1, 2))):
+            w[rng.randrange(len(w))] += "\n"
+        rows.append((i, "\n".join([first, " ".join(w), rng.choice(("", " ", "\r")), rng.choice(licenses.DECOYS)])))
+    rows += [(500, "Foo bar.\nReleased under\nthe MIT\nLicense. More of it\nfollows."), (501, "Released under\n\nthe MIT License"), (None, "Released\nunder\nthe MIT\nLicense."),
+             (502, "\n\n\x01\n1\x01Released\r\nunder\tthe\r\nMIT License\r\n\r\n")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     lines = df.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     model = licenses.Classifier(lines)
@@ -661,20 +666,70 @@ def test_license_result_matches_plain_python(spark):
     def words_in(t):
         return [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
 
+    def judge(line):
+        w = words_in(line)
+        g = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
+        if not any(x in weight for x in g):
+            return None
+        z = sum((weight[x] for x in g if x in weight), np.zeros(len(model.classes))) + np.array(model.bias)
+        e = np.exp(z - z.max())
+        best = int(z[:-1].argmax())
+        p = e[best] / e.sum()
+        sim = max((max(len(g & t) / len(g), len(g & t) / len(t)) for t in (
+            {*u, *(f"{a} {b}" for a, b in zip(u, u[1:], strict=False))} for u in map(words_in, licenses.TEMPLATES[model.classes[best]]))), default=0)
+        return (model.classes[best], round(sim, 6)) if p > model.level and sim >= licenses.CONFIRM else None
+
+    def sentences(text):
+        """(first line, lines, words) of sentences on several lines, line by line."""
+        out, now = [], []
+
+        def end():
+            if now and now[-1][0] > now[0][0]:
+                out.append((now[0][0], now[-1][0] - now[0][0] + 1, "\n".join(x for _, x in now)))
+            now.clear()
+
+        for no, line in enumerate(text.replace("\x01", " ").split("\n")):
+            line, start = line.rstrip(" \t\r"), 0
+            if not line:
+                end()
+                continue
+            for k in range(2, len(line)):
+                if line[k].isupper() and line[k - 1] in " \t" and line[k - 2] in ".!?":
+                    now.append((no, line[start:k]))
+                    end()
+                    start = k
+            now.append((no, line[start:]))
+            if line[-1] in ".!?":
+                end()
+        end()
+        return out
+
     want = set()
     for i, text in rows:
-        for at, line in enumerate(text.split("\n")):
-            w = words_in(line)
-            g = {*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}
-            if not any(x in weight for x in g):
-                continue
-            z = sum((weight[x] for x in g if x in weight), np.zeros(len(model.classes))) + np.array(model.bias)
-            e = np.exp(z - z.max())
-            best = int(z[:-1].argmax())
-            p = e[best] / e.sum()
-            sim = max((max(len(g & t) / len(g), len(g & t) / len(t)) for t in (
-                {*u, *(f"{a} {b}" for a, b in zip(u, u[1:], strict=False))} for u in map(words_in, licenses.TEMPLATES[model.classes[best]]))), default=0)
-            if p > model.level and sim >= licenses.CONFIRM:
-                want.add((i, at, model.classes[best], round(sim, 6)))
-    got = {(r["doc_id"], r["paragraph"], r["family"], r["similarity"]) for r in licenses.license_paragraphs(df).collect()}
+        alone = {at: judge(line) for at, line in enumerate(text.split("\n")) if judge(line)}
+        want |= {(i, at, 1, *v) for at, v in alone.items()}
+        want |= {(i, at, n, *judge(s)) for at, n, s in sentences(text) if judge(s) and alone.keys().isdisjoint(range(at, at + n))}
+    got = {(r["doc_id"], r["paragraph"], r["n_lines"], r["family"], r["similarity"]) for r in licenses.license_paragraphs(df).collect()}
     assert got == want and len(want) > 60
+    assert {(500, 1, 3), (None, 0, 4), (502, 3, 3)} <= {x[:3] for x in want} and sum(x[2] > 1 for x in want) > 10
+
+
+def test_toxicity_calibrates_on_long_texts(spark, monkeypatch):
+    """Labelled texts beyond TRAIN_BYTES, of null text too, reach the calibration; training does without them."""
+    rows, labels = labelled(spark, random.Random(3))
+    long = [(i, "lorem ipsum " * 4_000) for i in range(600, 640)]
+    rows += [*long, (700, None), *rows[:50], *long[:5]]
+    labels += [(i, 0) for i, _ in long] + [(700, 0)]
+    seen = []
+    monkeypatch.setattr(toxicity, "platt", lambda x, y: seen.append((len(x), y.sum())) or (1.0, 0.0))
+    bag = toxicity.Words
+    trained = []
+    monkeypatch.setattr(toxicity, "Words", lambda s: trained.append(s.hi) or bag(s))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def fold(i):
+        return zlib.crc32(str(i).encode()) % 5
+
+    assert seen == [(sum(fold(i) == 1 for i, _ in labels), sum(y for i, y in labels if fold(i) == 1))]
+    assert trained == [sum(fold(i) > 1 and i < 600 for i, _ in labels)]

@@ -1,6 +1,8 @@
 """Operator 2: licence paragraphs by a trained classifier (DataFrame only).
 
-Paragraphs are the lines of a text.  Their features are word 1- and 2-grams.  A
+Paragraphs are the lines of a text, and its wrapped sentences: a sentence that runs over
+several lines is judged as a whole too (:func:`wrapped`), and counts where none of its
+lines counts alone.  Their features are word 1- and 2-grams.  A
 multinomial logistic regression over the licence families and the class
 ``unknown`` is trained on the templates below (each whole and with single words
 left out) against decoy sentences and at most ``NEGATIVES`` lines of the corpus
@@ -16,7 +18,7 @@ after the map-side aggregation.
 
 Defined cases: a null or blank text yields no row; repeated rows yield
 repeated result rows; a null doc_id is kept; an empty table gives an empty
-result; other columns are ignored.
+result; other columns are ignored; a character U+0001 is read as a space.
 """
 
 from __future__ import annotations
@@ -142,6 +144,26 @@ def evidence(line: Column) -> Column:
     return F.exists(F.array(F.array_distinct(tokens(line))), enough)
 
 
+# Where a wrapped sentence may end: behind a mark before a capital, behind a mark at a line's end, around blank lines.
+# Lines are written as number, U+0001, text.
+SENTENCE_EDGE = "(?<=[.!?][ \\t])(?=\\p{Lu})|(?<=[.!?]\\n)|(?<=\\n)(?=[0-9]{1,10}\\x01(?:\\n|\\z))|(?<=\\x01\\n)"
+
+
+def wrapped(text: Column) -> Column:
+    """The sentences of a text that lie on several lines: array of (paragraph: number
+    of the first line, n_lines, line: the words, line breaks kept)."""
+    lines = F.split(F.translate(text, "\x01", " "), "\n")
+    marked = F.array_join(F.transform(lines, lambda x, i: F.concat(i.cast("string"), F.lit("\x01"), F.rtrim(x, F.lit(" \t\r")))), "\n")
+
+    def entry(piece: Column) -> Column:
+        words = F.rtrim(F.regexp_replace(piece, "(?<![^\\n])[0-9]+\\x01", ""), F.lit("\n"))
+        first = F.regexp_extract(piece, "([0-9]+)\\x01", 1).cast("int")
+        return F.struct((first - F.when(piece.rlike("\\A[0-9]+\\x01"), 0).otherwise(1)).alias("paragraph"),
+                        F.size(F.split(words, "\n")).alias("n_lines"), words.alias("line"))
+
+    return F.transform(F.filter(F.split(marked, SENTENCE_EDGE), lambda p: p.rlike("\\n[0-9]+\\x01.")), entry)
+
+
 def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small DataFrame from literals, without Python workers."""
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")) \
@@ -218,14 +240,20 @@ def _similarity(spark: SparkSession, found: DataFrame) -> DataFrame:
 
 def license_paragraphs(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per licence paragraph: doc_id,
-    paragraph (line number from 0), family, probability, similarity."""
-    spark = docs.sparkSession
+    paragraph (number of its first line from 0), family, probability, similarity, n_lines."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     every = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
     model = Classifier(every)
-    lines = cut(docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-                .where(evidence(F.col("line"))))
+    lines = (docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+             .withColumn("n_lines", F.lit(1)))
+    runs = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.inline(wrapped(F.col("text"))))
+    lines = cut(lines.unionByName(runs).where(evidence(F.col("line"))))
     likely = model.probabilities(lines.groupBy("line").agg(F.count("*").alias("n"))).where(F.col("p") > model.level)
-    verdict = cut(_similarity(spark, likely).where(F.col("similarity") >= CONFIRM))
-    return lines.join(verdict, "line").select("doc_id", "paragraph", "family", F.round("p", 6).alias("probability"),
-                                              F.round("similarity", 6).alias("similarity"))
+    verdict = cut(_similarity(docs.sparkSession, likely).where(F.col("similarity") >= CONFIRM))
+    found = cut(lines.join(verdict, "line").drop("line"))
+    alone, runs = found.where("n_lines = 1"), found.where("n_lines > 1")
+    told = (runs.select("row", "paragraph", F.explode(F.expr("sequence(paragraph, paragraph + n_lines - 1)")).alias("at"))
+            .join(alone.select("row", F.col("paragraph").alias("at")), ["row", "at"], "left_semi").select("row", "paragraph"))
+    return (alone.unionByName(runs.join(told, ["row", "paragraph"], "left_anti"))
+            .select("doc_id", "paragraph", "family", F.round("p", 6).alias("probability"),
+                    F.round("similarity", 6).alias("similarity"), "n_lines"))
