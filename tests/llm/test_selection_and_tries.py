@@ -154,6 +154,18 @@ def test_url_rules(spark):
         urlglob.globs_of([("a*/", "block")], [])
 
 
+def test_url_verdicts_of_the_contract(spark):
+    from webloom.llm import oracle
+    want = {"http://x.org/a": ("org/", "allow"), "http://example.org/es/a": ("example.org/es/", "block"),
+            "http://example.org/en/1": ("example.org/en/1", "block"), "http://a.example.org/en/12": ("example.org/en/1", "block"),
+            "http://example.org/en/2": ("org/", "allow"), "http://x.com/fr/a": ("com/fr/", "allow"), "http://x.com/de/a": ("com/de/", "block")}
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlglob.filter_urls(pages).collect()}
+    assert got == dict(enumerate(want.values()))
+    for rule, verdict in want.values():
+        assert f"{{'rule': '{rule}', 'verdict': '{verdict}'," in oracle.URLS
+
+
 # --- 13: prefix trie
 
 def plain_trie(rows):

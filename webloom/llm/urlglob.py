@@ -51,7 +51,7 @@ class Glob(NamedTuple):
 
 
 # The rules of the contract (host, path).
-RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"),
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
          ("com/fr/", "allow"), ("com/de/", "block")]
 # The filter's own globs: no address, mirrors for small screens, files without prose, forms and listings.
 FILTER = ["", "m.*/**", "amp.*/**", "ads.*/**", "*.ads.*/**",
