@@ -38,10 +38,16 @@ from webloom.functions import tags as TG
 from webloom.session import cut_lineage, work_dir  # noqa: F401
 
 
+BATCH_BYTES = 1 << 30
+
+
 def file_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The files of a table, which is one Parquet file or a folder of them, in micro-batches of
+    about ``BATCH_BYTES``."""
     schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    # As a pattern the path may name a file or a folder; a plain one must be a folder.
+    return (spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES)
+            .parquet(os.path.join(sf_dir, f"{table}.parque[t]")))
 
 
 def classify_parse_stream(spark: SparkSession, pages: DataFrame, classes, parsers, out: str, ckpt: str):
