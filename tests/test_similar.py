@@ -62,3 +62,10 @@ def test_hot_signature_and_many_targets(spark, monkeypatch, block):
     few = sorted(map(tuple, SIM.similar_to(df, df.where("id >= 50"), 1).collect()))
     monkeypatch.setattr(SIM, "LITERAL_TARGETS", 0)
     assert sorted(map(tuple, SIM.similar_to(df, df.where("id >= 50"), 1).collect())) == few == [(50, i, 1.0) for i in range(20)]
+
+
+def test_probe_rows_are_not_broadcast(spark):
+    """548 probe rows of a signature are in no statistics; a broadcast of them passes through the driver."""
+    sigs = spark.createDataFrame([(i,) for i in range(50)], "sig long")
+    plan = spark._jvm.PythonSQLUtils.explainString(SIM.candidates(sigs, sigs, 4, 2)._jdf.queryExecution(), "simple")
+    assert "SortMergeJoin [band" in plan and "Broadcast" not in plan

@@ -71,7 +71,8 @@ def candidates(left: DataFrame, right: DataFrame, bands: int, r: int) -> DataFra
     if r:
         probe = probe.withColumn("_mask", F.explode(F.array(*map(F.lit, _masks(64 // bands, r)))))
         probe = probe.withColumn("own", F.col("own").bitwiseXOR(F.col("_mask")))
-    return probe.select("sig_a", "band", F.col("own").alias("bits")).join(exact, ["band", "bits"]).drop("bits")
+    # Statistics do not see the rows that explode adds: without the hint the probes would be broadcast.
+    return probe.select("sig_a", "band", F.col("own").alias("bits")).join(exact.hint("merge"), ["band", "bits"]).drop("bits")
 
 
 def _block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
