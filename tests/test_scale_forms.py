@@ -56,6 +56,21 @@ def test_versions_in_buckets(history, rows):
     assert counted(cookies.versions(ents, None, rows)) == counted(cookies.versions(ents))
 
 
+def test_entries_are_worked_out_once(spark, history):
+    """The buckets' summary rows do not run the plan of the entries again."""
+    ents, reqs = history
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(value):
+        runs.add(1)
+        return value
+
+    watched = ents.withColumn("value", F.udf(seen, "string")("value"))
+    want = counted(cookies.versions(ents, reqs))
+    assert counted(cookies.versions(watched, reqs, 30)) == want
+    assert runs.value == ents.count()
+
+
 def test_versions_agree_with_replay(history):
     """Creation times by a plain replay of the jar."""
     ents, reqs = history

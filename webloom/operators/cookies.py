@@ -28,7 +28,7 @@ from webloom.functions import hosts as HS
 from webloom.functions import urls as U
 from webloom.operators import store
 from webloom.operators import timeline as TL
-from webloom.session import cut_lineage
+from webloom.session import cut_lineage, stored
 
 JAR = ["jar_id", "jar_key"]
 
@@ -121,9 +121,6 @@ def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None,
     those of ``ents`` and ``reqs``; its rows go first in their cookie's order.
     Windows run inside time buckets of about ``rows`` events (``timeline``).
     """
-    times = ents.select("ts") if reqs is None else ents.select("ts").unionByName(reqs.select("ts"))
-    bounds = TL.bucket_bounds(times, rows)
-    bucket = TL.bucket_of(F.col("ts"), bounds).alias(TL.BUCKET)
     e = ents.withColumn("_kind", F.when(F.col("remove"), F.lit("del")).otherwise(F.lit("set"))).select(
         *JAR, *_ORDER, *_KEPT, "_kind", F.col("ts").alias("c_ts"), F.col("event_id").alias("c_eid"), F.col("ordinal").alias("c_ord"))
     none = F.lit(None).cast("struct<ts:timestamp,event_id:bigint>")
@@ -133,16 +130,24 @@ def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None,
     if reads is not None:
         old = reads.select(*JAR, F.col("read_ts").alias("ts"), F.col("read_eid").alias("event_id"))
         rd = old if rd is None else rd.unionByName(old)
+    every = e.withColumn("_read", none)
+    if rd is not None:
+        rd = rd.withColumn("ordinal", F.lit(-1)).withColumn("_read", F.struct("ts", "event_id"))
+        every = every.unionByName(rd, allowMissingColumns=True)
+    # What is read more than once is stored: without that each step would run all before it two or three times.
+    every = stored(every, "events")
+    bounds = TL.bucket_bounds(every.select("ts"), rows)
+    bucket = TL.bucket_of(F.col("ts"), bounds).alias(TL.BUCKET)
+    every = every.select("*", bucket)
     if rd is None:
-        e = e.select("*", bucket, none.alias("_last_read"))
+        e = every.withColumnRenamed("_read", "_last_read")
     else:
-        rd = rd.withColumn("ordinal", F.lit(-1)).withColumn("_read", F.struct("ts", "event_id"))
-        every = e.withColumn("_read", none).unionByName(rd, allowMissingColumns=True).select("*", bucket)
         e = (TL.carry(every, JAR, _ORDER, F.col("_read"), "_last_read", bounds)
              .where(F.col("_kind").isNotNull()).drop("_read"))
     if cookies is not None:
         e = e.unionByName(cookies.select("*", bucket, none.alias("_last_read")))
     own = [*JAR, "cookie_id"]
+    e = stored(e, "read") if bounds else e
     w = Window.partitionBy(*own, TL.BUCKET).orderBy(TL.EDGE, *_ORDER)
     e = TL.with_neighbours(e, own, _ORDER, bounds)
     e = (e.withColumn("_pk", F.lag("_kind").over(w)).withColumn("_pts", F.lag("ts").over(w))
@@ -155,7 +160,9 @@ def _replay(ents: DataFrame, reqs: DataFrame | None, cookies: DataFrame | None,
               & (F.col("_last_read")["ts"] >= F.col("_pexp")))
     # A segment begins at a first set, after a delete and after a purge; its events share its creation.
     begins = F.col("_pk").isNull() | (F.col("_pk") == "del") | F.coalesce(purged, F.lit(False))
-    e = TL.carry(e, own, _ORDER, F.when(begins, F.struct("c_ts", "c_eid", "c_ord")), "_first", bounds)
+    e = e.withColumn("_begin", F.when(begins, F.struct("c_ts", "c_eid", "c_ord"))).drop(
+        "_pk", "_pts", "_peid", "_pexp", "_ppers", "_last_read")
+    e = TL.carry(stored(e, "begins") if bounds else e, own, _ORDER, F.col("_begin"), "_first", bounds).drop("_begin")
     return (e.drop("c_ts", "c_eid", "c_ord", TL.BUCKET)
             .select("*", F.col("_first")["c_ts"].alias("c_ts"), F.col("_first")["c_eid"].alias("c_eid"),
                     F.col("_first")["c_ord"].alias("c_ord")))
@@ -187,7 +194,7 @@ def advance(ents: DataFrame, reqs: DataFrame, state: dict[str, DataFrame] | None
     :func:`versions` makes of all events at once.
     """
     state = state or {}
-    rows = _replay(ents, reqs, state.get("cookies"), state.get("reads"))
+    rows = stored(_replay(ents, reqs, state.get("cookies"), state.get("reads")), "replayed")
     last = rows.where("valid_to is null").select(*JAR, *_ORDER, *_KEPT, "_kind", "c_ts", "c_eid", "c_ord")
     read = reqs.select(*JAR, F.col("ts").alias("read_ts"), F.col("event_id").alias("read_eid"))
     read = read.unionByName(state["reads"]) if state else read
@@ -262,6 +269,7 @@ def sent_cookies(vers: DataFrame, reqs: DataFrame, rows: int = TL.ROWS) -> DataF
                        F.struct(*kept).alias("_version"))
     bounds = TL.bucket_bounds(vers.select("valid_from").union(reqs.select("ts")), rows)
     every = asks.unionByName(sets, allowMissingColumns=True).withColumn(TL.BUCKET, TL.bucket_of(F.col("_ts"), bounds))
+    every = stored(every, "asked") if bounds else every
     # A request goes before a set of the same time and event; of several sets there the last one counts.
     found = TL.carry(every, [*JAR, "cookie_id"], ["_ts", "_eid", "_set", "_to", "_to_eid"], F.col("_version"), "_v", bounds)
     s = found.where(~F.col("_set") & F.col("_v").isNotNull()).select(

@@ -4,7 +4,8 @@ A history (a jar, a cookie) may hold a third of all events, so it is never one
 window.  All events are cut at quantiles of their time into buckets of about
 ``ROWS`` rows; windows run inside (key, bucket), and what a bucket needs of its
 neighbours comes in as extra rows made of one summary row per (key, bucket).
-Results do not depend on the buckets.
+Results do not depend on the buckets.  Where there are buckets, the functions read
+their rows more than once; callers give them rows of a short plan (``session.stored``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webloom.session import stored
+
 ROWS = 1 << 20
 BUCKET, EDGE = "_bucket", "_edge"
 
@@ -59,7 +62,8 @@ def with_neighbours(rows: DataFrame, keys: list[str], order: list[str], bounds:
     one, at = F.struct(*rows.columns), F.struct(*order)
     ends = rows.groupBy(*keys, BUCKET).agg(F.min_by(one, at).alias("first"), F.max_by(one, at).alias("last"))
     along = Window.partitionBy(*keys).orderBy(BUCKET)
-    near = ends.select(BUCKET, F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after"))
+    near = stored(ends.select(BUCKET, F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after")),
+                  "neighbours")
     for edge, name in ((0, "before"), (2, "after")):
         copies = near.where(F.col(name).isNotNull()).select(
             *(F.col(BUCKET) if c == BUCKET else F.col(name)[c].alias(c) for c in rows.columns), F.lit(edge).alias(EDGE))
