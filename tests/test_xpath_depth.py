@@ -85,3 +85,18 @@ def test_wide_page(spark):
     got = df.select(xpath.values(F.col("nodes"), xpath.compile_xpath("//div/p")).alias("v"),
                     xpath.values(F.col("nodes"), xpath.compile_xpath("//div//p")).alias("w")).first()
     assert got["v"] == got["w"] == [str(i) for i in range(20_000)]
+
+
+def test_nodes_are_made_in_slices(spark):
+    """A batch of thousands of pages is not held as nodes at once; the rows stay those of the pages."""
+    bodies = ["<p>x</p>"] * 2000 + [None, "y" * (html_nodes.SLICE_CHARS + 5), "z"]
+    cuts = html_nodes.slices(bodies)
+    assert [a for a, _ in cuts] == [0] + [b for _, b in cuts[:-1]] and cuts[-1][1] == len(bodies)
+    assert all(b - a <= html_nodes.SLICE_ROWS for a, b in cuts) and len(cuts) >= 5
+    assert html_nodes.slices([]) == []
+    docs = spark.createDataFrame([(i, f"<p>{i}</p><b>{i % 3}</b>", i % 5 != 0) for i in range(1500)], "id long, html string, w boolean").coalesce(1)
+    got = html_nodes.with_nodes(docs, wanted_col="w", drop_html=True).collect()
+    assert [r["id"] for r in got] == list(range(1500))
+    for r in got:
+        want = html_nodes.parse_nodes(f"<p>{r['id']}</p><b>{r['id'] % 3}</b>") if r["w"] else []
+        assert [(n["pre"], n["name"], n["value"]) for n in r["nodes"]] == [(n[0], n[4], n[10]) for n in want]
