@@ -609,6 +609,58 @@ def test_jaccard_shared_ids(spark):
         (1, 1, 1), (1, 1, 3), (1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 1, 1), (9, 9, 0)]
 
 
+def passages(seed, n, own, shared):
+    """Documents with a passage in common and words of their own, and near copies of every tenth."""
+    rng = random.Random(seed)
+    common = [f"p{i}" for i in range(shared)]
+    rows = []
+    for i in range(n):
+        w = [f"d{i}x{rng.randrange(10 ** 6)}" for _ in range(own)] + common
+        rows.append((i, " ".join(w)))
+        if i % 10 == 0:
+            w[rng.randrange(own)] = "changed"
+            rows.append((1000 + i, " ".join(w)))
+    return rows
+
+
+def test_jaccard_common_passage(spark, monkeypatch):
+    """Documents that share a passage whose shingles the order table does not hold are not searched as one cluster."""
+    monkeypatch.setattr(jaccard, "ORDER_TABLE", 16)
+    k, num, rows = 3, 90, passages(3, 200, 90, 20)
+    seen = []
+    plain = jaccard._candidates
+    monkeypatch.setattr(jaccard, "_candidates", lambda *a: seen.append(plain(*a)) or seen[0])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k, num, 100).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_groups(rows, k, num, 100)
+    assert sum(r["n_links"] > 0 for r in got) == 40
+    sizes = collections.Counter(r["root"] for r in graph.components(seen[0]).collect())
+    assert max(sizes.values()) <= 4 and sum(sizes.values()) <= 60
+
+
+def test_jaccard_marks_of_linked_sets():
+    """Two sets that link share a mark, whatever the order table holds; so do the packed rows."""
+    rng = np.random.default_rng(4)
+    n_pairs = 0
+    for num in (50, 80, 90, 99):
+        groups = jaccard._groups(500, num, 100)
+        for _ in range(150):
+            x = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))
+            cut, more = (int(rng.integers(0, len(x) * (100 - num) // num + 2)) for _ in range(2))
+            y = np.unique(np.r_[rng.permutation(x)[cut:], rng.integers(0, 1 << 63, more).astype(np.uint64)])
+            both = len(np.intersect1d(x, y))
+            if 100 * both < num * (len(x) + len(y) - both) or both == len(x) == len(y):
+                continue
+            hot = np.sort(rng.choice(x, len(x) // 2, replace=False))
+            owner, marks = jaccard._marks_of([x, y], groups, hot, rng.integers(17, 5000, len(hot)))
+            assert set(marks[owner == 0]) & set(marks[owner == 1])
+            bucket = (marks % np.uint64(3)).astype(np.int64)
+            packed = jaccard._packed(bucket, marks, owner.astype(np.uint64) + np.uint64(7)).to_pylist()
+            edges = [jaccard._chains((), pa.table({"marks": [r["marks"]]})).to_pylist() for r in packed]
+            assert {(e["u"], e["v"]) for es in edges for e in es} == {(7, 8)}
+            n_pairs += 1
+    assert n_pairs > 150
+
+
 @pytest.mark.parametrize("block", [1 << 18, 4000])
 def test_jaccard_family(spark, monkeypatch, block):
     """A family of near copies of several lengths: rows between the stages grow with it, links are whole."""

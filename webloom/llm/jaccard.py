@@ -1,19 +1,21 @@
 """Operator 3: exact Jaccard self-join on word n-grams by T-occurrence search.
 
 Two documents link when ``den * overlap >= num * union`` of their sets of
-k-word shingles.  A linked pair shares at least T shingles, so it must share
-one among the first ``n - ceil(t * n) + 1`` of either set in any common order.
+k-word shingles.
 
-1. *Order.* Shingles seen in two documents of one Arrow batch are counted; the
-   most frequent (at most ``ORDER_TABLE``, a fixed size) are broadcast and come
-   last, all others come first by hash.  The table only sets the order: links
-   do not depend on it.
+1. *Order.* Shingles seen in two documents of one Arrow batch are counted; the most
+   frequent (more than ``LONG_LIST``, at most ``ORDER_TABLE`` of them, a fixed size) are
+   broadcast.  The table only orders what follows: links do not depend on it.
 2. *Classes.* Equal sets collapse to one representative before any join.
-3. *Inverted lists* of the prefix shingles.  Lists of up to ``LONG_LIST`` sets are merged:
-   pairs that share fewer prefix shingles than their sizes require are dropped.  A longer
-   list is cut by size class (sizes that can link lie in one class or in neighbouring ones); its
-   members are only chained to the first of their class, and the first ones of neighbouring
-   classes to each other, so that rows grow with the lists and not with their squares.
+3. *Inverted lists* of parts of sets.  Sizes are cut into classes, so that sizes that can link
+   lie in one class or in neighbouring ones; a group is a class and the one above it.  Linked sets
+   of a group differ in at most H shingles (``_groups``).  Shingles are dealt by hash to
+   ``PARTS * (H + 1)`` parts; a set's parts are ordered by their rarest shingle, then by size, and
+   the first H + 1 are its marks.  Of the parts that two linked sets have alike the
+   first in this order stands behind at most H others, which they do not have alike, so it
+   is a mark of both.  A mark holds several shingles, so sets that only share a passage or
+   frequent shingles seldom meet.  The sets of a list are chained to its first: rows grow with the
+   marks and not with their squares.  Marks move as packed bytes, in buckets of a bounded size.
 4. Connected candidates form a cluster.  A cluster of more than ``BLOCK_SHINGLES`` shingles is
    cut into blocks by size class, of at most that size; blocks meet where their
    classes can link.  Inside, each set runs
@@ -47,16 +49,17 @@ from webloom.session import ship_package
 ORDER_TABLE = 1 << 20
 LONG_LIST = 16
 BLOCK_SHINGLES = 1 << 18
+PARTS = 2
+BUCKET_MARKS = 1 << 17
+HELD_MARKS = 1 << 21
+KEY = (1 << 48) - 1
+MOST = 1 << 40
 
 
 def _up(a, num: int, den: int):
     return -(-a * num // den)
 
 
-def _prefix_len(n, num: int, den: int):
-    return n - _up(n, num, den) + 1
-
-
 def _repeated(k: int):
     """Shingles that at least two documents of a batch have, with their count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +75,9 @@ def _repeated(k: int):
 
 
 def _order_table(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, with their counts."""
     seen = cut(docs.select("text").mapInArrow(_repeated(k), "token long, c long")
-               .groupBy("token").agg(F.sum("c").alias("c")))
+               .groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") > LONG_LIST))
     sizes = sorted(((r["c"], r["n"]) for r in
                     seen.groupBy(F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n")).collect()), reverse=True)
     least, total = None, 0
@@ -82,38 +86,22 @@ def _order_table(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least, total = c, total + n
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     got = seen.where(F.col("c") >= least).toArrow()
     tok = got.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tok)
-    return tok[order], got.column("c").to_numpy()[order].astype(np.float32)
-
+    return tok[order], np.minimum(got.column("c").to_numpy()[order], MOST)
 
-def _prefix(s: np.ndarray, size: int, hot: np.ndarray, freq: np.ndarray) -> np.ndarray:
-    if not len(hot):
-        return s[:size]
-    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-    known = hot[at] == s
-    rare = s[~known]
-    if len(rare) >= size:
-        return rare[:size]
-    rest, f = s[known], freq[at[known]]
-    return np.concatenate([rare, rest[np.lexsort((rest, f))][: size - len(rare)]])
 
-
-def _profiles(k: int, num: int, den: int, table):
-    """Per document: id, set size, two digests of the set, its prefix."""
+def _profiles(k: int):
+    """Per document: id, set size, two digests of the set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, freq = table.value
         for b in batches:
             for s in T.slices(b.column(1)):
                 sets = T.shingle_sets(s, k)
-                n = np.array([len(x) for x in sets], np.int64)
                 da, db = zip(*(_digest(x) for x in sets), strict=True)
-                pre = [_prefix(x, _prefix_len(len(x), num, den), hot, freq).view(np.int64) if len(x)
-                       else np.zeros(0, np.int64) for x in sets]
-                yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array(n), pa.array(da, pa.int64()),
-                                       pa.array(db, pa.int64()), T.as_list(pre)], ["doc_id", "n", "da", "db", "prefix"])
+                yield pa.record_batch([b.column(0).slice(s.lo, s.hi - s.lo), pa.array([len(x) for x in sets], pa.int64()),
+                                       pa.array(da, pa.int64()), pa.array(db, pa.int64())], ["doc_id", "n", "da", "db"])
     return run
 
 
@@ -124,52 +112,120 @@ def _digest(x: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
-def _pairs(num: int, den: int):
-    """Rows (token, doc, n) sorted by token -> (x, y, n_x, n_y, shared)."""
-    def flush(tok, doc, n):
-        start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]])
-        size = np.diff(np.r_[start, len(tok)])
-        xs, ys = [], []
-        for c in np.unique(size[size > 1]):
-            at = start[size == c]
-            i, j = np.triu_indices(c, 1)
-            step = max(1, 250_000 // len(i))
-            for lo in range(0, len(at), step):
-                x = (at[lo: lo + step, None] + i).ravel()
-                y = (at[lo: lo + step, None] + j).ravel()
-                ok = (np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num) & (doc[x] != doc[y])
-                xs.append(x[ok])
-                ys.append(y[ok])
-        if not xs:
-            return None
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        swap = doc[x] > doc[y]
-        x, y = np.where(swap, y, x), np.where(swap, x, y)
-        order = np.lexsort((doc[y], doc[x]))
-        x, y = x[order], y[order]
-        if not len(x):
-            return None
-        first = np.flatnonzero(np.r_[True, (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1])])
-        shared = np.diff(np.r_[first, len(x)])
-        x, y = x[first], y[first]
-        return pa.record_batch([pa.array(v) for v in (doc[x], doc[y], n[x], n[y], shared)], ["x", "y", "nx", "ny", "c"])
-
+def _groups(most: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size classes up to the size ``most``: the least size of each; of the group of
+    a class and the next one: the largest size that links with one of the class, and
+    in how many shingles linked sets of the group can differ."""
+    low, high, differ = [1], [], []
+    while low[-1] <= most:
+        last = low[-1] * den // num
+        low.append(last + 1)
+        high.append(last * den // num)
+        differ.append((last + high[-1]) * (den - num) // (den + num))
+    return np.array(low, np.int64), np.array(high, np.int64), np.array(differ, np.int64)
+
+
+def _rarity(tok: np.ndarray, hot: np.ndarray, freq: np.ndarray) -> np.ndarray:
+    out = np.full(len(tok), MOST, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
+        known = hot[at] == tok
+        out[known] -= freq[at[known]]
+    return out
+
+
+def _marks_of(sets: list[np.ndarray], groups, hot: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, mark) of sets that are not empty: the marks in the group of each set's class and in that of the class below."""
+    low, high, differ = groups
+    size = np.array([len(x) for x in sets], np.int64)
+    cls = np.searchsorted(low, size, side="right") - 1
+    tok = np.concatenate(sets)
+    value, place = T.mix(tok + np.uint64(0xA0761D6478BD642F)), T.mix(tok ^ np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)
+    rare = _rarity(tok, hot, freq)
+    owner, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for g in (cls, cls - 1):
+        ok = (g >= 0) & (size <= high[g]) & (differ[g] > 0)  # sets that differ in nothing are one class
+        parts = np.where(ok, PARTS * (differ[g] + 1), 0)
+        base = np.cumsum(parts) - parts
+        at = np.flatnonzero(np.repeat(ok, size))
+        of = np.repeat(np.arange(len(sets)), size)[at]
+        part = base[of] + ((place[at] * parts[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        count = np.bincount(part, minlength=int(parts.sum()))
+        end = np.cumsum(count)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[at[order]], dtype=np.uint64)])
+        content = total[end] - total[end - count]
+        weight = np.zeros(len(count), np.int64)
+        full = np.flatnonzero(count)
+        if len(full):
+            weight[full] = np.maximum.reduceat(rare[at[order]], (end - count)[full]) * 64 + np.minimum(count[full], 63)
+        whose = np.repeat(np.arange(len(sets)), parts)
+        first = np.lexsort((-weight, whose))  # equal ones in the order of the parts
+        first = first[np.arange(len(first)) - base[whose] <= differ[g][whose]]
+        whose = whose[first]
+        where = g[whose].astype(np.uint64) << np.uint64(40) | (first - base[whose]).astype(np.uint64)
+        owner.append(whose)
+        marks.append(T.fold_hash(T.mix(where), content[first]))
+    return np.concatenate(owner), np.concatenate(marks)
+
+
+def _packed(bucket: np.ndarray, mark: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket; a mark and its set take 48 bits each."""
+    order = np.argsort(bucket, kind="stable")
+    both = np.empty((len(order), 12), np.uint8)
+    for i, x in enumerate((mark, key)):
+        both[:, 6 * i: 6 * i + 6] = x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+    off = np.r_[first, len(order)].astype(np.int32) * 12
+    rows = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off), pa.py_buffer(both)])
+    return pa.record_batch([pa.array(bucket[order][first]), rows], ["bucket", "marks"])
+
+
+def _marks(k: int, groups, buckets: int, table):
+    """Texts -> (bucket, packed marks and sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            mark, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = ((mark >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            return _packed(bucket, mark, key)
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            held = [np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if len(held[0]) >= 200_000:
-                whole = int(np.searchsorted(held[0], held[0][-1]))
-                if whole and (out := flush(*(h[:whole] for h in held))) is not None:
-                    yield out
-                held = [h[whole:] for h in held]
-        if len(held[0]) and (out := flush(*held)) is not None:
-            yield out
+            for s in T.slices(b.column(0)):
+                sets = [x for x in T.shingle_sets(s, k) if len(x)]
+                if not sets:
+                    continue
+                owner, mark = _marks_of(sets, groups, *table.value)
+                keys = np.array([_digest(x)[0] for x in sets], np.int64).view(np.uint64) & np.uint64(KEY)
+                held.append((mark, keys[owner]))
+                n += len(mark)
+                if n >= HELD_MARKS:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
     return run
 
 
+def _chains(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The lists of one bucket -> edges from the first set of a list to its others."""
+    both = np.frombuffer(b"".join(x.as_py() for x in table.column("marks")), np.uint8).reshape(-1, 12)
+    mark, node = np.zeros((2, len(both), 8), np.uint8)
+    mark[:, :6], node[:, :6] = both[:, :6], both[:, 6:]
+    mark, node = mark.view("<u8").ravel(), node.view("<u8").ravel()
+    order = np.lexsort((node, mark))
+    mark, node = mark[order], node[order]
+    first = np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]])
+    head = np.repeat(node[first], np.diff(np.r_[first, len(mark)]))
+    at = np.flatnonzero(head != node)
+    u, v = head[at], node[at]
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+    return pa.table({"u": u[new].astype(np.int64), "v": v[new].astype(np.int64)})
+
+
 def _required(nx, ny, num: int, den: int):
     """Overlap that two sets of these sizes need."""
     return _up(nx + ny, num, num + den)
@@ -297,30 +353,17 @@ def _size_class(n: str, num: int, den: int) -> Column:
     return F.floor(F.log(n) / width).cast("int")
 
 
-def _candidates(classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (u, v) over the nodes; every two nodes that link are connected."""
-    spark = classes.sparkSession
-    post = classes.select(F.explode("prefix").alias("token"), "node", "n", "cls")
-    # Lists: only shingles that two classes have; the rest cannot make a pair.
-    lists = cut(post.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    shared = cut(post.join(lists, "token"))
-    pairs = (shared.where(F.col("df") <= LONG_LIST).select("token", F.col("node").alias("doc"), "n")
-             .repartition(shuffle_partitions(spark), "token").sortWithinPartitions("token")
-             .mapInArrow(_pairs(num, den), "x long, y long, nx long, ny long, c long")
-             .groupBy("x", "y").agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.sum("c").alias("c")))
-    # Pairs whose shared prefix shingles all lie in short lists: the rest of the
-    # set that ends its prefix first bounds what else they can share.
-    need = F.expr(f"ceil((nx + ny) * {num} / ({num + den}))")
-    gap = [F.expr(f"ceil({n} * {num} / {den}) - 1") for n in ("nx", "ny")]
-    near = pairs.where(F.col("c") >= F.greatest(F.lit(1), need - F.greatest(*gap)))
-    long = shared.where(F.col("df") > LONG_LIST)
-    up = Window.partitionBy("token").orderBy("cls")
-    heads = cut(long.groupBy("token", "cls").agg(F.min("node").alias("head"), F.min("n").alias("low"), F.max("n").alias("high"))
-                .select("token", "cls", "head", (F.lead("low").over(up) * num <= F.col("high") * den).alias("near"),
-                        F.lead("head").over(up).alias("next")))
-    return (near.select(F.col("x").alias("u"), F.col("y").alias("v"))
-            .unionByName(long.join(heads, ["token", "cls"]).select(F.col("head").alias("u"), F.col("node").alias("v")))
-            .unionByName(heads.where("near").select(F.col("head").alias("u"), F.col("next").alias("v"))))
+def _candidates(docs: DataFrame, classes: DataFrame, table, k: int, num: int, den: int) -> DataFrame:
+    """Edges (u, v) over the keys of classes; every two classes that link are connected."""
+    spark = docs.sparkSession
+    most, total = classes.agg(F.max("n"), F.sum(F.col("n") * F.col("size"))).first()
+    if not most or num == den:
+        return spark.createDataFrame([], "u long, v long")
+    buckets = _up(2 * total * (den - num), 1, num * BUCKET_MARKS)
+    return (docs.where("doc_id is not null").select("text")
+            .mapInArrow(_marks(k, _groups(most, num, den), buckets, table), "bucket long, marks binary")
+            .repartition(max(shuffle_partitions(spark), buckets // 8), "bucket")
+            .groupBy("bucket").applyInArrow(_chains, "u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -330,13 +373,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     spark = ship_package(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(_order_table(docs, k))
-    prof = cut(docs.mapInArrow(_profiles(k, num, den, table),
-                               "doc_id long, n long, da long, db long, prefix array<long>"))
-    # A class of equal sets is a node; its number is fixed by the checkpoint.
+    prof = cut(docs.mapInArrow(_profiles(k), "doc_id long, n long, da long, db long"))
+    # A class of equal sets is a node; its number is fixed by the checkpoint.  Two classes of one key stay together.
     classes = cut(prof.where("n > 0 and doc_id is not null").groupBy("n", "da", "db")
-                  .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.any_value("prefix").alias("prefix"))
-                  .select("*", F.monotonically_increasing_id().alias("node"), _size_class("n", num, den).alias("cls")))
-    found = cut(_links(docs, components(_candidates(classes, num, den)), classes.drop("prefix"), k, num, den))
+                  .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+                  .select("*", F.monotonically_increasing_id().alias("node"), _size_class("n", num, den).alias("cls"),
+                          F.col("da").bitwiseAND(KEY).alias("key")))
+    found = cut(_links(docs, components(_candidates(docs, classes, table, k, num, den)), classes, k, num, den))
     split = cut(found.where("split").select(F.col("node").alias("u"), F.col("root").alias("v")))
     joined = components(split).select("node", F.col("root").alias("wide"))
     linked = (found.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("split"), F.col("root"))).alias("root"))
@@ -357,7 +400,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
 def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, root, links, split) from the search inside each cluster."""
     spark = docs.sparkSession
-    member = cut(clusters.select("node", F.col("root").alias("cluster")).join(classes, "node"))
+    member = cut(clusters.select(F.col("node").alias("key"), F.col("root").alias("cluster")).join(classes, "key").drop("key"))
     whole, up = Window.partitionBy("cluster"), Window.partitionBy("cluster").orderBy("cls")
     large = F.col("total") > BLOCK_SHINGLES
     parts = (member.groupBy("cluster", "cls").agg(F.sum("n").alias("tokens"))
