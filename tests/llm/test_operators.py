@@ -16,7 +16,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from tokenizers import Tokenizer  # noqa: E402
 
-from webloom.llm import (decontam, graph, jaccard, langid, licenses, packing, pivots, quality, secrets, textcore,  # noqa: E402
+from webloom.llm import (common, decontam, graph, jaccard, langid, licenses, packing, pivots, quality, secrets, textcore,  # noqa: E402
                          tokens, toxicity)
 
 PATH = str(P.path("word_bpe_49k.json"))
@@ -637,6 +637,17 @@ def test_jaccard_common_passage(spark, monkeypatch):
     assert max(sizes.values()) <= 4 and sum(sizes.values()) <= 60
 
 
+def test_thinned(spark):
+    """Before an exact join: every row of the ids stays, few others do, nulls go; columns may have any name."""
+    docs = spark.range(20_000).select(F.when(F.col("id") % 100 != 7, F.col("id")).alias("doc_id"), F.lit(1).alias("word"), F.lit(2).alias("bits"))
+    ids = spark.createDataFrame([(i * 50,) for i in range(300)] + [(None,), (0,), (-5,)], "at long")
+    got = common.thinned(docs, "doc_id", ids, "at")
+    assert got.columns == docs.columns
+    kept = collections.Counter(r["doc_id"] for r in got.collect())
+    assert {i * 50 for i in range(300)} <= set(kept) and len(kept) < 310 and None not in kept and max(kept.values()) == 1
+    assert common.thinned(docs, "doc_id", ids.limit(0), "at").count() == 0
+
+
 def test_jaccard_marks_of_linked_sets():
     """Two sets that link share a mark, whatever the order table holds; so do the packed rows."""
     rng = np.random.default_rng(4)

@@ -35,6 +35,22 @@ def sized(rows: DataFrame, most: int | None = None) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if most is None else most) else rows.hint("shuffle_hash")
 
 
+BITMAP_BITS = 25
+
+
+def thinned(df: DataFrame, key: str, ids: DataFrame, id_: str) -> DataFrame:
+    """The rows of df whose key may be among the ids: before an exact join, so that the others do not move.  Ids are
+    marked in a bitmap of fixed size, which is broadcast; nulls go."""
+    def place(c: str) -> Column:
+        return F.xxhash64(F.col(c).cast("long")).bitwiseAND((1 << BITMAP_BITS) - 1)
+
+    word, bits = fresh(df, "word"), fresh(df, "bits")
+    words = (ids.where(F.col(id_).isNotNull()).select(place(id_).alias("at"))
+             .groupBy(F.shiftright("at", 6).alias(word)).agg(F.expr("bit_or(shiftleft(1L, int(at & 63)))").alias(bits)))
+    return (df.where(F.col(key).isNotNull()).withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(words), word)
+            .where(F.expr(f"shiftrightunsigned({bits}, int(xxhash64(cast({key} as long)) & 63)) & 1") == 1).drop(word, bits))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm import textcore as T
-from webloom.llm.common import cut, shuffle_partitions
+from webloom.llm.common import cut, shuffle_partitions, thinned
 from webloom.llm.graph import components
 from webloom.session import ship_package
 
@@ -413,7 +413,8 @@ def _links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, k: int, num
               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
               .withColumn("cls", F.when(F.col("split"), F.col("cls")).otherwise(0)).drop("n"))
     hint = member.hint("shuffle_hash")
-    texts = (docs.where("doc_id is not null").join(hint, docs.doc_id == hint.rep)
+    docs = thinned(docs, "doc_id", member, "rep")
+    texts = (docs.join(hint, docs.doc_id == hint.rep)
              .withColumn("same", F.xxhash64("text")).dropDuplicates(["rep", "node", "same"])
              .select("node", "cluster", "size", "split", "cls", "own", "blocks", "below", "above", "da", "db", "text"))
     sets = texts.mapInArrow(_sets_of(k), "node long, cluster long, size long, split boolean, cls int, own int, blocks int, "
